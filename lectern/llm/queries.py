@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import glyphs
+from lectern.llm import glyphs, sentences
 from lectern.plans.registry import Registry
 from lectern.sources import load
 
@@ -14,3 +14,8 @@ R = Registry()
 @R.query("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyphs.same_look(load(spark, sf_dir, "turn"), load(spark, sf_dir, "chunk"), load(spark, sf_dir, "report"))
+
+
+@R.query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.turn_units(load(spark, sf_dir, "turn"), load(spark, sf_dir, "report"))
