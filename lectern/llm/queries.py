@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import glyphs, sentences
+from lectern.llm import glyphs, packing, sentences, tokens
 from lectern.plans.registry import Registry
 from lectern.sources import load
 
@@ -19,3 +20,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.turn_units(load(spark, sf_dir, "turn"), load(spark, sf_dir, "report"))
+
+
+@R.query("p8_ids")
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_ids(load(spark, sf_dir, "documents"))
+
+
+@R.query("p9_packed")
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"))
+
+
+@R.query("p9_fill")
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers by how full they are, in sixteenths of the capacity."""
+    used = p9_packed(spark, sf_dir).where("container IS NOT NULL").groupBy("container").agg(F.sum("n").alias("used"))
+    sixteenth = F.floor(F.col("used") * 16 / packing.CAPACITY).cast("int").alias("sixteenths")
+    return used.groupBy(sixteenth).agg(F.count("*").alias("containers"), F.sum("used").alias("used"))
