@@ -156,13 +156,13 @@ def transducer() -> Transducer:
 
 
 @lru_cache(1)
-def _flat() -> tuple[dict[int, str], re.Pattern[str]]:
+def _flat() -> tuple[dict[int, str], re.Pattern[str], re.Pattern[str]]:
     t = transducer()
     one = {ord(k): v[0] for k, v in t.single.items()} | {ord(b): " " for b in t.blanks if b not in "\n\r"} | {ord("\r"): "\n", 0x2028: "\n", 0x2029: "\n", 0x85: "\n"}
     for k in "“”„‟″«»〝〞〟":
         one.pop(ord(k), None)
     one[0xFF02] = '"'
-    return one, re.compile(f"[{_char_class(t.hidden)}]")
+    return one, re.compile(f"[{_char_class(t.hidden)}]"), re.compile(f"[{_char_class(set(map(chr, one)) - {' '})}]")
 
 
 def flat_form(text: str) -> tuple[str, list[int] | None]:
@@ -172,12 +172,12 @@ def flat_form(text: str) -> tuple[str, list[int] | None]:
     """
     if text.isascii():
         return text, None
-    one, hidden = _flat()
+    one, hidden, folded = _flat()
     at = None
     if hidden.search(text):
         at = [i for i, ch in enumerate(text) if not hidden.match(ch)]
         text = "".join(text[i] for i in at)
-    return text.translate(one), at
+    return text.translate(one) if folded.search(text) else text, at
 
 
 @F.pandas_udf(T.StringType())

@@ -23,7 +23,10 @@ from lectern.llm.glyphs import flat_form
 
 
 class Rule(NamedTuple):
-    """A decision for a candidate end: `before` must match up to it, `after` from it on."""
+    """A decision for a candidate end: `before` must match the word up to it, `after` what follows it.
+
+    The word goes back to the last blank, LOOK_BACK characters at most; an empty pattern matches all.
+    """
 
     breaks: bool
     before: str
@@ -38,7 +41,7 @@ NUMBERED = "No Nos no nos Vol Vols vol vols Art art Sec sec s ss Para para paras
 TAMIL_TITLES = "திரு திருமதி முனைவர் டாக்டர் பேராசிரியர் செல்வி செல்வன் மாண்புமிகு"
 
 _HAN = "一-鿿㐀-䶿"
-_START = r"(?:^|[\s(\[“\"'/-])"
+_OPEN = r"(?:.*[(\[“\"'/-])?"
 
 
 def _any(words: str) -> str:
@@ -46,19 +49,19 @@ def _any(words: str) -> str:
 
 
 LATIN = [
-    Rule(False, rf"{_START}(?i:{_any(TITLES)})\.", r"\s"),
-    Rule(False, rf"{_START}(?i:{_any(SHORT)})\.", r""),
-    Rule(False, rf"{_START}(?:{_any(NUMBERED)})\.", r"\s*\d"),
-    Rule(False, rf"{_START}[A-Z]\.", r"\s+[A-Z]"),
+    Rule(False, rf"{_OPEN}(?i:{_any(TITLES)})\.", r"\s"),
+    Rule(False, rf"{_OPEN}(?i:{_any(SHORT)})\.", r""),
+    Rule(False, rf"{_OPEN}(?:{_any(NUMBERED)})\.", r"\s*\d"),
+    Rule(False, rf"{_OPEN}(?:[A-Z]\.)+", r"\s+[A-Z]"),
 ]
 TAMIL = [
-    Rule(False, rf"{_START}(?:{_any(TAMIL_TITLES)})\.", r"\s"),
-    Rule(False, r"[\"”']", r"\s*(?:என்று|என்றும்|என்ற|எனவும்|என)(?![஀-௿])"),
+    Rule(False, rf"{_OPEN}(?:{_any(TAMIL_TITLES)})\.", r"\s"),
+    Rule(False, r".*[\"”']", r"\s*(?:என்று|என்றும்|என்ற|எனவும்|என)(?![஀-௿])"),
 ]
 MANDARIN = [
     # a question or exclamation quoted before its reporting clause
-    Rule(False, r"[!?.][\"”']", rf"[{_HAN}][^。!?,;:“”\"\n]{{0,24}}?(?:说|问|道|答|喊|表示|指出|认为|写)"),
-    Rule(True, rf"(?:[。!?]|[{_HAN}]\.)[\"”')\]]*", ""),
+    Rule(False, r".*[!?.][\"”']", rf"[{_HAN}][^。!?,;:“”\"\n]{{0,24}}?(?:说|问|道|答|喊|表示|指出|认为|写)"),
+    Rule(True, rf".*(?:[。!?]|[{_HAN}]\.)[\"”')\]]*", ""),
 ]
 GENERAL = [
     # small letters go on with a sentence, but for words with a capital inside
@@ -71,7 +74,7 @@ Compiled = tuple[bool, re.Pattern[str] | None, re.Pattern[str]]
 
 
 def _compiled(rules: list[Rule]) -> list[Compiled]:
-    return [(r.breaks, re.compile(rf"(?:{r.before})\Z") if r.before else None, re.compile(r.after)) for r in rules]
+    return [(r.breaks, re.compile(r.before) if r.before else None, re.compile(r.after)) for r in rules]
 
 
 @lru_cache(64)
@@ -81,16 +84,17 @@ def cascade(scripts: tuple[str, ...]) -> list[Compiled]:
 
 
 _SCRIPTS = {name: re.compile(f"[{chars}]") for name, (chars, _) in TABLES.items()}
-#: An end mark with what closes behind it, before a blank, a quote, a Han character or the end; or a line break.
-_CANDIDATE = re.compile(rf"(?:[.!?]+[\"”')\]]*(?=\s|\Z|[{_HAN}“])|[.!?]*[。!?]+[\"”')\]]*|[{_HAN}][.]+[\"”')\]]*(?=[\"“]))|\n")
+#: An end mark with what closes behind it, or a line break.
+_CANDIDATE = re.compile(r"[.!?。]+[\"”')\]]*|\n")
+_IS_HAN = re.compile(f"[{_HAN}]").match
 #: How far a rule looks back.
 LOOK_BACK = 24
 _QUOTE = re.compile(r"[\"“”\n]")
 
 
-def _opening(text: str) -> set[int]:
-    """The places of straight double quotes that open a quotation."""
-    opens, inside = set(), False
+def _opening(text: str, inside: bool) -> tuple[set[int], bool]:
+    """The places of straight double quotes that open a quotation, and whether one is open at the end."""
+    opens = set()
     for m in _QUOTE.finditer(text):
         if m.group() == '"':
             if not inside:
@@ -98,38 +102,36 @@ def _opening(text: str) -> set[int]:
             inside = not inside
         else:
             inside = m.group() == "“"
-    return opens
+    return opens, inside
 
 
-def units(text: str | None) -> list[tuple[int, int]]:
-    """The sentence units of a text as (start, end) in code points; none for a null, empty or blank text.
-
-    The units cover everything but blanks. A line break ends a unit.
-    """
-    if not text:
-        return []
-    flat, at = flat_form(text)
+def _break_ends(flat: str, opens: set[int]) -> list[int]:
+    """The ends of units in a flat text, in order."""
     rules = cascade(tuple(s for s, p in _SCRIPTS.items() if p.search(flat)))
-    opens = _opening(flat) if '"' in flat and _SCRIPTS["mandarin"].search(flat) else ()
     ends = []
     for m in _CANDIDATE.finditer(flat):
         end = m.end()
         if flat[end - 1] != "\n":
             if opens:
-                for i in range(m.start(), end):
-                    if i in opens:
-                        end = i
-                        break
-            before = flat[max(0, end - LOOK_BACK) : end]
+                end = next((i for i in range(m.start(), end) if i in opens), end)
+            after = flat[end : end + 1]
+            if not (after == "" or after.isspace() or _IS_HAN(after) or "。" in m.group() or after in "\"“" and _IS_HAN(flat, m.start() - 1)):
+                continue  # within a word or number
+            low = max(0, end - LOOK_BACK)
+            start = max(flat.rfind(" ", low, end), flat.rfind("\n", low, end)) + 1 or low
             for breaks, b, a in rules:
-                if (b is None or b.search(before)) and a.match(flat, end):
+                if (b is None or b.fullmatch(flat, start, end)) and a.match(flat, end):
                     break
             if not breaks:
                 continue
         ends.append(end)
-    ends.append(len(flat))
+    return ends
+
+
+def _spans(flat: str, at: list[int] | None, ends: list[int]) -> list[tuple[int, int]]:
+    """What lies between ends, without blanks at the borders, in places of the original text."""
     out, start = [], 0
-    for end in ends:
+    for end in [*ends, len(flat)]:
         part = flat[start:end]
         s = start + len(part) - len(part.lstrip())
         e = start + len(part.rstrip())
@@ -139,6 +141,25 @@ def units(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+def units(text: str | None, inside: bool = False) -> list[tuple[int, int]]:
+    """The sentence units of a text as (start, end) in code points; none for a null, empty or blank text.
+
+    The units cover everything but blanks. A line break ends a unit. `inside` says that a quotation is
+    open where the text begins, if it is a part of another.
+    """
+    if not text:
+        return []
+    flat, at = flat_form(text)
+    opens = _opening(flat, inside)[0] if '"' in flat and _SCRIPTS["mandarin"].search(flat) else set()
+    return _spans(flat, at, _break_ends(flat, opens))
+
+
+def quote_states(text: str) -> tuple[bool, bool]:
+    """Whether a quotation is open after `text`, if none was before it, and if one was."""
+    flat = flat_form(text)[0]
+    return _opening(flat, False)[1], _opening(flat, True)[1]
+
+
 def sentence_units(turns: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
     """turn_key, char_start, char_end: one row for each sentence unit of each row of `turns`."""
 
