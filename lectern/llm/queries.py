@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import glyphs, packing, sentences, tokens
+from lectern.llm import domain, glyphs, packing, pieces, sentences, tokens
 from lectern.plans.registry import Registry
 from lectern.sources import load
 
@@ -38,3 +38,16 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = p9_packed(spark, sf_dir).where("container IS NOT NULL").groupBy("container").agg(F.sum("n").alias("used"))
     sixteenth = F.floor(F.col("used") * 16 / packing.CAPACITY).cast("int").alias("sixteenths")
     return used.groupBy(sixteenth).agg(F.count("*").alias("containers"), F.sum("used").alias("used"))
+
+
+@R.query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.faulty_splits(load(spark, sf_dir, "turn"), load(spark, sf_dir, "chunk"), load(spark, sf_dir, "report"))
+
+
+@R.query("p6_pieces")
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every turn of more than the limit, with their hash."""
+    turns = load(spark, sf_dir, "turn").select("key", "text", "loaded_at")
+    own = domain.holding(turns, "key").where(F.length("text") > pieces.LIMIT)
+    return pieces.cut_pieces(pieces.text_ranges(own, "key", "text")).withColumn("md5", F.md5("piece"))
