@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import domain, glyphs, packing, pieces, sentences, tokens
+from lectern.llm import domain, glyphs, names, packing, pieces, sentences, tokens
 from lectern.plans.registry import Registry
 from lectern.sources import load
 
@@ -51,3 +51,8 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "turn").select("key", "text", "loaded_at")
     own = domain.holding(turns, "key").where(F.length("text") > pieces.LIMIT)
     return pieces.cut_pieces(pieces.text_ranges(own, "key", "text")).withColumn("md5", F.md5("piece"))
+
+
+@R.query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.speaker_members(load(spark, sf_dir, "turn"), load(spark, sf_dir, "roster"))
