@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import domain, glyphs, names, packing, pieces, sentences, tokens
+from lectern.llm import domain, glyphs, names, packing, pieces, sentences, tokens, transcripts
 from lectern.plans.registry import Registry
 from lectern.sources import load
 
@@ -56,3 +56,13 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.speaker_members(load(spark, sf_dir, "turn"), load(spark, sf_dir, "roster"))
+
+
+@R.query("p1_turns")
+def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.clean_turns(load(spark, sf_dir, "turn"), load(spark, sf_dir, "report"), load(spark, sf_dir, "roster"))
+
+
+@R.query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_turns(spark, sf_dir).where("speaker_id IS NOT NULL").select("report_id", "first_turn", "nth", "speaker_id", "n_words")
