@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import domain, glyphs, names, packing, pieces, sentences, tokens, transcripts
+from lectern.llm import domain, glyphs, languages, names, packing, pieces, sentences, tokens, transcripts
 from lectern.plans.registry import Registry
 from lectern.sources import load
 
@@ -66,3 +66,15 @@ def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("p1_found")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_turns(spark, sf_dir).where("speaker_id IS NOT NULL").select("report_id", "first_turn", "nth", "speaker_id", "n_words")
+
+
+@R.query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return languages.wrong_labels(docs, languages.train(docs))
+
+
+@R.query("p10_segments")
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return languages.language_segments(docs, languages.train(docs))
