@@ -211,7 +211,7 @@ def train(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS, seed: int
     samples: dict[str, list[str]] = {}
     for k in LANGUAGES:
         texts = labelled.where(F.col("l") == k).orderBy(order, "doc_id").limit(per_language).select(F.substring("text", 1, 20_000).alias("text")).collect()
-        samples[k] = [s for t in texts for a, b in units(t["text"])[:8] if is_sentence(s := t["text"][a:b])]
+        samples[k] = [s for t in texts for a, b in units(t["text"])[:2] if is_sentence(s := t["text"][a:b])]
     return fit(samples, *document_frequencies(documents))
 
 
