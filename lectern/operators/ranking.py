@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return t.select(key, "dl", F.explode("ts").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def _is(term: str, x: Column) -> Column:
+    return x == term
+
+
 def bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     """key, score of the documents with a query term; a term asked twice counts twice.
 
@@ -23,7 +29,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     """
     sized = docs.select(F.col(key), tokens(text).alias("ts")).withColumn("dl", F.size("ts"))
     weights = {t: query.count(t) for t in dict.fromkeys(query)}
-    counts = [F.size(F.filter("ts", lambda x, t=t: x == t)) for t in weights]
+    counts = [F.size(F.filter("ts", partial(_is, t))) for t in weights]
     sized = sized.select(key, "dl", *(c.alias(f"tf{i}") for i, c in enumerate(counts)))
     totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(counts))))
     j = sized.where(F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(counts)))) > 0).join(F.broadcast(totals), how="cross")  # one row of totals
