@@ -25,7 +25,7 @@ def signed_cells(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def snapshot_changes(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """snapshot_no, key, change (`added`, `removed`, `changed`) and changed_fields of each record that differs.
+    """snapshot_no, key, change (`added`, `removed`, `changed`) and, of changed ones, changed_fields.
 
     `rows` has one row for each (snapshot_no, key). Snapshots follow each other by number, gaps in the
     numbers allowed; the first has no changes. Sums of signed cells that aren't zero are the differences.
@@ -40,7 +40,7 @@ def snapshot_changes(rows: DataFrame, fields: list[str]) -> DataFrame:
         sums.groupBy("snapshot_no", "key")
         .agg(presence.alias("p"), F.array_sort(F.collect_set(F.when(F.col("field") != "", F.col("field")))).alias("changed_fields"))
         .join(order.where("prior_no IS NOT NULL").select("snapshot_no"), "snapshot_no", "left_semi")
-        .select("snapshot_no", "key", F.when(F.col("p") > 0, "added").when(F.col("p") < 0, "removed").otherwise("changed").alias("change"), "changed_fields")
+        .select("snapshot_no", "key", F.when(F.col("p") > 0, "added").when(F.col("p") < 0, "removed").otherwise("changed").alias("change"), F.when(F.col("p").isNull(), F.col("changed_fields")).otherwise(F.array().cast("array<string>")).alias("changed_fields"))
     )
 
 
