@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from lectern.functions.keys import key_form
 from lectern.llm.domain import by_draft, holding
+from lectern.sources import checkpointed
 
 # Letters of other alphabets and the Latin letters of the same shape.
 LOOK_ALIKES = {
@@ -210,7 +211,8 @@ def same_look_turns(turns: DataFrame) -> DataFrame:
     then given their keys, so that equal texts, however many, meet nowhere but in the result. Null
     texts look like nothing; an empty text looks like a blank one.
     """
-    looked = turns.where("text IS NOT NULL").select("__report", "key", F.md5("text").alias("t"), look_key("text").alias("look"))
+    # keys and hashes only, written once: the look form is the costly part and is wanted thrice
+    looked = checkpointed(turns.where("text IS NOT NULL").select("__report", "key", F.md5("text").alias("t"), look_key("text").alias("look")))
     texts = looked.groupBy("__report", "look", "t").agg(F.count("*").alias("n"))
     several = texts.groupBy("__report", "look").agg(F.count("*").alias("k")).where("k > 1").select("__report", "look")
     own = looked.join(several, ["__report", "look"], "left_semi")
