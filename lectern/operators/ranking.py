@@ -32,12 +32,13 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     counts = [F.size(F.filter("ts", partial(_is, t))) for t in weights]
     sized = sized.select(key, "dl", *(c.alias(f"tf{i}") for i, c in enumerate(counts)))
     totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(counts))))
-    j = sized.where(F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(counts)))) > 0).join(F.broadcast(totals), how="cross")  # one row of totals
+    hits = sized.where(F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(counts)))) > 0)
+    j = hits.withColumn("t", totals.select(F.struct("*")).scalar())
     score: Column = F.lit(0.0)
     for i, w in enumerate(weights.values()):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, w * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+        tf, df = F.col(f"tf{i}"), F.col(f"t.df{i}")
+        idf = F.log(1 + (F.col("t.n") - df + 0.5) / (df + 0.5))
+        score = score + F.when(tf > 0, w * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("t.avgdl")))).otherwise(0.0)
     return j.select(key, score.alias("score"))
 
 

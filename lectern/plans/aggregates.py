@@ -149,8 +149,8 @@ def usage_by_model(spark: SparkSession, d: str) -> DataFrame:
 )
 def cost_projection(spark: SparkSession, d: str) -> DataFrame:
     y = Tables(spark, d).item.groupBy("year").agg(F.count("*").alias("items"), F.sum("sentences_selected").alias("picked"))
-    mean = F.broadcast(y.agg((F.sum("picked") / F.sum("items")).alias("mean")))  # one row
-    return y.join(mean, how="cross").select("year", "items", F.round(F.col("picked") / F.col("items"), 4).alias("per_item"), F.round(F.col("mean") * F.col("items"), 2).alias("projected"))
+    mean = y.agg(F.sum("picked") / F.sum("items")).scalar()
+    return y.select("year", "items", F.round(F.col("picked") / F.col("items"), 4).alias("per_item"), F.round(mean * F.col("items"), 2).alias("projected"))
 
 
 @R.query(

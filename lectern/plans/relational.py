@@ -32,8 +32,8 @@ def union_sweeps_dedup(spark: SparkSession, d: str) -> DataFrame:
     sweep = lambda c, n: r.where(c).select("report_id", "title", F.lit(n).alias("sweep"))
     all_ = sweep(F.col("group_name").isin("oral", "bill", "budget"), 0).unionByName(sweep("n_turns > 5", 1)).unionByName(sweep("year >= 2018", 2))
     kept = first_wins(all_, ["report_id"], ["sweep"])
-    ratio = kept.agg(F.count("*").alias("n")).join(r.agg(F.count("*").alias("m")), how="cross").select(F.round(F.col("n") / F.col("m"), 4).alias("coverage"))
-    return kept.join(F.broadcast(ratio), how="cross")  # one row on the right
+    ratio = kept.agg(F.count("*")).scalar() / r.agg(F.count("*")).scalar()
+    return kept.withColumn("coverage", F.round(ratio, 4))
 
 
 @R.query(
@@ -359,7 +359,7 @@ def partition_check(spark: SparkSession, d: str) -> DataFrame:
     r = Tables(spark, d).report.select("report_id", "group_name")
     parts = [r.where(F.col("group_name").isin("bill", "motion")), r.where("group_name IS NULL"), r.where(~F.col("group_name").isin("bill", "motion"))]
     union = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    n = union.agg(F.count("*").alias("n_parts_rows"), F.countDistinct("report_id").alias("n_distinct")).join(r.agg(F.count("*").alias("n_all")), how="cross")
+    n = union.agg(F.count("*").alias("n_parts_rows"), F.countDistinct("report_id").alias("n_distinct")).withColumn("n_all", r.agg(F.count("*")).scalar())
     return n.withColumn("is_partition", (F.col("n_parts_rows") == F.col("n_distinct")) & (F.col("n_parts_rows") == F.col("n_all")))
 
 

@@ -327,8 +327,8 @@ _COS_SQL = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE
 
 def query_cosines(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    q = F.broadcast(e.agg(F.min_by("e", "vec_id").alias("q")))  # one vector
-    return e.join(q, how="cross").select("vec_id", "label", cosine(F.col("e"), F.col("q")).alias("cos"))
+    q = e.agg(F.min_by("e", "vec_id")).scalar()
+    return e.withColumn("q", q).select("vec_id", "label", cosine(F.col("e"), F.col("q")).alias("cos"))
 
 
 @R.query("vector_maxpool_rank", f"WITH {_COS_SQL} SELECT label, round(max(cos), 6) AS score FROM c GROUP BY 1")
