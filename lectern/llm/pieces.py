@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from lectern.functions.keys import key_form
 from lectern.llm.domain import by_draft, holding
 from lectern.llm.sentences import _SCRIPTS, _break_ends, _opening, _spans, flat_form
+from lectern.sources import checkpointed
 
 LIMIT, LOW, HIGH = 6000, 200, 800
 #: Characters of a range, and how many of its neighbours a worker sees when it looks for borders.
@@ -221,7 +222,7 @@ def stitched_units(borders: DataFrame) -> DataFrame:
 
     def f(key: str, rows: pd.DataFrame) -> pd.DataFrame:
         s, e, _, _ = stitch(rows)
-        return pd.DataFrame({"key": [key] * len(s), "char_start": s, "char_end": e})
+        return pd.DataFrame({"key": pd.Series([key] * len(s), dtype=object), "char_start": s, "char_end": e})
 
     return _per_text(borders, f, _struct(key=T.StringType(), char_start=T.LongType(), char_end=T.LongType()))
 
@@ -335,9 +336,11 @@ def faulty_splits(turns: DataFrame, chunks: DataFrame, reports: DataFrame, limit
     part, n_parts or cite_text breaks the terms.
     """
     own = by_draft(holding(turns.select("key", "report_id", "text", "loaded_at"), "key").where(F.length("text") > limit), reports, draft=False)
-    own = own.select(F.col("__key").alias("k"), "key", "text")
+    # what is used several times is written once: the long texts, their pieces, the borders, the overlaps
+    own = checkpointed(own.select(F.col("__key").alias("k"), "key", "text"))
     names = own.select("k", F.col("key").alias("turn_key"), F.length("text").alias("total"))
     stored = chunks.select(key_form("turn_key").alias("k"), "id", "part", "n_parts", "cite_text").join(names.select("k"), "k", "left_semi").distinct()
+    stored = checkpointed(stored)
     n = F.length("cite_text")
     by_part = stored.groupBy("k", "part").agg(F.count("*").alias("n"), F.max(F.coalesce(n, F.lit(limit + 1))).alias("most"), F.min(F.coalesce("n_parts", F.lit(-1))).alias("low"), F.max("n_parts").alias("high"))
     shape = by_part.groupBy("k").agg(F.sum("n").alias("n"), F.max("n").alias("same"), F.max("most").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("part").alias("first"), F.max("part").alias("last"), F.count_if(F.col("part").isNull()).alias("none"))
@@ -349,7 +352,7 @@ def faulty_splits(turns: DataFrame, chunks: DataFrame, reports: DataFrame, limit
     after = good.select("k", (F.col("part") - 1).alias("part"), F.col("cite_text").alias("next"))
     pairs = good.select("k", "part", "n_parts", F.length("cite_text").alias("n"), F.col("cite_text").alias("this")).join(after, ["k", "part"], "left")
     shared = F.when(F.col("next").isNotNull(), overlaps("this", "next", F.lit(low), F.lit(high)))
-    pairs = pairs.select("k", "part", F.col("n"), shared.alias("o"))
+    pairs = checkpointed(pairs.select("k", "part", F.col("n"), shared.alias("o")))
     ways = pairs.groupBy("k").agg(F.min(F.size("o")).alias("least"), F.max(F.size("o")).alias("most"))
     bad_pair = ways.where("least = 0").select("k")
     unclear = ways.where("least > 0 AND most > 1").select("k")
@@ -357,7 +360,7 @@ def faulty_splits(turns: DataFrame, chunks: DataFrame, reports: DataFrame, limit
 
     ranges = text_ranges(own, "k", "text", limit)
     borders = range_borders(ranges)
-    units = stitched_units(borders)
+    units = checkpointed(stitched_units(borders))
     long = units.groupBy(F.col("key").alias("k")).agg((F.max(F.col("char_end") - F.col("char_start")) > limit).alias("long"), F.min("char_start").alias("first"), F.max("char_end").alias("last"))
     steps = pairs.join(clear, "k", "left_semi").select("k", "part", (F.col("n") - F.coalesce(F.element_at("o", 1), F.lit(0))).alias("step"))
     placed = running_sum(steps, "k", "part", "step", "begin").select("k", "part", "begin")
