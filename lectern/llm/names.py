@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.glyphs import transducer
+from lectern.sources import checkpointed
 
 # Titles, words that join a name to a father's, offices, and short forms of names.
 HONORIFICS = set("mr mrs ms mdm mdme madam miss mx dr drs prof professor assoc associate asst er ir hon honourable rev sir dame datuk dato tan sri encik en puan pn cik tuan tn haji hj hajah hjh bg ltc col brig gen adj".split())
@@ -257,7 +258,9 @@ def resolve_labels(labels: DataFrame, roster: DataFrame) -> DataFrame:
     """
     name = labels.columns[0]
     parsed = labels.select(F.col(name).alias("label")).where("label IS NOT NULL").distinct().withColumn("p", parsed_label("label")).select("label", "p.*")
-    parsed = parsed.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    # one row for each distinct label, written once: else every use would parse again, and a filter on the
+    # parsed kind would move below the distinct and parse every row
+    parsed = checkpointed(parsed.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
     people = roster.select("member_id", "full_name", F.lower("constituency").alias("place")).where("full_name IS NOT NULL").dropDuplicates(["member_id"])
     people = people.withColumn("own", full_name_words("full_name"))
     asked = parsed.where("kind = 'name'").withColumn("all", F.concat("words", "nick"))
