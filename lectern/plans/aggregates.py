@@ -307,7 +307,7 @@ def cluster_gap_days(spark: SparkSession, d: str) -> DataFrame:
 @R.query(
     "section_gap_groups",
     current_sql(""", s AS (SELECT report_id, turn FROM turn_ WHERE words >= 120), b AS (SELECT *, CASE WHEN turn - lag(turn) OVER (PARTITION BY report_id ORDER BY turn) > 2 THEN 1 ELSE 0 END AS brk FROM s),
-g AS (SELECT *, sum(brk) OVER (PARTITION BY report_id ORDER BY turn) AS section FROM b) SELECT report_id, CAST(section AS BIGINT) AS section, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n, CAST(section // 6 AS BIGINT) AS batch FROM g GROUP BY 1, 2"""),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY report_id ORDER BY turn) AS section FROM b) SELECT g.report_id, CAST(g.section AS BIGINT) AS section, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n, CAST(g.section // 6 AS BIGINT) AS batch FROM g GROUP BY g.report_id, g.section"""),
 )
 def section_gap_groups(spark: SparkSession, d: str) -> DataFrame:
     s = Tables(spark, d).turn.where("words >= 120").select("report_id", "turn")

@@ -186,10 +186,10 @@ def html_turns(spark: SparkSession, d: str) -> DataFrame:
     return page_turns(pages(Tables(spark, d)), "key", "html")
 
 
-@R.query("id_parts", current_sql(r"SELECT id, regexp_extract(id, '^(.*)#t(\d+)#c(\d+)$', 1) AS report, CAST(regexp_extract(id, '^(.*)#t(\d+)#c(\d+)$', 2) AS INTEGER) AS turn, CAST(regexp_extract(id, '^(.*)#t(\d+)#c(\d+)$', 3) AS INTEGER) AS part FROM chunk_"))
+@R.query("id_parts", current_sql(r"SELECT id, regexp_extract(id, '^(.*)#t(\d+)#c(\d+)$', 1) AS report, TRY_CAST(regexp_extract(id, '^(.*)#t(\d+)#c(\d+)$', 2) AS INTEGER) AS turn, TRY_CAST(regexp_extract(id, '^(.*)#t(\d+)#c(\d+)$', 3) AS INTEGER) AS part FROM chunk_"))
 def id_parts(spark: SparkSession, d: str) -> DataFrame:
     part = lambda i: F.regexp_extract("id", r"^(.*)#t(\d+)#c(\d+)$", i)
-    return Tables(spark, d).chunk.select("id", part(1).alias("report"), part(2).cast("int").alias("turn"), part(3).cast("int").alias("part"))
+    return Tables(spark, d).chunk.select("id", part(1).alias("report"), part(2).try_cast("int").alias("turn"), part(3).try_cast("int").alias("part"))
 
 
 @R.query("token_estimate", current_sql(r"SELECT key, len(regexp_extract_all(text, '[A-Za-z0-9]+|[.,;:!?''\x22()%-]+')) + 2 AS tokens, length(text) // 4 AS quarter, length(text) // 4 > 2048 AS over FROM turn_ WHERE text IS NOT NULL"))
