@@ -221,25 +221,27 @@ def parsed_label(labels: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_label(x) for x in labels], columns=["kind", "words", "nick", "seat"])
 
 
-_KEYS = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("d", T.StringType())]))
+_FORMS = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("w", T.StringType())]))
 
 
-@F.pandas_udf(_KEYS)
-def delete_keys(words: pd.Series) -> pd.Series:
-    """The index keys of a label's or name's words, each with its word's number: those of the word, of it and
-    the next as one, and of the names it is short for. Single letters and joining words have none."""
+@F.pandas_udf(_FORMS)
+def word_forms(words: pd.Series) -> pd.Series:
+    """What is looked up for each word of a label or name, with the word's number: the word, it and the next as
+    one, and the names it is short for. Single letters and joining words are not looked up."""
     out = []
     for ws in words:
         ws = [w for w in ws if w not in CONNECTORS]
-        keys: set[tuple[int, str]] = set()
-        for i, w in enumerate(ws):
-            for x in [w, *([w + ws[i + 1]] if i + 1 < len(ws) else []), *_SHORT.get(w, ())]:
-                if len(x) > 1:
-                    keys.update((i, d) for d in deletes(x, reach(x)))
-        out.append([{"i": i, "d": d} for i, d in sorted(keys)])
+        forms = {(i, x) for i, w in enumerate(ws) for x in [w, *([w + ws[i + 1]] if i + 1 < len(ws) else []), *_SHORT.get(w, ())] if len(x) > 1}
+        out.append([{"i": i, "w": w} for i, w in sorted(forms)])
     return pd.Series(out)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def delete_keys(words: pd.Series) -> pd.Series:
+    """The keys of a word in the index."""
+    return pd.Series([sorted(deletes(w, reach(w))) for w in words])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def full_name_words(names: pd.Series) -> pd.Series:
     return pd.Series([name_words(n or "") for n in names])
@@ -266,12 +268,20 @@ def resolve_labels(labels: DataFrame, roster: DataFrame) -> DataFrame:
     asked = parsed.where("kind = 'name'").withColumn("all", F.concat("words", "nick"))
     vocabulary = people.select(F.explode("own").alias("w")).distinct()
     known = asked.select("label", F.explode("words").alias("w")).join(vocabulary, "w").groupBy("label").agg(F.collect_set("w").alias("known"))
-    index = people.select("member_id", F.explode(delete_keys("own")).alias("k")).select("member_id", F.col("k.d").alias("d")).distinct()
-    keys = asked.select("label", F.explode(delete_keys("all")).alias("k")).select("label", "k.i", "k.d")
-    # every word but one, that may be a mistyped joining word, must be near one of the member's
-    full = F.size(F.filter("all", lambda w: (F.length(w) > 1) & ~w.isin(*CONNECTORS)))
-    pairs = keys.join(index, "d").groupBy("label", "member_id").agg(F.countDistinct("i").alias("near"))
-    named = pairs.join(asked.withColumn("full", full), "label").where(F.col("near") >= F.greatest(F.lit(1), F.col("full") - 1))
+    forms = lambda rows, key, words: rows.select(key, F.explode(word_forms(words)).alias("f")).select(key, "f.i", "f.w")
+    by_key = lambda words: words.select("w", F.explode(delete_keys("w")).alias("d"))
+    # words are looked up, not labels: each distinct word once
+    typed, real = forms(asked, "label", "all"), forms(people, "member_id", "own").select("member_id", "w").distinct()
+    near = by_key(typed.select("w").distinct()).join(by_key(real.select("w").distinct()).withColumnRenamed("w", "r"), "d").select("w", "r").distinct()
+    members = real.groupBy("w").agg(F.count("*").alias("n")).withColumnRenamed("w", "r")
+    weights = near.join(members, "r").groupBy("w").agg(F.sum("n").alias("n"))
+    # every word but one, that may be a mistyped joining word, must be near one of the member's: so one of the
+    # two words that are near the fewest members must be, and only those two find members
+    words = typed.join(weights, "w", "left").groupBy("label", "i").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rare = words.groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "i"))), 1, 2).alias("x")).select("label", F.explode("x.i").alias("i"))
+    found = typed.join(rare, ["label", "i"], "left_semi").join(near, "w").select("label", "r").distinct()
+    pairs = found.join(real.withColumnRenamed("w", "r"), "r").select("label", "member_id").distinct()
+    named = pairs.join(asked, "label")
     named = named.join(people.drop("own"), "member_id").join(known, "label", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
     fits = named.withColumn("cost", costs("words", "nick", "full_name", "known")).where("cost IS NOT NULL")
     fits = fits.withColumn("cost", F.round("cost", 3) - F.when(F.coalesce(F.expr("instr(seat, place) > 0"), F.lit(False)), 0.05).otherwise(0.0))
