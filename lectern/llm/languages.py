@@ -83,6 +83,7 @@ def gram_counts(sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     x, sep = x[keep].astype(np.uint64), sep[keep]
     x[sep] = 0
     number = np.cumsum(sep)
+    kind = np.int32 if len(sentences) * BUCKETS < 1 << 31 else np.int64
     keys = []
     for n in GRAMS:
         m = len(x) - n + 1
@@ -96,8 +97,8 @@ def gram_counts(sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
             inside &= ~sep[i : i + m]
         if n == 1:
             inside &= x[:m] != 32
-        keys.append(number[:m][inside] * BUCKETS + (h[inside] % np.uint64(BUCKETS)).astype(np.int64))
-    found, counts = np.unique(np.concatenate(keys or [np.zeros(0, np.int64)]), return_counts=True)
+        keys.append((number[:m][inside] * BUCKETS + (h[inside] % np.uint64(BUCKETS)).astype(np.int64)).astype(kind))
+    found, counts = np.unique(np.concatenate(keys or [np.zeros(0, kind)]), return_counts=True)
     return found // BUCKETS, found % BUCKETS, counts
 
 
@@ -218,24 +219,27 @@ def train(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS, seed: int
 _SENTENCES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType())])
 
 
-def read_languages(sentences: list[str], model: Model) -> tuple[list[str | None], list[float]]:
-    """The language of each sentence of one document, or none, and how sure that is (0 to 1).
+def read_languages(sentences: list[str], model: Model, owner: list[int] | None = None) -> tuple[list[str | None], list[float]]:
+    """The language of each sentence, or none, and how sure that is (0 to 1).
 
-    The confidence is the lead over the next language as a share of the greatest cosine. A sentence that
-    is nearly as close to the language of most of the document takes that.
+    `owner` says which document each sentence is of, by number; without it all are of one. The confidence
+    is the lead over the next language as a share of the greatest cosine. A sentence that is nearly as close
+    to the language of most of its document takes that.
     """
-    parts = [model.cosines(c) for c in _chunks(sentences)]
-    cos = np.concatenate(parts) if parts else np.zeros((0, len(LANGUAGES)), np.float32)
+    if not sentences:
+        return [], []
+    cos = np.concatenate([model.cosines(c) for c in _chunks(sentences)])
+    of = np.zeros(len(cos), np.int64) if owner is None else np.asarray(owner)
     order = np.argsort(-cos, axis=1)
     rows = np.arange(len(cos))
-    best, second = (order[:, 0], order[:, 1]) if len(cos) else (order, order)
+    best, second = order[:, 0], order[:, 1]
     top, next_ = cos[rows, best], cos[rows, second]
     sure = (top - next_) / np.maximum(top, 1e-12)
     accepted = top >= model.least[best]
-    if accepted.any():
-        main = np.bincount(best[accepted], weights=sure[accepted], minlength=len(LANGUAGES)).argmax()
-        swap = accepted & (cos[:, main] >= (1 - CLOSE) * top)
-        best = np.where(swap, main, best)
+    weight = np.bincount(of * len(LANGUAGES) + best, np.where(accepted, sure, 0), (of.max() + 1) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))
+    main = weight.argmax(axis=1)[of]
+    swap = accepted & (weight.max(axis=1)[of] > 0) & (cos[rows, main] >= (1 - CLOSE) * top)
+    best = np.where(swap, main, best)
     return [LANGUAGES[b] if a else None for b, a in zip(best, accepted)], [round(float(x), 4) if a else 0.0 for x, a in zip(sure, accepted)]
 
 
@@ -244,13 +248,11 @@ def sentence_languages(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans = [(a, b) for a, b in units(text) if is_sentence(text[a:b])]
-                if spans:
-                    langs, sure = read_languages([text[a:b] for a, b in spans], model)
-                    rows += [(doc, a, b, x, y) for (a, b), x, y in zip(spans, langs, sure)]
-            cols = list(zip(*rows)) or [()] * 5
+            texts = batch.column(1).to_pylist()
+            spans = [(n, a, b) for n, text in enumerate(texts) for a, b in units(text) if is_sentence(text[a:b])]
+            langs, sure = read_languages([texts[n][a:b] for n, a, b in spans], model, [n for n, _, _ in spans])
+            docs = batch.column(0).to_pylist()
+            cols = list(zip(*((docs[n], a, b, x, y) for (n, a, b), x, y in zip(spans, langs, sure)))) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64()])], _SENTENCES.names)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SENTENCES)
