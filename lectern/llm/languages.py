@@ -36,6 +36,8 @@ BUCKETS, GRAMS, CLUSTERS = 1 << 14, (1, 2, 3, 4), 6
 SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 400, 800
 #: Characters of sentences that are counted at a time.
 CHARS = 1 << 16
+#: Sentences that are multiplied with the centroids at a time.
+BLOCK = 256
 #: Share of a language's own sentences that lie below the cosine from which its threshold is taken.
 REJECTED = 0.002
 #: A language's threshold as a share of that cosine.
@@ -118,14 +120,18 @@ class Model(NamedTuple):
             return out
         w = n.astype(np.float32) * self.idf[b]
         norm = np.sqrt(np.bincount(s, w * w, len(sentences)))
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        sums = np.add.reduceat(self.centroids[b] * w[:, None], first, axis=0)
-        sums /= np.maximum(norm[s[first]], 1e-12)[:, None]
-        for k in range(len(LANGUAGES)):
-            own = self.owners == k
-            if own.any():
-                out[s[first], k] = sums[:, own].max(axis=1)
-        return out
+        place = np.zeros(BUCKETS, np.int64)
+        for i in range(0, len(sentences), BLOCK):
+            lo, hi = np.searchsorted(s, (i, i + BLOCK))
+            used = np.flatnonzero(np.bincount(b[lo:hi], minlength=BUCKETS))
+            place[used] = np.arange(len(used))
+            x = np.zeros((min(BLOCK, len(sentences) - i), len(used)), np.float32)
+            x[s[lo:hi] - i, place[b[lo:hi]]] = w[lo:hi]
+            sums = x @ self.centroids[used]
+            for k in range(len(LANGUAGES)):
+                if (own := self.owners == k).any():
+                    out[i : i + BLOCK, k] = sums[:, own].max(axis=1)
+        return out / np.maximum(norm, 1e-12)[:, None].astype(np.float32)
 
 
 def _chunks(sentences: list[str]) -> Iterator[list[str]]:
