@@ -96,7 +96,7 @@ def norm_map(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d).turn.where("text <> ''").select("key", "text", chars.alias("x"))
     flat = F.transform("x", lambda c, i: F.struct(F.regexp_replace(F.translate(c, X.MARKS_FROM, X.MARKS_TO), r"\s", " ").alias("c"), i.alias("i")))
     t = t.select("key", "text", flat.alias("f"))
-    kept = F.filter("f", lambda x: ~((x["c"] == " ") & F.coalesce(F.try_element_at("f", x["i"])["c"] == " ", F.lit(True))))
+    kept = F.filter("f", lambda x: ~((x["c"] == " ") & F.coalesce(F.get("f", x["i"] - 1)["c"] == " ", F.lit(True))))
     t = t.select("key", kept.alias("k"))
     return t.select("key", F.md5(F.array_join(F.transform("k", lambda x: x["c"]), "")).alias("norm_md5"), F.size("k").alias("n"), F.try_element_at("k", F.lit(-1))["i"].alias("last_at"))
 
