@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -11,7 +11,7 @@ from lectern.operators.gates import gate
 from lectern.operators.sequences import kept_spans, packed
 from lectern.plans.registry import Registry
 from lectern.plans.texts import sentence_rows
-from lectern.sources import load
+from lectern.sources import checkpointed, load
 
 R = Registry()
 
@@ -120,19 +120,65 @@ def verify_quotes(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", ((F.length("cite_text") >= 12) & F.contains(X.cased_norm("text"), X.cased_norm("cite_text"))).alias("verified"))
 
 
+_GRAM, _TRIED = 4, 4
+_WORD = r"(\p{IsHan}|[^ \p{IsHan}]+)"
+
+
+def _form(c: str) -> Column:
+    return F.trim(F.regexp_replace(F.translate(F.col(c), X.MARKS_FROM, X.MARKS_TO), r"\s+", " "))
+
+
+def _grams(x: str) -> Column:
+    """Hashes of the report with each few words in a row of an array."""
+    some = F.transform(F.sequence(F.lit(1), F.size(x) - (_GRAM - 1)), lambda i: F.xxhash64("report_id", F.slice(x, i, F.lit(_GRAM))))
+    return F.when(F.size(x) >= _GRAM, F.array_distinct(some)).otherwise(F.array().cast("array<bigint>"))
+
+
 @R.query(
     "anchor_spans",
     current_sql(X.SENT_SQL + """, probe AS (SELECT DISTINCT report_id, s FROM sent_ WHERE length(s) BETWEEN 30 AND 160 AND year = 2018), hit AS (SELECT p.report_id, p.s, t.key, instr(t.text, p.s) AS pos FROM probe p JOIN turn_ t ON t.report_id = p.report_id AND contains(t.text, p.s))
 SELECT report_id, md5(s) AS probe_md5, count(*) AS hits, CASE WHEN count(*) = 1 THEN min(key) END AS key, CASE WHEN count(*) = 1 THEN min(pos) - 1 END AS char_start, CASE WHEN count(*) = 1 THEN 'exact' ELSE 'ambiguous' END AS method FROM hit GROUP BY report_id, s"""),
 )
 def anchor_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Where a report's sentences stand in its turns: sentences and turns meet by report, then by containment."""
+    """Where a report's sentences and its chunks' texts stand in its turns: `exact` (verbatim in one turn, at its first place),
+    `normalised` (in one turn in normal form only; the offsets are of the original), `ambiguous` (in several turns)
+    or `unresolved` (in none). Turns are counted in normal form, that of `norm_map` without blanks at the ends.
+
+    Turns are numbers by a hash until their texts are compared. Probes and turns meet by report and by four words in a row from within the probe, the rarest in the report of a few;
+    then containment decides. Probes that are too short for that meet all turns of their report."""
     t = Tables(spark, d)
-    probe = sentence_rows(t).where("year = 2018 AND length(s) BETWEEN 30 AND 160").select("report_id", "s").distinct()
-    hit = probe.join(t.turn.where("year = 2018").select("report_id", "key", "text"), "report_id").where(F.contains("text", "s"))
-    g = hit.groupBy("report_id", "s").agg(F.count("*").alias("hits"), F.min("key").alias("k"), F.min(F.position(F.col("s"), F.col("text"))).alias("at"))
+    turns = checkpointed(t.turn.where("text IS NOT NULL").select("report_id", "key", "text"))
+    said = turns.select("report_id", F.explode(X.sentences("text")).alias("s"))
+    said = said.unionByName(t.chunk.where("cite_text IS NOT NULL").select("report_id", F.col("cite_text").alias("s")))
+    probe = said.groupBy("report_id", F.md5("s").alias("probe_md5")).agg(F.first("s").alias("s")).withColumn("form", _form("s"))
+    probe = probe.withColumn("x", F.regexp_extract_all("form", F.lit(_WORD), F.lit(1)))
+    inner = probe.withColumn("x", F.slice("x", F.lit(2), F.greatest(F.size("x") - 2, F.lit(0))))  # the outer words may be parts of longer ones
+    probe = checkpointed(inner.select("report_id", "probe_md5", "s", F.nullif("form", "s").alias("form"), F.slice(F.array_sort(_grams("x")), 1, _TRIED).alias("grams")))
+    words = turns.select("report_id", F.xxhash64("key").alias("id"), F.regexp_extract_all(_form("text"), F.lit(_WORD), F.lit(1)).alias("x"))
+    grams = words.select("id", F.explode(_grams("x")).alias("g"))
+    often = grams.groupBy("g").agg(F.count("*").alias("n"))
+    tried = probe.select("report_id", "probe_md5", F.explode("grams").alias("g")).join(often, "g", "left")
+    rarest = tried.groupBy("report_id", "probe_md5").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))["g"].alias("g"))
+    met = rarest.join(grams, "g").select("report_id", "probe_md5", "id").join(probe.drop("grams"), ["report_id", "probe_md5"])
+    short = probe.where("size(grams) = 0 AND coalesce(form, s) <> ''").drop("grams").join(turns.select("report_id", F.xxhash64("key").alias("id")), "report_id")
+    texts = turns.select("report_id", F.xxhash64("key").alias("id"), "key", "text", F.nullif(_form("text"), F.col("text")).alias("t"))
+    form, plain = F.coalesce("form", "s"), F.coalesce("t", "text")
+    hit = met.unionByName(short).join(texts, ["report_id", "id"]).where(F.contains(plain, form)).withColumn("form", form).withColumn("t", plain)
+    at = F.position(F.col("s"), F.col("text"))
+    hit = hit.withColumn("at", F.when(at > 0, at - 1)).withColumn("first", F.position(F.col("form"), F.col("t")))
+    # the characters of the normal form with their places, only where they are needed
+    chars = F.transform(F.split(F.when(F.col("at").isNull(), F.col("text")), ""), lambda c, i: F.struct(F.regexp_replace(F.translate(c, X.MARKS_FROM, X.MARKS_TO), r"\s", " ").alias("c"), i.alias("i")))
+    hit = hit.select("report_id", "probe_md5", "key", "at", "first", F.length("form").alias("n"), F.length("s").alias("long"), chars.alias("f"))
+    kept = F.filter("f", lambda x: ~((x["c"] == " ") & F.coalesce(F.get("f", x["i"] - 1)["c"] == " ", F.lit(True))))
+    hit = hit.select("report_id", "probe_md5", "key", "at", "first", "n", "long", kept.alias("k"))
+    start = F.coalesce("at", F.get("k", F.col("first") - 1)["i"])
+    end = F.coalesce(F.col("at") + F.col("long"), F.get("k", F.col("first") + F.col("n") - 2)["i"] + 1)
+    method = F.when(F.col("at").isNotNull(), "exact").otherwise("normalised")
+    g = hit.groupBy("report_id", "probe_md5").agg(F.count("*").alias("hits"), F.min(F.struct("key", start.alias("s"), end.alias("e"), method.alias("method"))).alias("x"))
+    j = probe.select("report_id", "probe_md5").join(g, ["report_id", "probe_md5"], "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
     one = F.col("hits") == 1
-    return g.select("report_id", F.md5("s").alias("probe_md5"), "hits", F.when(one, F.col("k")).alias("key"), F.when(one, F.col("at") - 1).cast("long").alias("char_start"), F.when(one, "exact").otherwise("ambiguous").alias("method"))
+    method = F.when(one, F.col("x.method")).when(F.col("hits") == 0, "unresolved").otherwise("ambiguous")
+    return j.select("report_id", "probe_md5", "hits", F.when(one, F.col("x.key")).alias("key"), F.when(one, F.col("x.s")).cast("long").alias("char_start"), F.when(one, F.col("x.e")).cast("long").alias("char_end"), method.alias("method"))
 
 
 @R.query("anchor_ref", current_sql(r"SELECT c.id, t.date, regexp_replace(c.id, '#c\d+$', '') AS turn_key, instr(t.text, c.cite_text) - 1 AS char_start, length(c.cite_text) AS n FROM chunk_ c JOIN turn_ t ON t.key = regexp_replace(c.id, '#c\d+$', '') WHERE contains(t.text, c.cite_text)"))
