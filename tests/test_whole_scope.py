@@ -71,3 +71,26 @@ def test_anchor_spans(spark, data, made):
     assert {x[-1] for x in rows} == {"exact", "normalised", "ambiguous", "unresolved"}
     years = {r.report_id: r.year for r in Tables(spark, data).turn.collect()}
     assert len({years[r.report_id] for r in DOCUMENTS.plans["anchor_spans"](spark, data).collect()}) == len(set(years.values())) > 1
+
+
+def test_marks_of_all_years_and_places(spark, data, made):
+    words = ["rebate", "permit", "caregivers", "grant", "service standard"]
+    for d in (data, made):
+        kept, covered = set(), set()
+        for r in Tables(spark, d).turn.where("text IS NOT NULL").collect():
+            low = r.text.lower()
+            spans = sorted((m.start(), m.start() + 20) for w in words for m in re.finditer(w, low) if m.start() + 20 <= len(r.text))
+            pos, runs = 0, []
+            for s, e in spans:
+                if s >= pos:
+                    kept.add((r.key, s, e))
+                    pos = e
+                if runs and s <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], e)
+                else:
+                    runs.append([s, e])
+            covered.update((r.key, s, e) for s, e in runs)
+        assert kept and covered
+        for name, expected in (("runs_from_spans", kept), ("cited_overlay", covered)):
+            rows = [(r.key, r.s, r.e) for r in DOCUMENTS.plans[name](spark, d).collect()]
+            assert len(rows) == len(set(rows)) and set(rows) == expected
