@@ -377,8 +377,8 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("derive_constraints")
 def derive_constraints(spark: SparkSession, d: str) -> DataFrame:
-    """Years (ranges expanded) and the subject that a question names."""
-    q = load(spark, d, "documents").where("text LIKE '%etween 20%'").select("doc_id", "text")
+    """Years (ranges expanded) and the subject that a text names; no years and '' where it names none."""
+    q = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
     pairs = F.regexp_extract_all("text", F.lit(r"etween ((?:19|20)\d\d) and (?:(?:19|20)\d\d)"), F.lit(1))
     ends = F.regexp_extract_all("text", F.lit(r"etween (?:(?:19|20)\d\d) and ((?:19|20)\d\d)"), F.lit(1))
     ranges = F.flatten(F.transform(F.arrays_zip(pairs.alias("a"), ends.alias("b")), lambda x: F.sequence(F.least(x["a"].cast("int"), x["b"].cast("int")), F.greatest(x["a"].cast("int"), x["b"].cast("int")))))

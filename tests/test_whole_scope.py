@@ -9,6 +9,7 @@ import pytest
 from lectern.functions.text import MARKS_FROM, MARKS_TO
 from lectern.operators.current import Tables
 from lectern.plans.documents import R as DOCUMENTS
+from lectern.plans.texts import R as TEXTS
 from lectern.plans.texts import sentence_rows
 
 
@@ -94,3 +95,18 @@ def test_marks_of_all_years_and_places(spark, data, made):
         for name, expected in (("runs_from_spans", kept), ("cited_overlay", covered)):
             rows = [(r.key, r.s, r.e) for r in DOCUMENTS.plans[name](spark, d).collect()]
             assert len(rows) == len(set(rows)) and set(rows) == expected
+
+
+def test_derive_constraints_of_every_text(spark, data, tmp_path):
+    texts = [(1, "What was said between 1998 and 2001 on the Permit?"), (2, "The rebate of 2007."), (3, "A waiting list, no year."), (4, "Nothing named."), (5, "Between 2012 and 2010, and 2020"), (6, None), (7, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (data, str(tmp_path)):
+        docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").collect()}
+        rows = TEXTS.plans["derive_constraints"](spark, d).collect()
+        assert len(rows) == len(docs) and {r.doc_id for r in rows} == set(docs)
+        for r in rows:
+            years = {int(y) for y in re.findall(r"\b(?:19|20)\d\d\b", docs[r.doc_id])}
+            for a, b in re.findall(r"etween ((?:19|20)\d\d) and ((?:19|20)\d\d)", docs[r.doc_id]):
+                years.update(range(min(int(a), int(b)), max(int(a), int(b)) + 1))
+            subject = re.search(r"\b(take-up rate|waiting list|service standard|rebate|permit|grant)\b", docs[r.doc_id].lower())
+            assert (r.years, r.subject) == (sorted(years), subject[1] if subject else "")
