@@ -210,7 +210,7 @@ def suggestion_grounding(spark: SparkSession, d: str) -> DataFrame:
 @R.query("provenance_check", current_sql("SELECT c.id, instr(t.text, c.cite_text) AS at, sha256(substr(t.text, instr(t.text, c.cite_text), length(c.cite_text))) = sha256(c.cite_text) AS same FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE c.part = 0 AND contains(t.text, c.cite_text)"))
 def provenance_check(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    j = t.chunk.where("part = 0").select("id", "turn_key", "cite_text").join(t.turn.select(F.col("key").alias("turn_key"), "text"), "turn_key").where(F.contains("text", "cite_text"))
+    j = t.chunk.select("id", "turn_key", "cite_text").join(t.turn.select(F.col("key").alias("turn_key"), "text"), "turn_key").where(F.contains("text", "cite_text"))
     at = F.position(F.col("cite_text"), F.col("text"))
     return j.select("id", at.cast("long").alias("at"), (F.sha2(F.substring(F.col("text"), at, F.length("cite_text")), 256) == F.sha2("cite_text", 256)).alias("same"))
 
@@ -408,7 +408,7 @@ def flag_falsify(spark: SparkSession, d: str) -> DataFrame:
 def evidence_missing(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{4,})"), F.lit(1)))
-    j = t.chunk.where("cite_text IS NOT NULL AND n_parts > 1").select("id", "turn_key", "cite_text").join(t.turn.where("text IS NOT NULL").select(F.col("key").alias("turn_key"), "text"), "turn_key")
+    j = t.chunk.where("cite_text IS NOT NULL").select("id", "turn_key", "cite_text").join(t.turn.where("text IS NOT NULL").select(F.col("key").alias("turn_key"), "text"), "turn_key")
     return j.select("id", F.size(F.array_except(words("cite_text"), words("text"))).cast("long").alias("missing"))
 
 

@@ -110,3 +110,15 @@ def test_derive_constraints_of_every_text(spark, data, tmp_path):
                 years.update(range(min(int(a), int(b)), max(int(a), int(b)) + 1))
             subject = re.search(r"\b(take-up rate|waiting list|service standard|rebate|permit|grant)\b", docs[r.doc_id].lower())
             assert (r.years, r.subject) == (sorted(years), subject[1] if subject else "")
+
+
+def test_chunks_of_any_part(spark, data):
+    t = Tables(spark, data)
+    texts = {r.key: r.text for r in t.turn.where("text IS NOT NULL").collect()}
+    chunks = [r for r in t.chunk.where("cite_text IS NOT NULL").collect() if r.turn_key in texts]
+    words = lambda x: set(re.findall("[a-z]{4,}", x.lower()))
+    missing = [(r.id, r.missing) for r in DOCUMENTS.plans["evidence_missing"](spark, data).collect()]
+    assert sorted(missing) == sorted((r.id, len(words(r.cite_text) - words(texts[r.turn_key]))) for r in chunks)
+    places = [(r.id, r["at"], r.same) for r in DOCUMENTS.plans["provenance_check"](spark, data).collect()]
+    assert sorted(places) == sorted((r.id, texts[r.turn_key].index(r.cite_text) + 1, True) for r in chunks if r.cite_text in texts[r.turn_key])
+    assert {r.n_parts > 1 for r in chunks} == {r.part > 0 for r in chunks} == {True, False}
