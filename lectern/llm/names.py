@@ -2,18 +2,19 @@
 
 A label's words and the roster's words meet in a symmetric-delete index: each word stands there under
 every string that is left of it when few letters are deleted, so that words a small edit distance apart
-share one. Members that share a word with a label are then aligned with it, word by word, at least cost.
+share one. Of a label one word that must be read, the one that is near the fewest members, finds the
+members that can be meant; the label's words are then assigned to each one's at least cost.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import combinations
+from itertools import accumulate, combinations
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +22,7 @@ from lectern.llm.glyphs import transducer
 from lectern.sources import checkpointed
 
 # Titles, words that join a name to a father's, offices, and short forms of names.
-HONORIFICS = set("mr mrs ms mdm mdme madam miss mx dr drs prof professor assoc associate asst er ir hon honourable rev sir dame datuk dato tan sri encik en puan pn cik tuan tn haji hj hajah hjh bg ltc col brig gen adj".split())
+HONORIFICS = set("mr mrs ms mdm mdme madam miss mx dr drs prof professor assoc associate asst er ir hon honourable rev sir dame datuk dato encik en puan pn cik tuan tn haji hj hajah hjh bg ltc col brig gen adj".split())
 CONNECTORS = {"bin", "binte", "binti", "bte", "bt", "bnt", "s/o", "d/o", "a/l", "a/p", "ibni", "ibn"}
 PHRASES = {"son of": "s/o", "daughter of": "d/o", "s / o": "s/o", "d / o": "d/o", "a / l": "a/l", "a / p": "a/p"}
 SHORT_FORMS = {
@@ -41,7 +42,7 @@ _CLOCK = r"\d{1,2}[:.]\d{2}(?:[:.]\d{2})?\s*(?:[ap]\.?m\.?)?"
 _STAMP = re.compile(rf"[\[(<]\s*{_CLOCK}\s*[\])>]|^\s*{_CLOCK}\s+(?=[A-Za-z])", re.I)
 _PAREN = re.compile(r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 
-_PARSED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("nick", T.ArrayType(T.StringType())), T.StructField("seat", T.StringType())])
+_PARSED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("nick", T.ArrayType(T.StringType())), T.StructField("seat", T.StringType()), T.StructField("need", T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("w", T.StringType())])))])
 
 
 def name_words(text: str) -> list[str]:
@@ -55,8 +56,15 @@ def name_words(text: str) -> list[str]:
             words.append(w.strip("."))
         else:
             words += [x for x in re.split(r"[^\w'/]+", w) if x.strip("'/")]
-    while words and words[0] in HONORIFICS:
-        words.pop(0)
+    # "Tan" and "Sri" are names too: a title only where the one precedes the other, or Sri follows a title
+    while len(words) > 1:
+        if words[0] in HONORIFICS:
+            n = 2 if words[0] in ("dato", "datuk") and words[1] == "sri" and len(words) > 2 else 1
+        elif words[:2] == ["tan", "sri"] and len(words) > 2:
+            n = 2
+        else:
+            break
+        del words[:n]
     return words
 
 
@@ -113,43 +121,44 @@ def distance(a: str, b: str) -> int:
     return prev[-1]
 
 
-#: Costs of an alignment: a typing error, a short form, an initial, joined or parted words, a word left out, a word in brackets.
-TYPO, SHORT, INITIAL, JOINED, LEFT_OUT = 1.0, 0.2, 0.4, 0.3, 2.0
+#: Costs of an assignment: a typing error, a short form, an initial, joined or split words, a word left out, words parted.
+TYPO, SHORT, INITIAL, JOINED, LEFT_OUT, PARTED = 1.0, 0.2, 0.4, 0.3, 2.0, 0.5
 NEVER = 99.0
 
 
-class Order(NamedTuple):
-    """A way to write a name: its words in order, whether a joining word may stand among them, what the
-    way costs, and whether its words must be written whole."""
+class Reading(NamedTuple):
+    """A way to write a name: its blocks of words that stay together, whether they may change places, whether a
+    joining word may stand among them, what the way costs, whether its words must be written whole, and what
+    each two words cost that follow each other but not in the name."""
 
-    words: tuple[str, ...]
+    blocks: tuple[tuple[str, ...], ...]
+    moves: bool = True
     joined: bool = False
     extra: float = 0.0
     whole: bool = False
+    parted: float = 0.0
 
 
 @lru_cache(100_000)
-def member_orders(full_name: str) -> tuple[Order, ...]:
+def member_readings(full_name: str) -> tuple[Reading, ...]:
     """The ways in which a name is written.
 
     Names with a joining word have two parts, either of which may lead. Otherwise a family name may lead or
-    end, a first name of another language before it may also stand last or be left out, and a first name
-    may stand alone with the family name; given names keep their order.
+    end, a first name of another language before it may stand anywhere or be left out, and a first name
+    may stand alone with the family name; given names keep their order. The words of longer names may change
+    places at a cost.
     """
-    words = name_words(full_name)
+    words = tuple(name_words(full_name))
     at = next((i for i, w in enumerate(words) if w in CONNECTORS), None)
     if at is not None:
-        a, b = tuple(words[:at]), tuple(words[at + 1 :])
-        return Order(a + b, True), Order(b + a, True)
+        return (Reading(tuple(b for b in (words[:at], words[at + 1 :]) if b), joined=True),)
     if len(words) == 4:
-        w, s, g = (words[0],), (words[1],), tuple(words[2:])
-        full = [w + s + g, s + g + w, w + g + s, s + w + g, g + s + w, g + w + s]
-        less = [Order(s + g, extra=LEFT_OUT), Order(g + s, extra=LEFT_OUT), Order(w + s, extra=LEFT_OUT + 0.5, whole=True), Order(g[:1] + s, extra=LEFT_OUT + 1, whole=True)]
-        return *map(Order, full), *less
+        w, s, g = words[:1], words[1:2], words[2:]
+        return Reading((w, s, g)), Reading((s, g), extra=LEFT_OUT), Reading((w, s), False, extra=LEFT_OUT + 0.5, whole=True), Reading((g[:1], s), False, extra=LEFT_OUT + 1, whole=True)
     if len(words) == 3:
-        s, g = (words[0],), tuple(words[1:])
-        return Order(s + g), Order(g + s), Order(g[:1] + s, extra=LEFT_OUT + 1, whole=True)
-    return tuple(Order(tuple(words[i:] + words[:i])) for i in range(len(words)))
+        s, g = words[:1], words[1:]
+        return Reading((s, g)), Reading((g[:1], s), False, extra=LEFT_OUT + 1, whole=True)
+    return (Reading(tuple((w,) for w in words), parted=PARTED if len(words) > 2 else 0.0),) if words else ()
 
 
 def word_cost(typed: str, real: str, known: frozenset[str]) -> float:
@@ -169,82 +178,136 @@ def word_cost(typed: str, real: str, known: frozenset[str]) -> float:
     return TYPO * d if d <= n else NEVER
 
 
-def align(words: list[str], order: tuple[str, ...], joined: bool, known: frozenset[str], may_drop: frozenset[str]) -> tuple[float, int]:
-    """The least cost of reading `words` as a name in this order, and how many of its words were read whole.
+def like_connector(word: str) -> bool:
+    """Whether a word may be a joining word, typed rightly or not."""
+    return word in CONNECTORS or word == "b" or len(word) > 2 and min(distance(word, x) for x in ("bin", "binte", "s/o", "d/o")) <= 1
+
+
+def assign(words: list[str], reading: Reading, known: frozenset[str], left_out: frozenset[str] = frozenset()) -> tuple[float, int]:
+    """The least cost of assigning `words` to a name's words, and how many of those were read whole.
 
-    Every typed word must be read: as one real word, two of them joined, half of one, or as a joining word
-    where the name has one. Real words of `may_drop` may be missing.
+    Every typed word must be read: as one real word, as two, as half of one with the next, or as a joining
+    word where the name has one. Every real word but those of `left_out` must be given exactly once. The
+    optimum is exact: over the typed words in turn, the least cost is kept for each set of real words given
+    so far and the last of them, on which depends what the next one costs by its place.
     """
-    best: dict[tuple[int, int], tuple[float, int]] = {(0, 0): (0.0, 0)}
-    n, m = len(words), len(order)
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if (i, j) not in best:
-                continue
-            cost, whole = best[i, j]
-
-            def go(di: int, dj: int, add: float, full: int) -> None:
-                if add < NEVER:
-                    at, new = (i + di, j + dj), (cost + add, whole + full)  # noqa: B023
-                    if at not in best or (new[0], -new[1]) < (best[at][0], -best[at][1]):
-                        best[at] = new
-
-            if i < n and j < m:
-                c = word_cost(words[i], order[j], known)
-                go(1, 1, c, len(words[i]) > 1)
-            if i < n and joined and j and (words[i] in CONNECTORS or words[i] == "b" or words[i] not in known and len(words[i]) > 2 and min(distance(words[i], x) for x in ("bin", "binte", "s/o", "d/o")) <= 1):
-                go(1, 0, 0.0 if words[i] in CONNECTORS else 0.1, 0)
-            if i < n and j + 1 < m and len(words[i]) > 3 and words[i] not in known:
-                both = order[j] + order[j + 1]
-                d = distance(words[i], both) if abs(len(both) - len(words[i])) < 2 else 9
-                go(1, 2, JOINED + TYPO * d if d <= 1 else NEVER, 2)
-            if i + 1 < n and j < m and len(order[j]) > 3 and words[i] not in known and words[i + 1] not in known and words[i] + words[i + 1] == order[j]:
-                go(2, 1, JOINED, 1)
-            if j < m and order[j] in may_drop:
-                go(0, 1, LEFT_OUT, 0)
-    return best.get((n, m), (NEVER, 0))
+    blocks = [b for b in (tuple(w for w in b if w not in left_out) for b in reading.blocks) if b]
+    real = [w for b in blocks for w in b]
+    last = {e - 1 for e in accumulate(map(len, blocks))}
+    first = {0} | {e + 1 for e in last}
+    n, m = len(words), len(real)
+    if not m or n > 2 * m + (2 if reading.joined else 0) or 2 * n < m:
+        return NEVER, 0
+    follow = [[(0.0 if b == a + 1 else reading.parted if reading.moves and a in last and b in first else NEVER) for b in range(m)] for a in range(m)]
+    begin = [0.0 if b == 0 or reading.moves and b in first else NEVER for b in range(m)]
+    full = (1 << m) - 1
+    states: list[dict[tuple[int, int], tuple[float, int]]] = [{} for _ in range(n + 1)]
+    states[0][0, -1] = (0.0, 0)
+
+    def reach_(i: int, key: tuple[int, int], cost: float, whole: int) -> None:
+        if cost < NEVER:
+            old = states[i].get(key)
+            if old is None or (cost, -whole) < (old[0], -old[1]):
+                states[i][key] = (cost, whole)
+
+    for i in range(n):
+        if not states[i]:
+            continue
+        w = words[i]
+        single = [word_cost(w, x, known) for x in real]
+        new = w not in known
+        split = [i + 1 < n and new and len(x) > 3 and words[i + 1] not in known and w + words[i + 1] == x for x in real]
+        joins = reading.joined and (w in CONNECTORS or new and like_connector(w))
+        for (used, at), (cost, whole) in states[i].items():
+            if joins and used:
+                reach_(i + 1, (used, at), cost + (0.0 if w in CONNECTORS else 0.1), whole)
+            for b in range(m):
+                place = begin[b] if at < 0 else follow[at][b]
+                if used >> b & 1 or place >= NEVER:
+                    continue
+                taken, so_far = used | 1 << b, cost + place
+                reach_(i + 1, (taken, b), so_far + single[b], whole + (len(w) > 1))
+                if split[b]:
+                    reach_(i + 2, (taken, b), so_far + JOINED, whole + 1)
+                if new and len(w) > 3:
+                    for c in range(m):
+                        if not taken >> c & 1 and follow[b][c] < NEVER and abs(len(real[b]) + len(real[c]) - len(w)) < 2 and (d := distance(w, real[b] + real[c])) <= 1:
+                            reach_(i + 1, (taken | 1 << c, c), so_far + follow[b][c] + JOINED + TYPO * d, whole + 2)
+    return min((v for (used, _), v in states[n].items() if used == full), key=lambda v: (v[0], -v[1]), default=(NEVER, 0))
 
 
 def label_cost(words: list[str], nick: list[str], full_name: str, known: frozenset[str]) -> float | None:
-    """The least cost of a label for a member; None if it can't mean this member."""
+    """The least cost of a label for a member; None if it can't mean this member.
+
+    A word of the name may be left out if a bracketed word stands for it.
+    """
     best = NEVER
-    for order in member_orders(full_name):
-        drop = frozenset(w for w in order.words if any(w in _SHORT.get(x, ()) or w == x for x in nick))
-        cost, whole = align(words, order.words, order.joined, known, drop)
-        if cost < NEVER and whole >= (len(order.words) if order.whole else 1):
-            best = min(best, cost + order.extra)
+    for reading in member_readings(full_name):
+        size = sum(map(len, reading.blocks))
+        said = [w for b in reading.blocks for w in b if any(w in _SHORT.get(x, ()) or w == x for x in nick)]
+        for out in [frozenset(), *({frozenset(said)} if said else ())]:
+            cost, whole = assign(words, reading, known, out)
+            if cost < NEVER and whole >= (size - len(out) if reading.whole else 1):
+                best = min(best, cost + reading.extra + LEFT_OUT * len(out))
     return None if best >= NEVER else best
 
 
-@F.pandas_udf(_PARSED)
-def parsed_label(labels: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_label(x) for x in labels], columns=["kind", "words", "nick", "seat"])
+def needed_forms(words: list[str]) -> list[tuple[int, str]]:
+    """(place, form) of what a label's words are looked up as, for each place that must be read.
+
+    Whatever member a label means, each of these places is near a word of the name by one of its forms: so
+    any one of them finds all members that can be meant. Initials and joining words, mistyped ones too, need
+    not be read by themselves; if nothing else is there, all other words make one place. A form that must be
+    met letter by letter begins with "=": two neighbours as one word, and what a word is short for.
+    """
+
+    def forms(i: int) -> set[str]:
+        joined = [a + b for a, b in zip(words[max(0, i - 1) : i + 1], words[max(1, i) : i + 2])]
+        return {words[i], *(f"={x}" for x in (*joined, *_SHORT.get(words[i], ())))}
+
+    long = [i for i, w in enumerate(words) if len(w) > 1 and w not in CONNECTORS]
+    must = [i for i in long if not like_connector(words[i])]
+    return sorted((i, x) for i in must for x in forms(i)) if must else sorted((0, x) for i in long for x in forms(i))
 
 
-_FORMS = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("w", T.StringType())]))
+def roster_forms(full_name: str) -> list[str]:
+    """A member's words, and each two that may follow each other as one."""
+    out: set[str] = set()
+    for reading in member_readings(full_name):
+        flat = [(k, w) for k, b in enumerate(reading.blocks) for w in b]
+        out |= {w for _, w in flat}
+        out |= {a + b for i, (_, a) in enumerate(flat) for j, (_, b) in enumerate(flat) if i != j and (j == i + 1 or reading.moves)}
+    return sorted(x for x in out if len(x) > 1)
 
 
-@F.pandas_udf(_FORMS)
-def word_forms(words: pd.Series) -> pd.Series:
-    """What is looked up for each word of a label or name, with the word's number: the word, it and the next as
-    one, and the names it is short for. Single letters and joining words are not looked up."""
+@F.pandas_udf(_PARSED)
+def parsed_label(labels: pd.Series) -> pd.DataFrame:
     out = []
-    for ws in words:
-        ws = [w for w in ws if w not in CONNECTORS]
-        forms = {(i, x) for i, w in enumerate(ws) for x in [w, *([w + ws[i + 1]] if i + 1 < len(ws) else []), *_SHORT.get(w, ())] if len(x) > 1}
-        out.append([{"i": i, "w": w} for i, w in sorted(forms)])
-    return pd.Series(out)
+    for x in labels:
+        kind, words, nick, seat = parse_label(x)
+        need = needed_forms(words) if kind == "name" else []
+        out.append((kind, words, nick, seat, [{"i": i, "w": w} for i, w in need]))
+    return pd.DataFrame(out, columns=_PARSED.names)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def delete_keys(words: pd.Series) -> pd.Series:
-    """The keys of a word in the index."""
-    return pd.Series([sorted(deletes(w, reach(w))) for w in words])
+    """The keys of a form in the index: its deletions, or itself where it begins with "="."""
+    return pd.Series([[w] if w.startswith("=") else sorted(deletes(w, reach(w))) for w in words])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def full_name_words(names: pd.Series) -> pd.Series:
-    return pd.Series([name_words(n or "") for n in names])
+@F.pandas_udf(T.BooleanType())
+def close(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether words that share a key are as near as a typing error."""
+    return pd.Series([x.startswith("=") or distance(x, y) <= max(reach(x), reach(y)) for x, y in zip(a, b)], dtype="bool")
+
+
+_PERSON = T.StructType([T.StructField("own", T.ArrayType(T.StringType())), T.StructField("forms", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(_PERSON)
+def person_forms(names: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(name_words(n), roster_forms(n)) for n in names], columns=_PERSON.names)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -252,41 +315,49 @@ def costs(words: pd.Series, nick: pd.Series, names: pd.Series, known: pd.Series)
     return pd.Series([label_cost(list(w), list(n), name, frozenset(k)) for w, n, name, k in zip(words, nick, names, known)], dtype="float64")
 
 
+def near_forms(typed: DataFrame, people: DataFrame) -> DataFrame:
+    """w, r, n: the roster's forms near each form that labels are looked up by, and how many members have them.
+
+    A word of the roster is near itself alone. Distinct forms meet, not labels or members.
+    """
+    real = people.select("member_id", F.explode("forms").alias("r"), "own")
+    real = real.groupBy("r").agg(F.countDistinct("member_id").alias("n"), F.bool_or(F.array_contains("own", F.col("r"))).alias("single"))
+    keys = real.select("r", "n", "single", F.explode(F.array_append(delete_keys("r"), F.concat(F.lit("="), F.col("r")))).alias("d"))
+    asked = typed.select("w").distinct().select("w", F.explode(delete_keys("w")).alias("d"))
+    met = asked.join(keys, "d").select("w", "r", "n", "single").distinct().where(close("w", "r"))
+    itself = F.bool_or(F.col("single") & (F.col("w") == F.col("r"))).over(Window.partitionBy("w"))
+    return met.withColumn("itself", itself).where(~F.col("itself") | (F.col("w") == F.col("r"))).select("w", "r", "n")
+
+
 def resolve_labels(labels: DataFrame, roster: DataFrame) -> DataFrame:
     """speaker_label, kind and member_id of each distinct label: `chair`, a member, or neither (null).
 
-    `labels` has one column. A label means the member whose name aligns with it at least cost; if several
-    do, the one whose seat it names; if that leaves several, none. Null and blank labels mean nobody.
+    `labels` has one column. A label means the member to whose name it is assigned at least cost; if several
+    are, the one whose seat it names; if that leaves several, none. Null and blank labels mean nobody. Of
+    roster rows with one member_id the one with the greatest name holds.
     """
     name = labels.columns[0]
     parsed = labels.select(F.col(name).alias("label")).where("label IS NOT NULL").distinct().withColumn("p", parsed_label("label")).select("label", "p.*")
-    # one row for each distinct label, written once: else every use would parse again, and a filter on the
-    # parsed kind would move below the distinct and parse every row
-    parsed = checkpointed(parsed.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
-    people = roster.select("member_id", "full_name", F.lower("constituency").alias("place")).where("full_name IS NOT NULL").dropDuplicates(["member_id"])
-    people = people.withColumn("own", full_name_words("full_name"))
-    asked = parsed.where("kind = 'name'").withColumn("all", F.concat("words", "nick"))
+    # tables that are used several times are written once: else every use would parse again
+    empty = F.array().cast("array<string>")
+    parsed = checkpointed(parsed.withColumns({"words": F.coalesce("words", empty), "nick": F.coalesce("nick", empty)}))
+    people = roster.where("full_name IS NOT NULL AND member_id IS NOT NULL").groupBy("member_id").agg(F.max(F.struct("full_name", F.lower("constituency").alias("place"))).alias("x"))
+    people = checkpointed(people.select("member_id", "x.*").withColumn("p", person_forms("full_name")).select("member_id", "full_name", "place", "p.*"))
+    asked = parsed.where("kind = 'name'")
+    typed = asked.select("label", F.explode("need").alias("f")).select("label", "f.i", "f.w")
+    near = checkpointed(near_forms(typed, people))
+    # the place of a label that is near the fewest members; a place near nobody's name means that nobody is meant
+    places = typed.join(near, "w", "left").repartition("label").groupBy("label", "i").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.collect_set("r").alias("r"))
+    rarest = places.groupBy("label").agg(F.min(F.struct("n", "i", "r")).alias("x")).where("x.n > 0").select("label", F.explode("x.r").alias("r"))
+    pairs = rarest.join(people.select("member_id", F.explode("forms").alias("r")), "r").select("label", "member_id").distinct()
     vocabulary = people.select(F.explode("own").alias("w")).distinct()
     known = asked.select("label", F.explode("words").alias("w")).join(vocabulary, "w").groupBy("label").agg(F.collect_set("w").alias("known"))
-    forms = lambda rows, key, words: rows.select(key, F.explode(word_forms(words)).alias("f")).select(key, "f.i", "f.w")
-    by_key = lambda words: words.select("w", F.explode(delete_keys("w")).alias("d"))
-    # words are looked up, not labels: each distinct word once
-    typed, real = forms(asked, "label", "all"), forms(people, "member_id", "own").select("member_id", "w").distinct()
-    near = by_key(typed.select("w").distinct()).join(by_key(real.select("w").distinct()).withColumnRenamed("w", "r"), "d").select("w", "r").distinct()
-    members = real.groupBy("w").agg(F.count("*").alias("n")).withColumnRenamed("w", "r")
-    weights = near.join(members, "r").groupBy("w").agg(F.sum("n").alias("n"))
-    # every word but one, that may be a mistyped joining word, must be near one of the member's: so one of the
-    # two words that are near the fewest members must be, and only those two find members
-    words = typed.join(weights, "w", "left").groupBy("label", "i").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    rare = words.groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "i"))), 1, 2).alias("x")).select("label", F.explode("x.i").alias("i"))
-    found = typed.join(rare, ["label", "i"], "left_semi").join(near, "w").select("label", "r").distinct()
-    pairs = found.join(real.withColumnRenamed("w", "r"), "r").select("label", "member_id").distinct()
-    named = pairs.join(asked, "label")
-    named = named.join(people.drop("own"), "member_id").join(known, "label", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    named = pairs.join(asked.select("label", "words", "nick", "seat"), "label").join(people.select("member_id", "full_name", "place"), "member_id")
+    named = named.join(known, "label", "left").withColumn("known", F.coalesce("known", empty))
     fits = named.withColumn("cost", costs("words", "nick", "full_name", "known")).where("cost IS NOT NULL")
     fits = fits.withColumn("cost", F.round("cost", 3) - F.when(F.coalesce(F.expr("instr(seat, place) > 0"), F.lit(False)), 0.05).otherwise(0.0))
-    least = fits.groupBy("label").agg(F.min("cost").alias("cost"))
-    best = fits.join(least, ["label", "cost"]).groupBy("label").agg(F.min("member_id").alias("member_id"), F.count("*").alias("n")).where("n = 1").select("label", "member_id")
+    ties = fits.repartition("label").groupBy("label", F.round("cost", 3).alias("cost")).agg(F.min("member_id").alias("member_id"), F.count("*").alias("n"))
+    best = ties.groupBy("label").agg(F.min(F.struct("cost", "n", "member_id")).alias("x")).where("x.n = 1").select("label", "x.member_id")
     return parsed.select("label", "kind").join(best, "label", "left")
 
 
