@@ -11,10 +11,10 @@ from lectern.functions.keys import key_form
 def holding(rows: DataFrame, key: str) -> DataFrame:
     """The row with the latest loaded_at for each key, with the compared form of the key as __key.
 
-    Null loaded_at counts as oldest. Of equally late rows one is taken by the order of their columns'
-    text, so the result doesn't depend on the order of rows. Rows without key are left out.
+    Null loaded_at counts as oldest. Of equally late rows one is taken by a hash of all their columns, so
+    the result doesn't depend on the order of rows. Rows without key are left out.
     """
-    order = [F.col("loaded_at").desc_nulls_last(), *(F.col(c).cast("string").asc_nulls_last() for c in rows.columns if c != "loaded_at")]
+    order = [F.col("loaded_at").desc_nulls_last(), F.xxhash64(*(F.col(c).cast("string") for c in rows.columns))]
     w = Window.partitionBy("__key").orderBy(*order)
     return (
         rows.withColumn("__key", key_form(key))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from lectern.llm.domain import by_draft, holding
 from lectern.llm.glyphs import flat_form
-from lectern.llm.names import CHAIR, CONNECTORS, HONORIFICS, OFFICE, resolve_labels
+from lectern.llm.names import HONORIFICS, OFFICE, resolve_labels
 from lectern.sources import checkpointed
 
 Node = tuple[str, object]
@@ -98,56 +99,95 @@ _blank = terminal(r"\s+", "blank")
 _gap = terminal(r"\s*")
 
 
-def _nested(opens: str, closes: str) -> Parser:
-    """A bracketed note, other brackets of its kind within it allowed."""
-    inner = terminal(rf"[^{re.escape(opens + closes)}]+")
+def balanced(opens: str, closes: str) -> Parser:
+    """The rule `note <- opens (text / note)* closes`, memoised for a text as a whole: all its places are found in
+    one pass with a stack, so that neither deep nor unclosed brackets cost more than their characters."""
+    bracket = re.compile(f"[{re.escape(opens + closes)}]")
 
-    def note(text: str, at: int) -> tuple[int, list[Node]] | None:
-        return body(text, at)
+    @lru_cache(2)
+    def ends(text: str) -> dict[int, int]:
+        stack: list[int] = []
+        out: dict[int, int] = {}
+        for m in bracket.finditer(text):
+            if m.group() == opens:
+                stack.append(m.start())
+            elif stack:
+                out[stack.pop()] = m.end()
+        return out
 
-    body = sequence(terminal(re.escape(opens)), many(choice(inner, note)), terminal(re.escape(closes)))
-    return note
+    def parse(text: str, at: int) -> tuple[int, list[Node]] | None:
+        if not text.startswith(opens, at) or (end := ends(text).get(at)) is None:
+            return None
+        return end, []
+
+    return parse
 
 
 _stamp = named("stamp", choice(*(terminal(rf"{re.escape(a)}\s*(?:{CLOCK})\s*{re.escape(b)}", flags=re.I) for a, b in ("[]", "()", "<>", "{}"))))
 _language = terminal(rf"\(\s*(?:(?:speaking|spoke|spoken|speaks)\s+)?(?:in\s+)?(?:{LANGUAGES})\s*\)\s*:?", "language", re.I)
 _sound = terminal(rf"\((?=[^()]*(?:{SOUNDS}))[^()]*\)", "note", re.I)
-_note = choice(named("note", choice(_nested("[", "]"), _nested("{", "}"), _nested("<", ">"), terminal(r"\*[^*\n]+\*"))), _sound)
+_note = choice(named("note", choice(balanced("[", "]"), balanced("{", "}"), balanced("<", ">"), terminal(r"\*[^*\n]+\*"))), _sound)
 _hesitation = where(
     lambda text, at: not (at and (text[at - 1].isalnum() or text[at - 1] in "-'/")),
     terminal(rf"(?!Er\s+(?:Dr|Prof|[A-Z]))(?!ER\s+(?:DR|PROF))(?i:{HESITATION})(?:\.\.\.|…|,)?(?=\s|\Z|[\])\"])\s*", "hesitation"),
 )
 _word = terminal(r"[^\s\[\](){}<>*]+|[\[\](){}<>*]", "word")
 
-_LABEL = re.compile(r"((?:[^\s:\[\]{}<>\"“”]+[^\S\n]+){0,13}?[^\s:\[\]{}<>\"“”]+)(?:\s*:(?=\s|\Z)|\s+[-–—]+(?=\s))")
+# labels: a title and names, names in capitals, an office or whoever presides, brackets among them, then a colon;
+# or a dash, if all is in capitals
 _PLACE = re.compile(r"(?:\A|\n|[.!?…][\"”')\]]*\s|[\])>}*:]\s?)\s*\Z")
+_TITLE = "|".join(sorted(map(re.escape, HONORIFICS), key=len, reverse=True))
+_PLAIN = r"\s:\[\]{}<>\"“”()!?\d"
+#: Letters and digits that a label has at most.
+LABEL_LENGTH = 160
+
+
+def optional(part: Parser) -> Parser:
+    return lambda text, at: part(text, at) or (at, [])
+
 
+def capital(text: str, at: int) -> bool:
+    return text[at : at + 1].isupper()
 
-def label_shape(label: str) -> bool:
-    """Whether words before a colon may be a speaker's label: whoever presides, an office, or a name in capitals."""
-    outer = re.sub(r"\s+", " ", re.sub(r"\([^()]*\)", " ", label)).strip()
-    if CHAIR.fullmatch(outer):
-        return True
-    words = outer.split()
-    if not words or re.search(r"\d|[!?]|\.\s+[a-z]", label) or label.count("(") != label.count(")"):
-        return False
-    if OFFICE.search(outer):
-        return words[0][0].isupper()
-    titled = words[0].lower().strip(".") in HONORIFICS
-    names = [w for w in words if w.lower().strip(".,") not in CONNECTORS and w.lower() not in ("son", "daughter", "of")]
-    return len(words) >= 2 and (titled or all(w[0].isupper() for w in names)) and not any(w[-1] == "." and w[:-1].lower() not in HONORIFICS and len(w) > 2 for w in words)
 
+_space = terminal(r"[^\S\n]+")
+_no_dash = r"(?![-–—]+(?:\s|\Z))"
+_closed = terminal(rf"\((?:[^{_PLAIN}]+|[^\S\n]+|\([^{_PLAIN}]*(?:[^\S\n]+[^{_PLAIN}]+)*\))*\)")
+_title = terminal(rf"(?i:{_TITLE})(?:\.(?!\s+[a-z]))?(?=[\s(])")
+_joining = terminal(r"(?i:bin|binte|binti|bte|bt|bnt|[sd]/o|a/[lp]|ibni|ibn|son|daughter|of)[.,]?(?=[\s:(])")
+# a full stop ends a name's word only after a title or a single letter
+_name_word = terminal(rf"{_no_dash}(?:(?i:{_TITLE})\.|[^{_PLAIN}]\.|[^{_PLAIN}]*[^{_PLAIN}.])(?!\.\s+[a-z])(?=[\s:(]|\Z)")
+_big_word = choice(_joining, where(capital, _name_word))
 
-def _label(text: str, at: int) -> tuple[int, list[Node]] | None:
-    if at and not _PLACE.search(text[max(0, at - 12) : at]):
+
+def words_of(word: Parser, least: int) -> Parser:
+    """At least so many words with blanks between them, brackets anywhere among them."""
+    rest = many(sequence(optional(_space), choice(_closed, word)))
+    return sequence(many(sequence(_closed, optional(_space))), word, *[sequence(many(sequence(optional(_space), _closed)), _space, word)] * (least - 1), rest)
+
+
+_presiding = terminal(r"(?i:(?:(?:mr|mdm|mrs|ms|madam|mdme|the|hon|honourable)\.?\s+)*(?:acting\s+|deputy\s+|temporary\s+|assistant\s+)*(?:speaker|chair(?:man|woman|person)?|presiding officer))(?=[\s:(])")
+_office_named = terminal(rf"(?=(?:[^:()\n]|\([^()\n]*\))*?{OFFICE.pattern})", flags=re.I)
+_chair_label = sequence(_presiding, many(sequence(optional(_space), choice(_closed, sequence(terminal(r"of\s"), words_of(_name_word, 1))))))
+_office_label = where(capital, sequence(_office_named, words_of(_name_word, 1)))
+_name_label = choice(sequence(_title, _space, words_of(_name_word, 1)), words_of(_big_word, 2))
+_colon = terminal(r"\s*:(?=\s|\Z)")
+_dash = terminal(r"\s+[-–—]+(?=\s)")
+_label = choice(*(sequence(named("label", body), end) for end in (_colon, _dash) for body in (_chair_label, _office_label, _name_label)))
+
+
+def _labelled(text: str, at: int) -> tuple[int, list[Node]] | None:
+    """A label, where a speech may begin. Only a label in capitals may end in a dash."""
+    if not text[at : at + 1].isalpha() or _ending(text, at, at + LABEL_LENGTH) is None or at and not _PLACE.search(text[max(0, at - 12) : at]):
+        return None
+    r = _label(text, at)
+    if r is None or r[0] - at > LABEL_LENGTH:
         return None
-    m = _LABEL.match(text, at, at + 160)
-    # a dash divides only a label in capitals from its speech
-    return (m.end(), [("label", m.group(1))]) if m and label_shape(m.group(1)) and (m.group()[-1] == ":" or m.group(1).isupper()) else None
+    label = r[1][0][1][0]
+    return (r[0], [("label", label)]) if text[r[0] - 1] == ":" or label.isupper() else None
 
 
 _ending = re.compile(r"[:\-–—]").search
-_labelled = where(lambda text, at: text[at : at + 1].isalpha() and _ending(text, at, at + 160) is not None, _label)
 row_grammar = many(choice(_blank, _stamp, _language, _note, _labelled, _hesitation, _word))
 _whole_note = re.compile(rf"\s*(?:\(\s*(?:{PROCEEDINGS})\s*\)|{PROCEEDINGS})\s*\Z", re.I)
 _in_round = re.compile(r"\s*\(([^()]|\([^()]*\))*\)\s*\Z")
@@ -223,7 +263,8 @@ def clean_turns(turns: DataFrame, reports: DataFrame, roster: DataFrame) -> Data
     with null speaker_id. Speech before any label has null speaker_id too. Rows with null or empty text
     have no speech.
     """
-    own = by_draft(holding(turns.select("key", "report_id", "turn", "speaker", "text", "loaded_at"), "key"), reports, draft=True)
+    # drafts first: a redelivered row stays with its report, and the texts of all others need not be ordered
+    own = holding(by_draft(turns.select("key", "report_id", "turn", "speaker", "text", "loaded_at"), reports, draft=True), "key")
     said = checkpointed(row_speeches(own))
     known = resolve_labels(said.select("label"), roster)
     who = F.when(F.col("kind") == "chair", F.lit("chair")).otherwise(F.col("member_id"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 
@@ -18,6 +19,11 @@ D = dt.datetime(2020, 1, 1)
         ("X", "(In English): I ask for three things: (a) one; (b) two.", [("X", "I ask for three things: (a) one; (b) two.")]),
         (None, "Order. Ms Lee Hui: She put it plainly: \"No.\"", [(None, "Order."), ("Ms Lee Hui", 'She put it plainly: "No."')]),
         (None, "(Interjections from the floor.)", []), (None, "[(proc text) Clause 2 ordered to stand part. (proc text)]", []), (None, "(Order read for 3 items.)", []), ("A", "[Applause]", []), ("A", None, []), ("A", "", []), ("A", "Um, er...", []),
+        # a label doesn't reach back over the end of a sentence
+        ("Mdm Speaker", "Order. The Minister for Health (Ms Lee): Yes.", [("Mdm Speaker", "Order."), ("The Minister for Health (Ms Lee)", "Yes.")]),
+        ("X", "There are others waiting. THE MINISTER FOR HEALTH (MS LEE HUI) - Yes.", [("X", "There are others waiting."), ("THE MINISTER FOR HEALTH (MS LEE HUI)", "Yes.")]),
+        ("X", "I met Dr. Quahn of the Select Committee last July. MR A B TAN: No.", [("X", "I met Dr. Quahn of the Select Committee last July."), ("MR A B TAN", "No.")]),
+        (None, "Mdm Deputy Speaker (Ms Lee): Mr. Tan Wei (Bedok): One. Kirthanan s/o Sockalan: two.", [("Mr. Tan Wei (Bedok)", "One."), ("Kirthanan s/o Sockalan", "two.")]),
         ("A", "Er Dr Tan said er, this. Er, The end.", [("A", "Er Dr Tan said this. The end.")]),
         ("The Minister for Health (Ms Lee)", "Und​er section 3A(45), ok. [unclosed", [("The Minister for Health (Ms Lee)", "Under section 3A(45), ok. [unclosed")]),
     ],
@@ -26,6 +32,17 @@ def test_rows(speaker, text, expected):
     assert [(label, said) for label, _, said in speeches(speaker, text)] == expected
 
 
+@pytest.mark.parametrize("text", ["[" * 1_000_000, "[" * 500_000 + "x" + "]" * 500_000, "(" * 300_000, "<" * 200_000 + " word", "[a (b {c " * 50_000, "A. " * 100_000, "Mr A B: " * 20_000, "*" * 100_001])
+def test_deep_and_unclosed_brackets_end(text):
+    start = time.perf_counter()
+    speeches("A", text)
+    assert time.perf_counter() - start < 30
+
+
+def test_nested_notes_are_left_out():
+    assert speeches("A", "One " + "[" * 500 + "x" + "]" * 500 + " two [ three.") == [("A", False, "One two [ three.")]
+
+
 def test_long_row():
     assert len(speeches("A", "word [note] um, " * 20_000)[0][2].split()) == 20_000
 
