@@ -74,6 +74,14 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.wrong_labels(docs, languages.train(docs))
 
 
+@R.query("p10_documents")
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, with the languages of its sentences, their shares and a confidence."""
+    docs = load(spark, sf_dir, "documents")
+    found = languages.document_languages(docs, languages.train(docs))
+    return found.select("doc_id", "labelled", "lang", F.array_join("langs", ",").alias("langs"), F.array_join(F.transform("shares", lambda x: x.cast("string")), ",").alias("shares"), "confidence")
+
+
 @R.query("p10_segments")
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
