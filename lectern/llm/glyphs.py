@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -64,9 +65,11 @@ def _char_class(chars: set[str]) -> str:
 class Transducer:
     """Longest match over grapheme clusters, rewriting each in one pass.
 
-    `single` holds the image of every character that has one. A base letter with its marks is a
-    cluster: its image is the composed form of the images. A run of blanks is one cluster and gives
-    one space, none at the ends of the text.
+    `single` holds the image of every character that has one, `clusters` that of every way to write a
+    composed character as a letter and marks. Both are made from the character data when the transducer is
+    compiled, and checked against each other. A letter with marks that make no composed character together
+    goes by the longest part that does. A run of blanks is one cluster and gives one space, none at the ends
+    of the text.
     """
 
     def __init__(self) -> None:
@@ -94,9 +97,38 @@ class Transducer:
         self.blanks, self.hidden = blanks, hidden
         b, h, m = map(_char_class, (blanks, hidden, marks))
         self.pattern = re.compile(f"[{b}][{b}{h}]*|[^{b}{h}{m}](?:[{h}]*[{m}])+|[{h}]+|[{_char_class(set(self.single))}]")
+        self.clusters = self._compositions(marks)
         self.cache: dict[str, str] = {}
         self.check()
 
+    def _compositions(self, marks: set[str]) -> dict[str, str]:
+        """The image of each sequence of a letter and marks that is canonically one character, marks in any order
+        that canonical ordering makes equal."""
+        out: dict[str, str] = {}
+        for ch in map(chr, range(0xC0, 0x20000)):
+            if "\ud800" <= ch <= "\udfff" or "\uac00" <= ch <= "\ud7a3" or ch in marks:
+                continue
+            full = unicodedata.normalize("NFD", ch)
+            if len(full) == 1 or unicodedata.normalize("NFC", full) != ch or any(x not in marks for x in full[1:]):
+                continue
+            image = self.single.get(ch, ch)
+            for order in set(permutations(full[1:])):
+                if unicodedata.normalize("NFC", s := full[0] + "".join(order)) == ch:
+                    self._agree(out, s, image)
+            for k in range(1, len(full) - 1):  # a part composed already
+                if len(part := unicodedata.normalize("NFC", full[: k + 1])) == 1:
+                    self._agree(out, part + full[k + 1 :], image)
+        for look, latin in LOOK_ALIKES.items():  # letters of the same shape with the same marks
+            for s, image in [(s, i) for s, i in out.items() if s[0] == latin]:
+                if s.replace(latin, look, 1) not in out:
+                    out[s.replace(latin, look, 1)] = image
+        return out
+
+    @staticmethod
+    def _agree(table: dict[str, str], key: str, image: str) -> None:
+        if table.setdefault(key, image) != image:
+            raise ValueError(f"{[f'U+{ord(x):04X}' for x in key]} has two images, {table[key]!r} and {image!r}")
+
     @staticmethod
     def _image(ch: str) -> str:
         """What one visible character becomes; applied until nothing changes."""
@@ -113,7 +145,7 @@ class Transducer:
                 elif d and d[0] in UNSEEN and "0020" not in d:
                     out += "".join(chr(int(y, 16)) for y in d[1:])
                 elif d and not d[0].startswith("<"):
-                    out += unicodedata.normalize("NFD", x)
+                    out += "".join(LOOK_ALIKES.get(y, y) for y in unicodedata.normalize("NFD", x))
                 else:
                     out += x
             out = unicodedata.normalize("NFC", out)
@@ -129,6 +161,12 @@ class Transducer:
                 raise ValueError(f"U+{ord(ch):04X} is mapped to {again}, which is mapped again")
             if self(image) != image.strip():
                 raise ValueError(f"the image of U+{ord(ch):04X} isn't its own image")
+        for key, image in self.clusters.items():
+            if self(image) != image:
+                raise ValueError(f"the image of {key!r} isn't its own image")
+            whole = unicodedata.normalize("NFC", key)
+            if len(whole) == 1 and self.single.get(whole, whole) != image:
+                raise ValueError(f"{key!r} and {whole!r}, the same character, have two images")
 
     def _cluster(self, found: re.Match[str]) -> str:
         text = found.group()
@@ -137,14 +175,24 @@ class Transducer:
             if text[0] in self.blanks:
                 image = " "
             else:
-                image = "".join(self.single.get(x, x) for x in text if x not in self.hidden)
-                image = unicodedata.normalize("NFC", image)
-                if len(image) == 1:
-                    image = self.single.get(image, image)
+                image = self._longest("".join(x for x in text if x not in self.hidden))
             if len(self.cache) < 100_000:  # a memo of clusters, not of texts
                 self.cache[text] = image
         return image
 
+    def _longest(self, text: str) -> str:
+        """The image of a letter with marks: of the longest beginning that the tables hold, and of each mark behind it."""
+        if len(text) < 2:
+            return self.single.get(text, text)
+        if (image := self.clusters.get(text)) is not None:
+            return image
+        text = unicodedata.normalize("NFC", text)  # marks in canonical order
+        n = next((n for n in range(len(text), 1, -1) if text[:n] in self.clusters), 1)
+        head = self.clusters[text[:n]] if n > 1 else self.single.get(text[0], text[0])
+        out = head + "".join(self.single.get(x, x) for x in text[n:])
+        again = unicodedata.normalize("NFC", out)
+        return again if again in (out, text) else self._longest(again)
+
     def __call__(self, text: str) -> str:
         if text.isascii() and "`" not in text:
             return " ".join(text.split())
@@ -204,23 +252,39 @@ def looks_inside(inner: pd.Series, outer: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else f(a) in f(b) for a, b in zip(inner, outer)])
 
 
+def look_classes(turns: DataFrame) -> DataFrame:
+    """__report, look, t, n, key: the different texts (md5 t) of one look in a report, how many turns have each, and
+    the least of their keys.
+
+    `turns` has __report, key, text, one row a key. Null texts look like nothing; an empty text looks like a
+    blank one. Only looks of several texts are given.
+    """
+    return _several(_looked(turns))
+
+
+def _looked(turns: DataFrame) -> DataFrame:
+    # keys and hashes only, written once: the look form is the costly part and is wanted several times
+    return checkpointed(turns.where("text IS NOT NULL").select("__report", "key", F.md5("text").alias("t"), look_key("text").alias("look")))
+
+
+def _several(looked: DataFrame) -> DataFrame:
+    texts = looked.groupBy("__report", "look", "t").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    several = texts.groupBy("__report", "look").agg(F.count("*").alias("k")).where("k > 1").select("__report", "look")
+    return texts.join(several, ["__report", "look"], "left_semi")
+
+
 def same_look_turns(turns: DataFrame) -> DataFrame:
     """key_a, key_b of turns of one report whose texts differ but look the same.
 
-    `turns` has __report, key, text, one row a key. Pairs are made between different texts first and
-    then given their keys, so that equal texts, however many, meet nowhere but in the result. Null
-    texts look like nothing; an empty text looks like a blank one.
+    The classes of `look_classes` are paired as texts, and only then given the keys of their turns, so that
+    equal texts, however many, meet nowhere but in the result.
     """
-    # keys and hashes only, written once: the look form is the costly part and is wanted thrice
-    looked = checkpointed(turns.where("text IS NOT NULL").select("__report", "key", F.md5("text").alias("t"), look_key("text").alias("look")))
-    texts = looked.groupBy("__report", "look", "t").agg(F.count("*").alias("n"))
-    several = texts.groupBy("__report", "look").agg(F.count("*").alias("k")).where("k > 1").select("__report", "look")
-    own = looked.join(several, ["__report", "look"], "left_semi")
-    two = own.select("__report", "look", "t").distinct()
+    looked = _looked(turns)
+    two = _several(looked).select("__report", "look", "t")
     pairs = two.withColumnRenamed("t", "ta").join(two.withColumnRenamed("t", "tb"), ["__report", "look"]).where("ta < tb").drop("look")
     # a text's hash within a report decides its look
-    a = own.select("__report", F.col("t").alias("ta"), F.col("key").alias("a"))
-    b = own.select("__report", F.col("t").alias("tb"), F.col("key").alias("b"))
+    a = looked.select("__report", F.col("t").alias("ta"), F.col("key").alias("a"))
+    b = looked.select("__report", F.col("t").alias("tb"), F.col("key").alias("b"))
     return pairs.join(a, ["__report", "ta"]).join(b, ["__report", "tb"]).select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
 
 

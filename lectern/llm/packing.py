@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.tokens import VOCABULARY, token_ids
+from lectern.sources import checkpointed
 
 CAPACITY = 2048
-#: Bytes of text that a shard holds on average: what one task packs, a part of the corpus that doesn't grow with it.
-SHARD_BYTES = 256 << 20
+#: Containers that a shard fills on average: what one task packs, a part of the corpus that doesn't grow with it.
+SHARD_CONTAINERS = 1 << 15
 
 
 class SumOfSquares:
@@ -66,7 +67,7 @@ def pack(sizes: DataFrame, key: str, size: str, shards: int, capacity: int = CAP
     h = F.xxhash64(F.col(key))
     rows = (
         sizes.select(F.col(key), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("__n"), h.alias("__h"), F.pmod(h, F.lit(shards)).cast("int").alias("__shard"))
-        .repartition(shards, "__shard")
+        .repartitionById(shards, "__shard")  # a shard a task
         .sortWithinPartitions("__shard", "__h", key)
     )
 
@@ -93,13 +94,13 @@ def pack(sizes: DataFrame, key: str, size: str, shards: int, capacity: int = CAP
     return rows.mapInArrow(run, schema)
 
 
-def shards_of(documents: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
-    """How many shards the texts fill."""
-    total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, -(-total // shard_bytes))
+def shards_of(sizes: DataFrame, size: str, capacity: int = CAPACITY, shard_containers: int = SHARD_CONTAINERS) -> int:
+    """How many shards the sizes fill."""
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    return max(1, -(-total // (capacity * shard_containers)))
 
 
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shard_bytes: int = SHARD_BYTES, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Documents by doc_id, sized in tokens, assigned to containers."""
-    sizes = token_ids(documents, vocabulary=vocabulary).select("doc_id", F.size("ids").alias("n"))
-    return pack(sizes, "doc_id", "n", shards_of(documents, shard_bytes=shard_bytes), capacity)
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shard_containers: int = SHARD_CONTAINERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Documents by doc_id, sized in tokens, assigned to containers. Texts are read once: their sizes are written down."""
+    sizes = checkpointed(token_ids(documents, vocabulary=vocabulary).select("doc_id", F.size("ids").alias("n")))
+    return pack(sizes, "doc_id", "n", shards_of(sizes, "n", capacity, shard_containers), capacity)

@@ -17,6 +17,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyphs.same_look(load(spark, sf_dir, "turn"), load(spark, sf_dir, "chunk"), load(spark, sf_dir, "report"))
 
 
+@R.query("p2_classes")
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of a report that look the same: classes of equal texts with their number and a representative."""
+    turns = domain.holding(load(spark, sf_dir, "turn").select("key", "report_id", "text", "loaded_at"), "key")
+    return glyphs.look_classes(turns.withColumn("__report", F.col("report_id"))).select(F.col("__report").alias("report_id"), F.hex("look").alias("look"), F.col("t").alias("text_md5"), "n", "key")
+
+
 @R.query("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.turn_units(load(spark, sf_dir, "turn"), load(spark, sf_dir, "report"))

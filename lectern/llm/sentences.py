@@ -2,8 +2,9 @@
 
 Candidate ends are end marks with their closing quotes, and line breaks. Ordered rules decide each
 candidate: a rule is a pair of regular expressions for what stands before and after it, and says whether
-it is a break; the first rule that matches decides. The rules stand in tables, one for each script or
-language, which cascade: those of the scripts found in a text first, then the general one.
+it is a break; the first rule that matches decides. The rules stand in tables, one for each language or
+script, which cascade: first what is no end in any language, then the tables of the scripts found in a
+text, then the general one.
 """
 
 from __future__ import annotations
@@ -33,27 +34,46 @@ class Rule(NamedTuple):
     after: str
 
 
-# Abbreviations of English and Malay. Titles and shortened words never end a sentence,
-# the second kind doesn't before a number.
-TITLES = "Mr Mrs Ms Mdm Mx Dr Drs Prof Assoc Er Hon Rev St Sr Jr Messrs En Pn Cik Tn Dato Datuk Hj Hjh Ir Ust Yb Gen Col Capt Lt Sgt Insp Supt"
-SHORT = "i.e e.g vs cf viz approx incl esp Pte Sdn Mt Ave Rd Blk c.f a.k.a dll dsb spt"
-NUMBERED = "No Nos no nos Vol Vols vol vols Art art Sec sec s ss Para para paras p pp Fig fig Ch ch Bil bil cl Cl reg Reg Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec"
+# Abbreviations. Titles and shortened words never end a sentence, the second kind doesn't before a number.
+TITLES = "Mr Mrs Ms Mdm Mx Dr Drs Prof Assoc Er Hon Rev St Sr Jr Messrs Gen Col Capt Lt Sgt Insp Supt"
+SHORT = "i.e e.g vs cf viz approx incl esp Pte Mt Ave Rd Blk c.f a.k.a"
+NUMBERED = "No Nos no nos Vol Vols vol vols Art art Sec sec s ss Para para paras p pp Fig fig Ch ch cl Cl reg Reg Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec"
+MALAY_TITLES = "En Pn Cik Tn Dato Datuk Hj Hjh Ir Ust Yb"
+MALAY_SHORT = "Sdn dll dsb spt"
+MALAY_NUMBERED = "Bil bil"
 TAMIL_TITLES = "திரு திருமதி முனைவர் டாக்டர் பேராசிரியர் செல்வி செல்வன் மாண்புமிகு"
+HINDI_TITLES = "डॉ प्रो श्री श्रीमती पं"
+ARABIC_TITLES = "د أ م"
+THAI_FINALS = "ครับ ค่ะ คะ นะครับ นะคะ จ้ะ"
+# Marks that end a sentence whatever follows them.
+FULL = "。।॥؟۔။។៕።፧"
 
 _HAN = "一-鿿㐀-䶿"
+_THAI = "ก-๎"
 _OPEN = r"(?:.*[(\[“\"'/-])?"
+_CLOSE = r"[\"”')\]]*"
 
 
 def _any(words: str) -> str:
     return "|".join(re.escape(w) for w in words.split())
 
 
-LATIN = [
+#: No end in any language: within a word or number, and before a quotation that begins after no Han character.
+WITHIN = [
+    Rule(False, rf"(?:.*[^.!?{FULL}\"”')\]])?[.!?]+{_CLOSE}", rf"(?![\s{_HAN}\"“])."),
+    Rule(False, rf"(?:.*[^{_HAN}.!?{FULL}])?[.!?]+{_CLOSE}", r"[\"“]"),
+]
+ENGLISH = [
     Rule(False, rf"{_OPEN}(?i:{_any(TITLES)})\.", r"\s"),
     Rule(False, rf"{_OPEN}(?i:{_any(SHORT)})\.", r""),
     Rule(False, rf"{_OPEN}(?:{_any(NUMBERED)})\.", r"\s*\d"),
     Rule(False, rf"{_OPEN}(?:[A-Z]\.)+", r"\s+[A-Z]"),
 ]
+MALAY = [
+    Rule(False, rf"{_OPEN}(?i:{_any(MALAY_TITLES)})\.", r"\s"),
+    Rule(False, rf"{_OPEN}(?i:{_any(MALAY_SHORT)})\.", r""),
+    Rule(False, rf"{_OPEN}(?:{_any(MALAY_NUMBERED)})\.", r"\s*\d"),
+]
 TAMIL = [
     Rule(False, rf"{_OPEN}(?:{_any(TAMIL_TITLES)})\.", r"\s"),
     Rule(False, r".*[\"”']", r"\s*(?:என்று|என்றும்|என்ற|எனவும்|என)(?![஀-௿])"),
@@ -63,12 +83,23 @@ MANDARIN = [
     Rule(False, r".*[!?.][\"”']", rf"[{_HAN}][^。!?,;:“”\"\n]{{0,24}}?(?:说|问|道|答|喊|表示|指出|认为|写)"),
     Rule(True, rf".*(?:[。!?]|[{_HAN}]\.)[\"”')\]]*", ""),
 ]
+HINDI = [Rule(False, rf"{_OPEN}(?:{_any(HINDI_TITLES)})\.", r"\s"), Rule(True, rf".*[।॥]{_CLOSE}", "")]
+ARABIC = [Rule(False, rf"{_OPEN}(?:{_any(ARABIC_TITLES)})\.", r"\s"), Rule(True, rf".*[؟۔]{_CLOSE}", "")]
+BURMESE = [Rule(True, rf".*။{_CLOSE}", "")]
+KHMER = [Rule(False, r".*។", r"ល។"), Rule(True, rf".*[។៕]{_CLOSE}", "")]
+ETHIOPIC = [Rule(True, rf".*[።፧]{_CLOSE}", "")]
+#: A blank between Thai letters ends a sentence only after a closing particle.
+THAI = [Rule(True, rf".*(?:{_any(THAI_FINALS)})", r"[ ]"), Rule(False, rf".*[{_THAI}]", r"[ ]")]
 GENERAL = [
     # small letters go on with a sentence, but for words with a capital inside
     Rule(False, "", r"[^\S\n]+[\"“'(\[]?(?![^\W\d_]+[A-Z])[a-zß-öø-ÿ]"),
     Rule(True, "", ""),
 ]
-TABLES = {"tamil": ("஀-௿", TAMIL), "mandarin": (_HAN, MANDARIN), "latin": ("A-Za-z", LATIN)}
+#: The tables by language, with the characters whose presence in a text calls for them.
+TABLES = {
+    "tamil": ("஀-௿", TAMIL), "mandarin": (_HAN, MANDARIN), "hindi": ("ऀ-ॿ", HINDI), "arabic": ("؀-ۿ", ARABIC), "burmese": ("က-႟", BURMESE), "khmer": ("ក-៿", KHMER),
+    "ethiopic": ("ሀ-፿", ETHIOPIC), "thai": (_THAI, THAI), "english": ("A-Za-z", ENGLISH), "malay": ("A-Za-z", MALAY),
+}
 
 Compiled = tuple[bool, re.Pattern[str] | None, re.Pattern[str]]
 
@@ -80,18 +111,30 @@ def _compiled(rules: list[Rule]) -> list[Compiled]:
 @lru_cache(64)
 def cascade(scripts: tuple[str, ...]) -> list[Compiled]:
     """The rules for a text with these scripts, in order."""
-    return _compiled([r for s in scripts for r in TABLES[s][1]] + GENERAL)
+    return _compiled(WITHIN + [r for s in scripts for r in TABLES[s][1]] + GENERAL)
 
 
 _SCRIPTS = {name: re.compile(f"[{chars}]") for name, (chars, _) in TABLES.items()}
-#: An end mark with what closes behind it, or a line break.
-_CANDIDATE = re.compile(r"[.!?。]+[\"”')\]]*|\n")
-_IS_HAN = re.compile(f"[{_HAN}]").match
+#: An end mark with what closes behind it, a line break, or the end of a Thai word before a blank.
+_CANDIDATE = re.compile(rf"[.!?{FULL}]+{_CLOSE}|\n|(?<=[{_THAI}])(?= +[{_THAI}])")
+_OTHER = re.compile("[\u0590-\u1aff]")
 #: How far a rule looks back.
 LOOK_BACK = 24
 _QUOTE = re.compile(r"[\"“”\n]")
 
 
+def scripts_of(flat: str) -> tuple[str, ...]:
+    """The languages whose tables a text calls for."""
+    if flat.isascii():
+        return "english", "malay"
+    other = _OTHER.search(flat) is not None
+    return tuple(s for s, p in _SCRIPTS.items() if (other or s in _COMMON) and p.search(flat))
+
+
+#: Languages of scripts outside the range of _OTHER.
+_COMMON = ("mandarin", "english", "malay")
+
+
 def _opening(text: str, inside: bool) -> tuple[set[int], bool]:
     """The places of straight double quotes that open a quotation, and whether one is open at the end."""
     opens = set()
@@ -107,20 +150,17 @@ def _opening(text: str, inside: bool) -> tuple[set[int], bool]:
 
 def _break_ends(flat: str, opens: set[int]) -> list[int]:
     """The ends of units in a flat text, in order."""
-    rules = cascade(tuple(s for s, p in _SCRIPTS.items() if p.search(flat)))
+    rules = cascade(scripts_of(flat))
     ends = []
     for m in _CANDIDATE.finditer(flat):
         end = m.end()
         if flat[end - 1] != "\n":
             if opens:
                 end = next((i for i in range(m.start(), end) if i in opens), end)
-            after = flat[end : end + 1]
-            if not (after == "" or after.isspace() or _IS_HAN(after) or "。" in m.group() or after in "\"“" and _IS_HAN(flat, m.start() - 1)):
-                continue  # within a word or number
             low = max(0, end - LOOK_BACK)
             start = max(flat.rfind(" ", low, end), flat.rfind("\n", low, end)) + 1 or low
-            for breaks, b, a in rules:
-                if (b is None or b.fullmatch(flat, start, end)) and a.match(flat, end):
+            for breaks, before, after in rules:
+                if after.match(flat, end) and (before is None or before.fullmatch(flat, start, end)):
                     break
             if not breaks:
                 continue

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm.glyphs import flat_form, same_look, transducer
+from lectern.llm.glyphs import flat_form, same_look, transducer, look_classes
 
 look = transducer()
 
@@ -64,3 +64,20 @@ def test_empty_tables_and_long_text(spark):
     assert found(spark, [], []) == []
     long = "word " * 200_000
     assert found(spark, [("r#t0", "r", long, None, "", ""), ("r#t1", "r", long.replace(" ", "\u00a0"), None, "", "")], []) == [("r#t0", "r#t1")]
+
+
+def test_clusters_are_compiled_and_agree():
+    t = transducer()
+    # Latin and Cyrillic letters, composed or not, marks in either order
+    assert t("ё") == t("ё") == t("ë") == t("ë") == "ë"
+    assert t("ệ") == t("ệ") == t("ệ") == t("ệ") == t("ệ") == "ệ"
+    assert t("e‍́") == "é" and t("q̣́") == t("q̣́")
+    assert len(t.clusters) > 1000 and all(t(v) == v for v in t.clusters.values())
+    with pytest.raises(ValueError, match="two images"):
+        t._agree({"é": "é"}, "é", "e")
+
+
+def test_classes(spark):
+    rows = [("r", "a", "x y"), ("r", "b", "x  y"), ("r", "c", "x  y"), ("r", "d", "z"), ("s", "e", "x y"), ("r", "f", None)]
+    got = look_classes(spark.createDataFrame(rows, "__report string, key string, text string")).collect()
+    assert sorted((r["__report"], r.n, r.key) for r in got) == [("r", 1, "a"), ("r", 2, "b")] and len({r.look for r in got}) == 1

@@ -68,3 +68,15 @@ def test_ranges_give_the_same_units(spark):
         got.setdefault(r.key, []).append((r.char_start, r.char_end))
     assert {k: sorted(v) for k, v in got.items()} == {k: units(t) for k, t in texts if units(t)}
     assert RANGE > 320
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("यह एक वाक्य है। यह दूसरा है। डॉ. शर्मा आए।", ["यह एक वाक्य है।", "यह दूसरा है।", "डॉ. शर्मा आए।"]), ("هل هذا سؤال؟ نعم. هذه جملة أخرى.", ["هل هذا سؤال؟", "نعم.", "هذه جملة أخرى."]),
+        ("ဒါဟာ ပထမ ဝါကျ။ ဒုတိယ ဝါကျ။", ["ဒါဟာ ပထမ ဝါကျ။", "ဒုတိယ ဝါကျ။"]), ("นี่คือประโยคแรกครับ นี่คือประโยค ที่สอง", ["นี่คือประโยคแรกครับ", "นี่คือประโยค ที่สอง"]), ("នេះជាប្រយោគទីមួយ។ ផ្លែឈើ។ល។", ["នេះជាប្រយោគទីមួយ។", "ផ្លែឈើ។ល។"]),
+        ("ዓረፍተ ነገር።ሁለተኛ።", ["ዓረፍተ ነገር።", "ሁለተኛ።"]), ("See www.a.org or v2.1 now. He said.\"No\"", ["See www.a.org or v2.1 now.", "He said.\"No\""]), ("你好。abc.def是。", ["你好。", "abc.def是。"]), ("Tuan Hj. Ali hadir. Dll. tidak.", ["Tuan Hj. Ali hadir.", "Dll. tidak."]),
+    ],
+)
+def test_languages_and_scripts(text, expected):
+    assert [text[a:b] for a, b in units(text)] == expected

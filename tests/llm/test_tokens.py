@@ -89,4 +89,4 @@ def test_packing_is_whole(spark):
     total = sum(n or 0 for _, n, _ in rows)
     assert total / 100 / len(per) > 0.97
     assert pack(df.limit(0), "doc_id", "n", 2).count() == 0
-    assert shards_of(spark.createDataFrame([("a" * 10,), (None,)], "text string"), shard_bytes=4) == 3
+    assert shards_of(spark.createDataFrame([(10,), (None,)], "n int"), "n", capacity=2, shard_containers=2) == 3
