@@ -1,5 +1,5 @@
 """Readers and writers."""
 
-from lectern.sources.tables import checkpointed, load
+from lectern.sources.tables import checkpointed, load, shared_folder
 
-__all__ = ["checkpointed", "load"]
+__all__ = ["checkpointed", "load", "shared_folder"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,18 +15,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written once to the folder in spark.checkpoint.dir and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, that all workers see.
 
-    The cluster names that folder; only where it is unset (tests on one machine) a
-    temporary one is taken.
+    The cluster names it; only where it is unset (tests on one machine) a temporary one is taken, and
+    deleted when the process ends.
     """
-    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
             folder = tempfile.mkdtemp(prefix="checkpoint-", dir=os.environ.get("TMPDIR"))
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder and read back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
