@@ -8,13 +8,15 @@ ranges. Only numbers of a text ever meet in one task, never its characters.
 
 from __future__ import annotations
 
-import os
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ from lectern.sources import checkpointed
 LIMIT, LOW, HIGH = 6000, 200, 800
 #: Characters of a range, and how many of its neighbours a worker sees when it looks for borders.
 RANGE, HALO = 1 << 16, 256
+#: Tasks among which the ranges of files are divided at most.
+FILE_TASKS = 20_000
 
 _RANGES = T.StructType([T.StructField("key", T.StringType()), T.StructField("r", T.IntegerType()), T.StructField("left", T.IntegerType()), T.StructField("core", T.IntegerType()), T.StructField("slice", T.StringType())])
 _INTS = T.ArrayType(T.IntegerType())
@@ -72,10 +76,26 @@ def text_ranges(texts: DataFrame, key: str, text: str, limit: int = LIMIT, size:
     return rows.mapInArrow(lambda it: _batches(cut(it), _RANGES.names, types), _RANGES)
 
 
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The address and length of a file, or of each file of a folder but hidden ones, by Hadoop's file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted((f.getPath().toString(), f.getLen()) for f in found if f.isFile() and f.getPath().getName()[0] not in "._")
+
+
+def _opened(address: str) -> pa.NativeFile:
+    """A file of any system that Arrow knows (file, hdfs, s3 and others), to be read at any place."""
+    fs, name = pa_fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", address))
+    return fs.open_input_file(name)
+
+
 def file_ranges(spark: SparkSession, path: str, limit: int = LIMIT, size: int = 4 * RANGE) -> DataFrame:
-    """The same for a UTF-8 file that all workers see, in ranges of `size` bytes; each worker reads its range alone."""
-    total = os.path.getsize(path)
-    n = -(-total // size)
+    """The same for each UTF-8 file of a folder, or one, that all workers see, in ranges of `size` bytes. A worker
+    reads its range and halos alone; no file is read as a whole. key is the file's address."""
+    files = _files(spark, path)
+    # one row a file: where its ranges begin among all
+    starts = [0, *accumulate(-(-n // size) for _, n in files)]
 
     def char_start(data: bytes, i: int) -> int:
         while i < len(data) and data[i] & 0xC0 == 0x80:
@@ -84,18 +104,20 @@ def file_ranges(spark: SparkSession, path: str, limit: int = LIMIT, size: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for r in batch.column(0).to_pylist():
+            for n in batch.column(0).to_pylist():
+                which = bisect_right(starts, n) - 1
+                address, total = files[which]
+                r = n - starts[which]
                 a, b = r * size, min(total, (r + 1) * size)
                 low = max(0, a - 4 * HALO)
-                with open(path, "rb") as f:
-                    f.seek(low)
-                    data = f.read(b - low + 4 * (limit + HALO))
+                with _opened(address) as f:
+                    data = f.read_at(min(total, b + 4 * (limit + HALO)) - low, low)
                 i, j, k = (char_start(data, x) for x in (0, a - low, b - low))
                 left, core = data[i:j].decode(), data[j:k].decode()
-                yield path, r, len(left), len(core), left + core + data[k:].decode("utf-8", "ignore")
+                yield address, r, len(left), len(core), left + core + data[k:].decode("utf-8", "ignore")
 
     types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(lambda it: _batches(cut(it), _RANGES.names, types, 1), _RANGES)
+    return spark.range(0, starts[-1], 1, max(1, min(starts[-1], FILE_TASKS))).mapInArrow(lambda it: _batches(cut(it), _RANGES.names, types, 1), _RANGES)
 
 
 def _core_units(flat: str, at: list[int] | None, opens: set[int], left: int, core: int) -> tuple[list[int], list[int], bool, bool]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import domain, glyphs, languages, names, packing, pieces, sentences, tokens, transcripts
 from lectern.plans.registry import Registry
-from lectern.sources import load
+from lectern.sources import load, shared_folder
 
 R = Registry()
 
@@ -60,6 +62,17 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.cut_pieces(pieces.text_ranges(own, "key", "text")).withColumn("md5", F.md5("piece"))
 
 
+@R.query("p6_files")
+def p6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts of documents, written as text files to the shared folder and cut there by byte ranges: the pieces of
+    each file, numbered by its name, with their hash."""
+    folder = f"{shared_folder(spark)}/files-{uuid4().hex}"
+    load(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.translate("text", "\r", "\n").alias("value")).write.text(folder)
+    cut = pieces.cut_pieces(pieces.file_ranges(spark, folder))
+    file = F.regexp_extract("key", r"part-(\d+)", 1).cast("int").alias("file")
+    return cut.select(file, "part", "n_parts", "char_start", "char_end", "natural", F.md5("piece").alias("md5"))
+
+
 @R.query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.speaker_members(load(spark, sf_dir, "turn"), load(spark, sf_dir, "roster"))

@@ -1,6 +1,7 @@
 import datetime as dt
 
 from lectern.llm.pieces import HIGH, LIMIT, LOW, cut_pieces, faulty_splits, file_ranges, natural_pieces, running_sum, text_ranges
+from lectern.llm.queries import p6_files
 from lectern.llm.sentences import units
 
 D = dt.datetime(2020, 1, 1)
@@ -43,6 +44,24 @@ def test_pieces_of_a_file(spark, tmp_path):
     path.write_text(text)
     rows = cut_pieces(file_ranges(spark, str(path), LIMIT, 9000)).collect()
     checked(text, rows)
+    (tmp_path / "b.txt").write_text(LONG)
+    (tmp_path / "_SUCCESS").write_text("")
+    (tmp_path / "empty.txt").write_text("")
+    both: dict = {}
+    for r in cut_pieces(file_ranges(spark, str(tmp_path), LIMIT, 9000)).collect():
+        both.setdefault(r.key.rsplit("/", 1)[1], []).append(r)
+    assert set(both) == {"giant.txt", "b.txt"}
+    checked(text, both["giant.txt"])
+    checked(LONG, both["b.txt"])
+
+
+def test_pieces_of_written_texts(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = p6_files(spark, folder).collect()
+    texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").where("text IS NOT NULL").collect()]
+    ends = {r.file: r.char_end for r in rows if r.part == r.n_parts - 1}
+    assert sum(ends.values()) == sum(len(t) + 1 for t in texts)
+    assert all(sorted(r.part for r in rows if r.file == f) == list(range(next(r.n_parts for r in rows if r.file == f))) for f in ends)
 
 
 def test_natural_pieces_say_when_there_are_none():
