@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.keys import key_form
-from lectern.operators.bloom import MAX_WORDS, bloom_table, bloom_words, maybe_in
+from lectern.operators.bloom import BROADCAST_BYTES, bloom_segments, maybe_in, segments_for
 
 
 def parent_states(parents: DataFrame, key: str) -> DataFrame:
@@ -40,22 +38,21 @@ def references(rows: DataFrame, table: str, key: str, ref: str) -> DataFrame:
     )
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, key: str, max_words: int = MAX_WORDS) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each reference without valid target, once: src_table, src_key, ref_key, kind, period.
 
-    A Bloom filter of the parents' keys, broadcast while it keeps within `max_words` words, proves
-    most dangling references; only the rest go through the exact join with the parents' states. With
-    more keys than the filter may hold, every reference takes the exact join. kind is `missing`,
-    `deleted` or `late`, in this order of precedence. A reference that is empty or blank is missing;
-    one without loaded_at is never late and has a null period. No parents: all are missing.
+    A Bloom filter of the parents' keys proves most dangling references; only the rest go through the
+    exact join with the parents' states. The filter is broadcast up to `broadcast_bytes`, and beyond that
+    references meet its segments by a shuffle. Its size follows from the number of parent rows, which is
+    counted first, from the files' footers. kind is `missing`, `deleted` or `late`, in this order of
+    precedence. A reference that is empty or blank is missing; one without loaded_at is never late and has a
+    null period. No parents: all are missing.
     """
-    states = parent_states(parents, key)
-    n_words = bloom_words(parents.select(key).count(), max_words)
-    if n_words:
-        marked = maybe_in(refs, "__key", bloom_table(parents.select(key_form(key).alias("__key")), "__key", n_words), n_words)
-        sure, open_ = marked.where(~F.col("maybe")).withColumn("kind", F.lit("missing")), marked.where("maybe")
-    else:
-        sure, open_ = None, refs
+    n_segments = segments_for(parents.count())
+    bits = bloom_segments(parents.select(key_form(key).alias("__key")), "__key", n_segments)
+    marked = maybe_in(refs, "__key", bits, n_segments, broadcast_bytes=broadcast_bytes)
+    sure = marked.where(~F.col("maybe")).withColumn("kind", F.lit("missing"))
+    states, open_ = parent_states(parents, key), marked.where("maybe")
     checked = (
         open_.join(states, "__key", "left")
         .withColumn(
@@ -65,8 +62,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: str, max_words:
         .where("kind IS NOT NULL")
     )
     cols = ["src_table", "src_key", "ref_key", "kind", F.date_format("loaded_at", "yyyy-MM").alias("period")]
-    parts = [x.select(*cols) for x in (sure, checked) if x is not None]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return sure.select(*cols).unionByName(checked.select(*cols)).distinct()
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

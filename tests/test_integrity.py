@@ -3,7 +3,7 @@
 import datetime as dt
 
 from lectern.functions.keys import key_form
-from lectern.operators.bloom import bloom_table, bloom_words, maybe_in
+from lectern.operators.bloom import SEGMENT_WORDS, bloom_segments, filter_bytes, maybe_in, segments_for
 from lectern.operators.orphans import orphan_references, orphan_report, references
 from lectern.operators.snapshots import report_snapshot_changes
 
@@ -27,8 +27,16 @@ def test_orphans(spark):
     assert found(spark, PARENTS, CHILDREN) == EXPECTED
 
 
-def test_orphans_without_filter_are_the_same(spark):
-    assert found(spark, PARENTS, CHILDREN, max_words=1) == EXPECTED
+def test_orphans_with_a_filter_too_large_for_a_broadcast_are_the_same(spark):
+    assert found(spark, PARENTS, CHILDREN, broadcast_bytes=0) == EXPECTED
+
+
+def test_every_size_goes_through_the_filter(spark):
+    p = spark.createDataFrame(PARENTS, PARENT)
+    refs = references(spark.createDataFrame(CHILDREN, CHILD), "child", "id", "ref")
+    for limit in (0, 1 << 30):
+        plan = orphan_references(refs, p, "key", broadcast_bytes=limit)._jdf.queryExecution().optimizedPlan().toString()
+        assert "bit_or" in plan and ("__salt" in plan) == (limit == 0)
 
 
 def test_orphans_of_empty_tables(spark):
@@ -38,13 +46,22 @@ def test_orphans_of_empty_tables(spark):
 
 
 def test_bloom_has_no_false_negative_and_few_false_positives(spark):
-    keys = spark.range(4000).selectExpr("concat('k', id) AS k")
-    n = bloom_words(4000)
-    table = bloom_table(keys, "k", n)
-    assert maybe_in(keys, "k", table, n).where("NOT maybe").count() == 0
-    other = spark.range(4000).selectExpr("concat('z', id) AS k")
-    assert maybe_in(other, "k", table, n).where("maybe").count() < 600
-    assert bloom_words(1 << 30) is None
+    assert segments_for(0) == segments_for(1) == 1 and filter_bytes(segments_for(10_000_000)) < 11_000_000
+    n_keys = 100_000
+    keys = spark.range(n_keys).selectExpr("concat('k', id) AS k", "id AS v").unionByName(spark.createDataFrame([(None, 1)], "k string, v long"))
+    other = spark.range(n_keys).selectExpr("concat('z', id) AS k", "id AS v")
+    n = segments_for(n_keys)
+    assert n > 1
+    for segments, limit in ((n, 1 << 30), (n, 0), (1, 1 << 30)):
+        table = bloom_segments(keys, "k", segments)
+        assert all(len(r.words) <= SEGMENT_WORDS for r in table.collect())
+        assert maybe_in(keys, "k", table, segments, broadcast_bytes=limit).where("k IS NOT NULL AND NOT maybe").count() == 0
+        out = maybe_in(other, "k", table, segments, broadcast_bytes=limit)
+        assert out.count() == n_keys and out.columns == ["k", "v", "maybe"]
+        assert out.where("maybe").count() < (0.12 if segments == n else 0.5) * n_keys
+    few = bloom_segments(keys.limit(3), "k", 7)
+    assert maybe_in(other, "k", few, 7).where("maybe").count() < 0.01 * n_keys
+    assert maybe_in(other, "k", bloom_segments(keys.limit(0), "k", 1), 1).where("maybe").count() == 0
 
 
 def test_key_form(spark):
