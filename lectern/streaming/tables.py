@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.operators.current import latest
-from lectern.sources.files import replace_table
+from lectern.sources.files import merge_table
 
 
 def new_files(spark: SparkSession, path: str, like: DataFrame, files_a_batch: int = 1000) -> DataFrame:
@@ -34,17 +33,6 @@ def session_counts(events: DataFrame, user: str = "user_id", ts: str = "ts", gap
 def upsert_stream(rows: DataFrame, table: str, key: str, at: str, checkpoint: str) -> StreamingQuery:
     """Keeps a table at the latest row of each key, a batch at a time, and ends when all there is is read.
 
-    A batch that is run again after a failure gives the same table.
+    A batch that is run again after a failure, at whatever step, gives the same table.
     """
-
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            held = spark.read.schema(batch.schema).parquet(table)
-            batch = batch.unionByName(held)
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        replace_table(latest(batch, key, at=at), table)
-
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(lambda batch, _: merge_table(batch, table, key, at)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -119,6 +119,49 @@ def test_tables_are_replaced_as_a_whole(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
 
 
+def test_a_replacement_may_stop_at_any_step(spark, tmp_path):
+    for n in range(6):
+        path = str(tmp_path / f"t{n}")
+        files.replace_table(spark.range(3), path)
+        spark.range(5).write.parquet(f"{path}.staged")
+        for step in files.swap_steps(spark, f"{path}.staged", path, f"{path}.old")[:n]:
+            step()
+        assert files.read_table(spark, path, spark.range(1).schema).count() in (3, 5)
+        files.replace_table(spark.range(7), path)
+        assert spark.read.parquet(path).count() == 7
+
+
+def test_a_merge_may_stop_at_any_step(spark, tmp_path):
+    schema = "k string, at int, v string"
+    first = spark.createDataFrame([(f"k{i}", 1, "a") for i in range(5)], schema)
+    more = spark.createDataFrame([("k1", 2, "b"), ("k7", 2, "b"), ("k2", 0, "late"), ("k8", None, None), ("k1", 2, "b")], schema)
+    want = sorted([("k0", 1, "a"), ("k1", 2, "b"), ("k2", 1, "a"), ("k3", 1, "a"), ("k4", 1, "a"), ("k7", 2, "b"), ("k8", None, None)])
+    total = 1
+    for n in range(0, 40):
+        path = str(tmp_path / f"m{n}")
+        files.merge_table(first, path, "k", "at", 3)
+        steps = files.merge_steps(more, path, "k", "at", 3)
+        total = len(steps)
+        for step in steps[:n]:
+            step()
+        keys = {r.k for r in files.read_table(spark, path, first.schema).collect()}
+        assert {f"k{i}" for i in range(5)} <= keys
+        files.merge_table(more, path, "k", "at", 3)
+        assert sorted(tuple(r) for r in files.read_table(spark, path, first.schema).collect()) == want
+        if n > total:
+            break
+    assert files.read_table(spark, str(tmp_path / "none"), first.schema).count() == 0
+
+
+def test_a_migration_is_planned_and_verified(spark, tmp_path):
+    flat = str(tmp_path / "flat")
+    spark.range(6).selectExpr("id", "id % 2 AS p").write.parquet(flat)
+    rows = spark.read.parquet(flat)
+    assert sorted(tuple(r) for r in files.migration_plan(rows, "p").collect()) == [(0, 3), (1, 3)]
+    assert files.migrate_partitioned(rows, str(tmp_path / "by"), "p", delete=flat) == 6
+    assert not (tmp_path / "flat").exists() and spark.read.parquet(str(tmp_path / "by")).count() == 6
+
+
 def test_streams(spark, tmp_path, data):
     events = spark.read.parquet(f"{data}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
