@@ -134,10 +134,25 @@ def _grams(x: str) -> Column:
     return F.when(F.size(x) >= _GRAM, F.array_distinct(some)).otherwise(F.array().cast("array<bigint>"))
 
 
+_FORM_SQL = f"trim(regexp_replace(translate({{0}}, '{X.MARKS_FROM}', '{X.MARKS_TO.replace(chr(39), chr(39) * 2)}'), '\\s+', ' ', 'g'))"
+
+
 @R.query(
     "anchor_spans",
-    current_sql(X.SENT_SQL + """, probe AS (SELECT DISTINCT report_id, s FROM sent_ WHERE length(s) BETWEEN 30 AND 160 AND year = 2018), hit AS (SELECT p.report_id, p.s, t.key, instr(t.text, p.s) AS pos FROM probe p JOIN turn_ t ON t.report_id = p.report_id AND contains(t.text, p.s))
-SELECT report_id, md5(s) AS probe_md5, count(*) AS hits, CASE WHEN count(*) = 1 THEN min(key) END AS key, CASE WHEN count(*) = 1 THEN min(pos) - 1 END AS char_start, CASE WHEN count(*) = 1 THEN 'exact' ELSE 'ambiguous' END AS method FROM hit GROUP BY report_id, s"""),
+    current_sql(
+        X.SENT_SQL
+        + f""", probe AS (SELECT DISTINCT report_id, s, {_FORM_SQL.format('s')} AS form FROM (SELECT report_id, s FROM sent_ UNION ALL SELECT report_id, cite_text FROM chunk_ WHERE cite_text IS NOT NULL)),
+turns AS (SELECT report_id, key, text, {_FORM_SQL.format('text')} AS t FROM turn_ WHERE text IS NOT NULL),
+hit AS (SELECT p.report_id, p.s, p.form, t.key, t.text, t.t, instr(t.text, p.s) AS pos FROM probe p JOIN turns t ON t.report_id = p.report_id AND p.form <> '' AND contains(t.t, p.form)),
+one AS (SELECT report_id, s, count(*) AS hits, min(key) AS key, min(form) AS form, min(text) AS text, min(t) AS t, min(pos) AS pos FROM hit GROUP BY 1, 2),
+ch AS (SELECT report_id, s, i, substr(flat, i, 1) AS c, substr(flat, i - 1, 1) AS before FROM (SELECT report_id, s, regexp_replace(translate(text, '{X.MARKS_FROM}', '{X.MARKS_TO.replace(chr(39), chr(39) * 2)}'), '\\s', ' ', 'g') AS flat, unnest(generate_series(1, length(text))) AS i FROM one WHERE hits = 1 AND pos = 0)),
+kept AS (SELECT report_id, s, i, row_number() OVER (PARTITION BY report_id, s ORDER BY i) AS n FROM ch WHERE NOT (c = ' ' AND (i = 1 OR before = ' '))),
+place AS (SELECT o.report_id, o.s, min(k.i) FILTER (WHERE k.n = instr(o.t, o.form)) - 1 AS a, max(k.i) FILTER (WHERE k.n = instr(o.t, o.form) + length(o.form) - 1) AS z FROM one o JOIN kept k ON k.report_id = o.report_id AND k.s = o.s GROUP BY 1, 2)
+SELECT p.report_id, md5(p.s) AS probe_md5, coalesce(o.hits, 0) AS hits, CASE WHEN o.hits = 1 THEN o.key END AS key,
+CASE WHEN o.hits = 1 THEN CASE WHEN o.pos > 0 THEN o.pos - 1 ELSE place.a END END AS char_start, CASE WHEN o.hits = 1 THEN CASE WHEN o.pos > 0 THEN o.pos - 1 + length(p.s) ELSE place.z END END AS char_end,
+CASE WHEN o.hits IS NULL THEN 'unresolved' WHEN o.hits > 1 THEN 'ambiguous' WHEN o.pos > 0 THEN 'exact' ELSE 'normalised' END AS method
+FROM probe p LEFT JOIN one o ON o.report_id = p.report_id AND o.s = p.s LEFT JOIN place ON place.report_id = p.report_id AND place.s = p.s"""
+    ),
 )
 def anchor_spans(spark: SparkSession, d: str) -> DataFrame:
     """Where a report's sentences and its chunks' texts stand in its turns: `exact` (verbatim in one turn, at its first place),
@@ -207,7 +222,7 @@ def suggestion_grounding(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", (F.col("hit").isNotNull() & F.col("title").eqNullSafe(F.col("stored"))).alias("grounded"))
 
 
-@R.query("provenance_check", current_sql("SELECT c.id, instr(t.text, c.cite_text) AS at, sha256(substr(t.text, instr(t.text, c.cite_text), length(c.cite_text))) = sha256(c.cite_text) AS same FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE c.part = 0 AND contains(t.text, c.cite_text)"))
+@R.query("provenance_check", current_sql("SELECT c.id, instr(t.text, c.cite_text) AS at, sha256(substr(t.text, instr(t.text, c.cite_text), length(c.cite_text))) = sha256(c.cite_text) AS same FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE contains(t.text, c.cite_text)"))
 def provenance_check(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     j = t.chunk.select("id", "turn_key", "cite_text").join(t.turn.select(F.col("key").alias("turn_key"), "text"), "turn_key").where(F.contains("text", "cite_text"))
@@ -219,7 +234,8 @@ def provenance_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mark_sql() -> str:
-    return ", m AS (SELECT key, turn, text, unnest(['rebate', 'permit', 'caregivers', 'grant', 'service standard']) AS w FROM turn_ WHERE year = 2016 AND text IS NOT NULL), sp AS (SELECT key, instr(lower(text), w) - 1 AS s, instr(lower(text), w) - 1 + 20 AS e, length(text) AS n FROM m WHERE contains(lower(text), w))"
+    return """, m AS (SELECT key, lower(text) AS low, length(text) AS n, unnest(['rebate', 'permit', 'caregivers', 'grant', 'service standard']) AS w FROM turn_ WHERE text IS NOT NULL),
+sp AS (SELECT key, s, s + 20 AS e, n FROM (SELECT key, n, unnest(list_filter(generate_series(0, n - length(w)), lambda i: substr(low, i + 1, length(w)) = w)) AS s FROM m WHERE contains(low, w)))"""
 
 
 def marks(t: Tables) -> DataFrame:
@@ -404,7 +420,7 @@ def flag_falsify(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", F.when(F.contains(F.lower("text"), F.lower("cite_text")), "substring").when(F.size(w) == both, "all_words").when(both >= 0.8 * F.size(w), "most_words").otherwise("stands").alias("outcome"))
 
 
-@R.query("evidence_missing", current_sql(f"SELECT c.id, len(list_filter(list_distinct({_W4.format('c.cite_text')}), lambda x: NOT list_contains({_W4.format('t.text')}, x))) AS missing FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE c.cite_text IS NOT NULL AND t.text IS NOT NULL AND c.n_parts > 1"))
+@R.query("evidence_missing", current_sql(f"SELECT c.id, len(list_filter(list_distinct({_W4.format('c.cite_text')}), lambda x: NOT list_contains({_W4.format('t.text')}, x))) AS missing FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE c.cite_text IS NOT NULL AND t.text IS NOT NULL"))
 def evidence_missing(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{4,})"), F.lit(1)))
