@@ -43,7 +43,7 @@ SAMPLE_CHARS = 20_000
 #: Characters of sentences that are counted at a time.
 CHARS = 1 << 16
 #: Sentences that are multiplied with the centroids at a time.
-BLOCK = 128
+BLOCK = 64
 #: Share of a language's own sentences that lie below the cosine from which its threshold is taken.
 REJECTED = 0.002
 #: A language's threshold as a share of that cosine.
@@ -117,7 +117,7 @@ def gram_counts(sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Model(NamedTuple):
-    """idf by bucket; the centroids' columns, their languages, and each language's least cosine."""
+    """idf by bucket; the centroids' columns, their languages (-1 for a column of nobody), and each language's least cosine."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -132,17 +132,23 @@ class Model(NamedTuple):
             return out
         w = n.astype(np.float32) * self.idf[b]
         norm = np.sqrt(np.bincount(s, w * w, len(sentences)))
-        place = np.zeros(BUCKETS, np.int64)
-        for i in range(0, len(sentences), BLOCK):
-            lo, hi = np.searchsorted(s, (i, i + BLOCK))
-            used = np.flatnonzero(np.bincount(b[lo:hi], minlength=BUCKETS))
-            place[used] = np.arange(len(used))
-            x = np.zeros((min(BLOCK, len(sentences) - i), len(used)), np.float32)
-            x[s[lo:hi] - i, place[b[lo:hi]]] = w[lo:hi]
-            sums = x @ self.centroids[used]
-            for k in range(len(LANGUAGES)):
-                if (own := self.owners == k).any():
-                    out[i : i + BLOCK, k] = sums[:, own].max(axis=1)
+        place = np.zeros(BUCKETS, np.int32)
+        # two tables that are used again for each block of sentences
+        room, rows = np.empty(BLOCK * BUCKETS, np.float32), np.empty(self.centroids.shape, np.float32)
+        owned = [np.flatnonzero(self.owners == k) for k in range(len(LANGUAGES))]
+        ends = np.searchsorted(s, np.arange(0, len(sentences) + BLOCK, BLOCK))
+        for i, lo, hi in zip(range(0, len(sentences), BLOCK), ends, ends[1:]):
+            here = b[lo:hi]
+            used = np.flatnonzero(np.bincount(here, minlength=BUCKETS))
+            place[used] = np.arange(len(used), dtype=np.int32)
+            n = min(BLOCK, len(sentences) - i)
+            x = room[: n * len(used)]
+            x.fill(0)
+            x[(s[lo:hi] - i) * np.int32(len(used)) + place[here]] = w[lo:hi]
+            sums = x.reshape(n, len(used)) @ np.take(self.centroids, used, axis=0, out=rows[: len(used)])
+            for k, own in enumerate(owned):
+                if len(own):
+                    out[i : i + n, k] = sums[:, own[0] : own[-1] + 1].max(axis=1)
         return out / np.maximum(norm, 1e-12)[:, None].astype(np.float32)
 
 
@@ -221,7 +227,8 @@ def _vectors(sentences: list[str], idf: np.ndarray) -> np.ndarray:
     s, b, n = gram_counts(sentences)
     out = np.zeros((len(sentences), BUCKETS), np.float32)
     out[s, b] = n * idf[b]
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-12)[:, None]
+    return out
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -250,16 +257,18 @@ def fit(samples: dict[str, list[str]], df: np.ndarray, total: int, clusters: int
     sentences most like it, as a share of their label's sample, mostly have another label; so wrongly
     labelled ones lose to their own kind."""
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    xs = {k: _vectors(v[:SAMPLE_SENTENCES], idf) for k, v in samples.items() if v}
-    names = [k for k in LANGUAGES if k in xs]
+    names = [k for k in LANGUAGES if samples.get(k)]
+    ends = np.cumsum([0] + [len(samples[k][:SAMPLE_SENTENCES]) for k in names])
+    every = _vectors([x for k in names for x in samples[k][:SAMPLE_SENTENCES]], idf)
+    xs = {k: every[a:b] for k, a, b in zip(names, ends, ends[1:])}
     kept = {}
     if names:
-        every = np.concatenate([xs[k] for k in names])
-        like = every[:, every.any(axis=0)]
-        like = np.maximum(like @ like.T, 0) ** 2
+        like = every @ every.T
+        np.maximum(like, 0, out=like)
+        like *= like
         np.fill_diagonal(like, 0)
-        ends = np.cumsum([0] + [len(xs[k]) for k in names])
         weight = np.add.reduceat(like, ends[:-1], axis=1) / np.diff(ends)
+        del like
         for j, k in enumerate(names):
             right = weight[ends[j] : ends[j + 1]].argmax(axis=1) == j
             kept[k] = right if right.any() else np.ones(len(right), bool)
@@ -269,7 +278,10 @@ def fit(samples: dict[str, list[str]], df: np.ndarray, total: int, clusters: int
     least = np.full(len(LANGUAGES), 2.0)
     for k in names:
         least[LANGUAGES.index(k)] = SLACK * np.quantile(_without_itself(xs[k][kept[k]], found[k]), REJECTED)
-    return Model(idf, np.ascontiguousarray(c.T.astype(np.float32)), owners, least)
+    # columns of nobody up to a number that multiplies fast
+    more = -len(c) % 16
+    c = np.concatenate([c, np.zeros((more, BUCKETS), np.float32)])
+    return Model(idf, np.ascontiguousarray(c.T.astype(np.float32)), np.r_[owners, np.full(more, -1)], least)
 
 
 def train(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS, seed: int = 7) -> Model:
