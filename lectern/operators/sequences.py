@@ -40,3 +40,33 @@ def kept_spans(spans: Column) -> Column:
         return F.struct(F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"), F.when(fits, x["e"]).otherwise(acc["pos"]).alias("pos"))
 
     return F.aggregate(spans, start, step)["kept"]
+
+
+#: Rows of a group that are ordered in one task.
+BLOCK = 4096
+
+
+def carried_forward(rows: DataFrame, group: str, order: str, columns: list[str], block: int = BLOCK) -> DataFrame:
+    """`rows` with the last non-null value of each column up to each row, in the order of an integer column.
+
+    A group is worked on in blocks by its order's number, of which each leaves one row to the next, so that a
+    group that most rows are in is no single task's.
+    """
+    rows = rows.withColumn("__block", F.floor(F.col(order) / block))
+    held = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))["v"]
+    last = rows.groupBy(group, "__block").agg(*(held(c).alias(f"__{c}") for c in columns))
+    before = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    base = last.select(group, "__block", *(F.last(f"__{c}", ignorenulls=True).over(before).alias(f"__{c}") for c in columns))
+    within = Window.partitionBy(group, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(base, [group, "__block"])
+    return out.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(within), F.col(f"__{c}")) for c in columns}).drop("__block", *(f"__{c}" for c in columns))
+
+
+def running_total(rows: DataFrame, group: str, order: str, value: Column, out: str, block: int = BLOCK) -> DataFrame:
+    """The sum of `value` up to each row and with it, in the order of an integer column, by blocks as above."""
+    rows = rows.withColumns({"__block": F.floor(F.col(order) / block), "__v": value})
+    sums = rows.groupBy(group, "__block").agg(F.sum("__v").alias("__sum"))
+    before = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(group, "__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy(group, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(base, [group, "__block"]).withColumn(out, F.col("__base") + F.coalesce(F.sum("__v").over(within), F.lit(0))).drop("__block", "__v", "__base")

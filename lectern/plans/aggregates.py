@@ -344,18 +344,19 @@ def sid_numbering(spark: SparkSession, d: str) -> DataFrame:
     return numbered(Tables(spark, d).turn, ["report_id"], ["turn"], "n").select("key", F.format_string("s%05d", F.col("n") + 1).alias("sid"))
 
 
-_DANGLING = r"^(it|this|that|these|those|they|he|she|and|but|so|however|meanwhile|frankly)\b"
+# Words with which a sentence points back.
+_DANGLING = r"(?i)^\s*(This|That|These|Those|It|They|He|She|We|I|There|Such|However|Therefore|Thus|Hence|So|And|But|Also|Then|Now|Certainly)\b"
 
 
 @R.query(
     "antecedent_repair",
-    current_sql(rf""", t AS (SELECT report_id, turn, words >= 150 AS picked, regexp_matches(lower(text), '^(it|this|that|these|those|they|he|she|and|but|so|however|meanwhile|frankly)\b') AS dangling FROM turn_)
+    current_sql(rf""", t AS (SELECT report_id, turn, words >= 150 AS picked, regexp_matches(text, '{_DANGLING}') AS dangling FROM turn_)
 SELECT DISTINCT report_id, turn, repaired FROM (SELECT report_id, turn, false AS repaired FROM t WHERE picked
 UNION ALL SELECT a.report_id, a.turn, true FROM t a JOIN t b ON b.report_id = a.report_id AND b.turn = a.turn + 1 WHERE b.picked AND b.dangling AND NOT a.picked)"""),
 )
 def antecedent_repair(spark: SparkSession, d: str) -> DataFrame:
     """A picked passage that opens with a word pointing back draws in the one before it."""
-    t = Tables(spark, d).turn.select("report_id", "turn", (F.col("words") >= 150).alias("picked"), F.lower("text").rlike(_DANGLING).alias("dangling"))
+    t = Tables(spark, d).turn.select("report_id", "turn", (F.col("words") >= 150).alias("picked"), F.col("text").rlike(_DANGLING).alias("dangling"))
     w = Window.partitionBy("report_id").orderBy("turn")
     t = t.withColumn("needed", (F.lead("turn").over(w) == F.col("turn") + 1) & F.lead("picked").over(w) & F.lead("dangling").over(w))
     return t.where(F.col("picked") | F.coalesce("needed", F.lit(False))).select("report_id", "turn", (~F.col("picked")).alias("repaired"))

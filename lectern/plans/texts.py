@@ -123,6 +123,7 @@ def short_speaker(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "turn").select("speaker").where("speaker IS NOT NULL").distinct().select("speaker", X.short_speaker("speaker").alias("short"))
 
 
+# What a last bracket begins with that is no constituency.
 _NO_SEAT = r"(?i)^(for\s+the\b|for\s+Mr\b|for\s+Ms\b|for\s+Dr\b|In\b|To\b|on\b|as\b|and\b|the\b|(Mr|Ms|Mrs|Mdm|Dr|Prof|Assoc\s+Prof|Associate\s+Prof|Encik|Haji|Puan|Datuk)\b)"
 
 
@@ -229,14 +230,6 @@ def clock_minutes_query(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).turn.where("time IS NOT NULL").select("key", "time", clock_minutes("time").alias("minutes"))
 
 
-@R.query("announce_dates", current_sql(", r AS (SELECT report_id, CAST(date AS DATE) AS a FROM report_) SELECT report_id, strftime(x, '%Y-%m-%d') AS day FROM (SELECT report_id, unnest(generate_series(a, a + INTERVAL 6 DAY, INTERVAL 1 DAY)) AS x FROM r) WHERE dayofweek(x) BETWEEN 1 AND 5"))
-def announce_dates(spark: SparkSession, d: str) -> DataFrame:
-    """The weekdays of the range that is announced with a sitting; it may run into the next year."""
-    r = Tables(spark, d).report.select("report_id", F.to_date("date").alias("a"))
-    days = r.select("report_id", F.explode(F.sequence("a", F.date_add("a", 6))).alias("x")).where(F.weekday("x") < 5)
-    return days.select("report_id", F.date_format("x", "yyyy-MM-dd").alias("day"))
-
-
 @R.query("selection_target", current_sql(X.SENT_SQL + " SELECT report_id, count(*) AS n, CAST(least(greatest(8, CAST(round(0.14 * count(*) - 0.000001) AS BIGINT)), greatest(1, CAST(round(0.6 * count(*) - 0.000001) AS BIGINT))) AS BIGINT) AS target FROM sent_ GROUP BY 1"))
 def selection_target(spark: SparkSession, d: str) -> DataFrame:
     part = lambda p: F.round(F.lit(p) * F.col("n") - 0.000001).cast("long")
@@ -244,58 +237,6 @@ def selection_target(spark: SparkSession, d: str) -> DataFrame:
     return n.select("report_id", "n", F.least(F.greatest(F.lit(8), part(0.14)), F.greatest(F.lit(1), part(0.6))).alias("target"))
 
 
-_CUES = r"(?i)(subsidy|grant|scheme|levy|rebate|allowance|policy|support|review|framework)"
-_SALIENCE_SQL = (
-    f"2.0 * least(len(regexp_extract_all(s, '{_CUES}')), 4) + CASE WHEN regexp_matches(s, '[$£][0-9]|[0-9][0-9,.]*\\s*(million|billion)') THEN 3.0 ELSE 0 END"
-    " + CASE WHEN regexp_matches(lower(s), '(^|[^a-z])(will|shall|commit|intend)([^a-z]|$)') THEN 2.5 ELSE 0 END + 2.0"
-    f" + CASE WHEN {X.WORD_COUNT_SQL.format('s')} BETWEEN 12 AND 40 THEN 1.0 ELSE 0 END - CASE WHEN {X.WORD_COUNT_SQL.format('s')} > 50 THEN 1.0 ELSE 0 END"
-)
-
-
-def salience(s: str = "s"):
-    """Cue words, figures and commitments, and a length that is neither a courtesy nor a formality."""
-    n = X.word_count(s)
-    return (
-        2.0 * F.least(F.regexp_count(s, F.lit(_CUES)), F.lit(4))
-        + F.when(F.col(s).rlike(r"[$£][0-9]|[0-9][0-9,.]*\s*(million|billion)"), 3.0).otherwise(0.0)
-        + F.when(F.lower(s).rlike("(^|[^a-z])(will|shall|commit|intend)([^a-z]|$)"), 2.5).otherwise(0.0)
-        + 2.0
-        + F.when(n.between(12, 40), 1.0).otherwise(0.0)
-        - F.when(n > 50, 1.0).otherwise(0.0)
-    )
-
-
-@R.query("salience_score", current_sql(X.SENT_SQL + f" SELECT key, CAST(i AS INTEGER) AS i, CAST({_SALIENCE_SQL} AS DOUBLE) AS score FROM sent_"))
-def salience_score(spark: SparkSession, d: str) -> DataFrame:
-    return sentence_rows(Tables(spark, d)).select("key", "i", salience().alias("score"))
-
-
-@R.query(
-    "select_two_pass",
-    current_sql(
-        X.SENT_SQL
-        + f""", sc AS (SELECT report_id, key, turn, i, CAST({_SALIENCE_SQL} AS DOUBLE) AS score FROM sent_), b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, i) AS rn FROM sc),
-p AS (SELECT *, CASE WHEN rn = 1 AND score > 2 THEN 0 WHEN score > 3 THEN 1 END AS pass FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pass, score DESC, turn, i) AS pos FROM p WHERE pass IS NOT NULL)
-SELECT report_id, key, CAST(i AS INTEGER) AS i, pass, score FROM r WHERE pos <= 24"""
-    ),
-)
-def select_two_pass(spark: SparkSession, d: str) -> DataFrame:
-    """The best sentence of each turn above 2, then others above 3 by score, 24 a report."""
-    s = sentence_rows(Tables(spark, d)).select("report_id", "key", "turn", "i", salience().alias("score"))
-    s = s.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "i")))
-    s = s.withColumn("pass", F.when((F.col("rn") == 1) & (F.col("score") > 2), 0).when(F.col("score") > 3, 1)).where("pass IS NOT NULL")
-    w = Window.partitionBy("report_id").orderBy("pass", F.desc("score"), "turn", "i")
-    return s.withColumn("pos", F.row_number().over(w)).where("pos <= 24").select("report_id", "key", "i", "pass", "score")
-
-
-@R.query("procedural_screen", current_sql(X.SENT_SQL + r" SELECT key, CAST(i AS INTEGER) AS i, CASE WHEN regexp_matches(lower(s), '^(order (read|for)|question (put|proposed)|debate (resumed|adjourned)|sitting (suspended|resumed)|bill (read|introduced|accordingly)|clause|amendment|the house divided|order)\b') THEN 'procedural' WHEN regexp_matches(lower(s), '^(thank|i thank|sir|may i|i beg|let me|please|yes)\b') THEN 'courtesy' ELSE 'kept' END AS screen FROM sent_"))
-def procedural_screen(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("s")
-    procedural = r"^(order (read|for)|question (put|proposed)|debate (resumed|adjourned)|sitting (suspended|resumed)|bill (read|introduced|accordingly)|clause|amendment|the house divided|order)\b"
-    screen = F.when(low.rlike(procedural), "procedural").when(low.rlike(r"^(thank|i thank|sir|may i|i beg|let me|please|yes)\b"), "courtesy").otherwise("kept")
-    return sentence_rows(Tables(spark, d)).select("key", "i", screen.alias("screen"))
-
-
 # ranking
 
 QUERY = ["rebate", "caregivers", "polyclinic", "rebate", "waiting"]
@@ -438,55 +379,11 @@ def figures_topk(spark: SparkSession, d: str) -> DataFrame:
     return d1.select("norm", "key", (n * unit).alias("magnitude")).orderBy(F.desc("magnitude"), "norm").limit(14)
 
 
-DECLARATIONS = [
-    (1, 'There are 72 "Ayes", 9 "Noes", and no "Abstentions".'), (2, 'There are 77 "Ayes", six "Noes", and zero "Abstentions".'), (3, 'There are 72 "Ayes", Nine "Noes" and three "Abstentions".'),
-    (4, 'There are 74 "Ayes", nine "Noes", and one "Abstention".'), (5, 'There are 80 "Ayes, zero "Noes".'), (6, 'There are many "Ayes", 3 "Noes".'), (7, 'There are 72 "Ayes", 9 "Noes", and no "Abstentions". There are 72 "Ayes", 9 "Noes", and no "Abstentions". There are 71 "Ayes", 10 "Noes".'),
-]
-NUMBER_WORDS = "no none zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
-_VALUES = {w: max(0, i - 2) for i, w in enumerate(NUMBER_WORDS)}
-_DECLARED = r"""(?i)There (?:are|is) ([A-Za-z0-9]+) "?Ayes?"?, ([A-Za-z0-9]+) "?Noes?"?(?:,? (?:and )?([A-Za-z0-9]+) "?Abstentions?"?)?"""
-
-
-def divisions(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(DECLARATIONS, "id int, text string")
-    number = F.create_map(*(F.lit(x) for kv in _VALUES.items() for x in kv))
-    parts = [F.regexp_extract_all("text", F.lit(_DECLARED), F.lit(i)) for i in (1, 2, 3)]
-    read = lambda c: F.coalesce(F.try_element_at(number, F.lower(c)), c.try_cast("int"))
-    x = rows.select("id", F.posexplode(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "abc")))).alias("pos", "x"))
-    return x.select("id", "pos", read(F.col("x.a")).alias("ayes"), read(F.col("x.b")).alias("noes"), read(F.nullif(F.col("x.c"), F.lit(""))).alias("abstentions")).where("ayes IS NOT NULL AND noes IS NOT NULL")
-
-
-_DECL_VALUES = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in DECLARATIONS) + ") v(id, text)"
-_NUM_MAP = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in _VALUES.items()) + "}"
-_DIV_SQL = f"""WITH m AS (SELECT id, unnest(regexp_extract_all(text, '{_DECLARED}', 1)) AS a, unnest(regexp_extract_all(text, '{_DECLARED}', 2)) AS b, unnest(regexp_extract_all(text, '{_DECLARED}', 3)) AS c, generate_subscripts(regexp_extract_all(text, '{_DECLARED}', 1), 1) - 1 AS pos FROM {_DECL_VALUES}),
-n AS (SELECT id, pos, coalesce({_NUM_MAP}[lower(a)], try_cast(a AS INTEGER)) AS ayes, coalesce({_NUM_MAP}[lower(b)], try_cast(b AS INTEGER)) AS noes, coalesce({_NUM_MAP}[lower(c)], try_cast(nullif(c, '') AS INTEGER)) AS abstentions FROM m)"""
-
-
-@R.query("divisions_extract", _DIV_SQL + " SELECT id, CAST(pos AS INTEGER) AS pos, ayes, noes, abstentions FROM n WHERE ayes IS NOT NULL AND noes IS NOT NULL")
-def divisions_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Declared votes; an abstention that isn't stated is null, not zero."""
-    return divisions(spark)
-
-
-@R.query("divisions_dedup", _DIV_SQL + " SELECT id, CAST(min(pos) AS INTEGER) AS pos, ayes, noes, abstentions, count(*) AS n FROM n WHERE ayes IS NOT NULL AND noes IS NOT NULL GROUP BY id, ayes, noes, abstentions")
-def divisions_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return divisions(spark).groupBy("id", "ayes", "noes", "abstentions").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
-
-
-@R.query("json_recover")
-def json_recover(spark: SparkSession, d: str) -> DataFrame:
-    """Payloads with fences, prose around them, or cut off: read where they can be, as text where not."""
-    e = load(spark, d, "events")
-    broken = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here it is: "), "props", F.lit(" and no more"))).otherwise(F.regexp_replace("props", r"\}$", ""))
-    bare = F.regexp_extract(broken, r"(?s)(\{[^{}]*\}?)", 1)
-    whole = F.when(bare.endswith("}"), bare).otherwise(F.concat(bare, F.lit("}")))
-    return e.select("event_id", F.from_json(whole, "k bigint")["k"].alias("k"))
-
-
 # rules
 
+# Phrases of formal corrections, of the speaker's own words, and of corrections as an instrument of policy.
 _HIGH = r"(?i)factual correction|should read as follows|correction to the (reply|answer|statement)"
-_SELF = r"(?i)to the reply given|to what i said|my reply should read|my (statement|answer) should read|i wish to (make|correct)|i would like to correct|to (my|the) (earlier|previous) (reply|statement)|at the sitting on|at the sitting of|i make a correction"
+_SELF = r"(?i)to the reply given|to what i said|my reply should read|my (statement|answer) should read|i wish to (make|correct)|i would like to correct|to (my|the) (earlier|previous) (reply|statement)|at the sitting on|at the sitting of"
 _MECHANISM = r"(?i)pofma|protection from online falsehoods|falsehood|false claim|issue a correction|correction direction|publisher"
 
 
@@ -503,68 +400,6 @@ def supersession_links(spark: SparkSession, d: str) -> DataFrame:
     return j.select("announce_turn", "supersede_turn", "evidence", F.when(F.col("supersede_turn").isNotNull(), F.coalesce("s", F.lit("")) == F.col("s2")).alias("same_speaker"))
 
 
-_SIG_SQL = """CASE WHEN regexp_matches(lower(coalesce(speaker, '')), '(mr|mdm|madam|the) (deputy )?(speaker|chairman)') AND regexp_matches(lower(s), '(order|please keep it short|others waiting|clarification to make|yes, please|the clerk will note|question is)') THEN 'chair_housekeeping'
-WHEN regexp_matches(lower(s), '^(i misspoke|i meant to say|what i meant|i should have said|my mistake|i correct myself|my reply should read)') THEN 'self_correction'
-WHEN regexp_matches(lower(s), '^(as i said|as i mentioned|i said|to repeat|as mentioned)') AND NOT regexp_matches(lower(s), '(will|shall|would|propose|million|billion|per cent)') THEN 'restatement' END"""
-
-
-def significance():
-    """An ordered ladder: the chair's housekeeping, a self-correction, a bare restatement, else null."""
-    low, who = F.lower("s"), F.lower(F.coalesce("speaker", F.lit("")))
-    chair = who.rlike("(mr|mdm|madam|the) (deputy )?(speaker|chairman)") & low.rlike("(order|please keep it short|others waiting|clarification to make|yes, please|the clerk will note|question is)")
-    correction = low.rlike("^(i misspoke|i meant to say|what i meant|i should have said|my mistake|i correct myself|my reply should read)")
-    restatement = low.rlike("^(as i said|as i mentioned|i said|to repeat|as mentioned)") & ~low.rlike("(will|shall|would|propose|million|billion|per cent)")
-    return F.when(chair, "chair_housekeeping").when(correction, "self_correction").when(restatement, "restatement")
-
-
-@R.query("significance_single", current_sql(X.SENT_SQL + f" SELECT key, CAST(i AS INTEGER) AS i, {_SIG_SQL} AS reason FROM sent_"))
-def significance_single(spark: SparkSession, d: str) -> DataFrame:
-    return sentence_rows(Tables(spark, d)).select("key", "i", significance().alias("reason"))
-
-
-@R.query(
-    "significance_turn",
-    current_sql(X.SENT_SQL + f", r AS (SELECT key, i, s, {_SIG_SQL} AS reason FROM sent_), p AS (SELECT *, coalesce(lag(reason) OVER w = 'self_correction', false) AS pair, coalesce(bool_or(reason = 'self_correction') OVER (PARTITION BY key), false) AS retracts FROM r WINDOW w AS (PARTITION BY key ORDER BY i)) SELECT key, CAST(i AS INTEGER) AS i, CASE WHEN reason IS NOT NULL THEN reason WHEN pair AND retracts THEN 'self_correction' END AS reason FROM p"),
-)
-def significance_turn(spark: SparkSession, d: str) -> DataFrame:
-    """In a turn that takes something back, the sentence after a self-correction belongs to it."""
-    w = Window.partitionBy("key").orderBy("i")
-    r = sentence_rows(Tables(spark, d)).select("key", "i", significance().alias("reason"))
-    return r.select("key", "i", F.coalesce("reason", F.when(F.lag("reason").over(w) == "self_correction", "self_correction")).alias("reason"))
-
-
-@R.query(
-    "correction_pairs",
-    current_sql(X.SENT_SQL + f", r AS (SELECT key, speaker, i, {_SIG_SQL} AS reason FROM sent_), n AS (SELECT key, i, reason, coalesce(lead(i) OVER w, lag(i) OVER w) AS near FROM r WINDOW w AS (PARTITION BY key ORDER BY i)) SELECT key, CAST(i AS INTEGER) AS i FROM n WHERE reason = 'self_correction' AND near IS NOT NULL"),
-)
-def correction_pairs(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("key").orderBy("i")
-    r = sentence_rows(Tables(spark, d)).select("key", "i", significance().alias("reason")).withColumn("near", F.coalesce(F.lead("i").over(w), F.lag("i").over(w)))
-    return r.where("reason = 'self_correction' AND near IS NOT NULL").select("key", "i")
-
-
-@R.query(
-    "resolve_members",
-    r"""WITH s AS (SELECT DISTINCT speaker FROM turn WHERE speaker IS NOT NULL), n AS (SELECT speaker, CASE WHEN regexp_matches(speaker, '^[\[(].*[\])]$') THEN 'NON_PERSON' WHEN regexp_matches(lower(speaker), '^(the )?(mr|mdm|madam|ms)? ?(deputy )?(speaker|chairman)') THEN 'OFFICER' WHEN regexp_matches(lower(speaker), '^(hon|honourable|some hon)') THEN 'NON_PERSON' END AS kind,
-trim(regexp_replace(lower(regexp_replace(speaker, '\s*\([^()]*\)\s*$', '')), '^((mr|mrs|ms|mdm|madam|dr|prof|assoc prof|er dr|er)\.?\s+)+', '')) AS bare, trim(regexp_replace(lower(regexp_extract(speaker, '\(([^()]*)\)\s*$', 1)), '^((mr|mrs|ms|mdm|madam|dr|prof|assoc prof|er dr|er)\.?\s+)+', '')) AS inner_ FROM s)
-SELECT n.speaker, coalesce(n.kind, CASE WHEN coalesce(a.member_id, b.member_id) IS NULL THEN 'UNRESOLVED' ELSE 'MEMBER' END) AS kind, CASE WHEN n.kind IS NULL THEN coalesce(b.member_id, a.member_id) END AS member_id
-FROM n LEFT JOIN roster a ON lower(a.full_name) = n.bare LEFT JOIN roster b ON lower(b.full_name) = n.inner_""",
-)
-def resolve_members(spark: SparkSession, d: str) -> DataFrame:
-    """Bracketed, presiding and collective labels first, in this order; then candidates for a name by precedence."""
-    s = load(spark, d, "turn").select("speaker").where("speaker IS NOT NULL").distinct()
-    low = F.lower("speaker")
-    kind = F.when(F.col("speaker").rlike(r"^[\[(].*[\])]$"), "NON_PERSON").when(low.rlike("^(the )?(mr|mdm|madam|ms)? ?(deputy )?(speaker|chairman)"), "OFFICER").when(low.rlike("^(hon|honourable|some hon)"), "NON_PERSON")
-    title = r"^((mr|mrs|ms|mdm|madam|dr|prof|assoc prof|er dr|er)\.?\s+)+"
-    inner = F.trim(F.regexp_replace(F.lower(F.regexp_extract("speaker", r"\(([^()]*)\)\s*$", 1)), title, ""))
-    bare = F.trim(F.regexp_replace(F.lower(F.regexp_replace("speaker", r"\s*\([^()]*\)\s*$", "")), title, ""))
-    c = s.withColumn("kind", kind).select("speaker", "kind", F.explode(F.array(F.struct(F.lit(0).alias("p"), inner.alias("n")), F.struct(F.lit(1).alias("p"), bare.alias("n")))).alias("c"))
-    roster = load(spark, d, "roster").select(F.lower("full_name").alias("n"), "member_id")
-    j = c.select("speaker", "kind", "c.p", "c.n").join(roster, "n", "left")
-    best = j.groupBy("speaker", "kind").agg(F.min(F.when(F.col("member_id").isNotNull(), F.struct("p", "member_id")))["member_id"].alias("m"))
-    return best.select("speaker", F.coalesce("kind", F.when(F.col("m").isNull(), "UNRESOLVED").otherwise("MEMBER")).alias("kind"), F.when(F.col("kind").isNull(), F.col("m")).alias("member_id"))
-
-
 @R.query(
     "resolve_fallback",
     r"""WITH r AS (SELECT member_id, lower(split_part(full_name, ' ', 1)) AS a, lower(regexp_extract(full_name, '([^ ]+)$', 1)) AS b FROM roster), u AS (SELECT a, b, min(member_id) AS member_id FROM r GROUP BY 1, 2 HAVING count(*) = 1),
@@ -578,34 +413,3 @@ def resolve_fallback(spark: SparkSession, d: str) -> DataFrame:
     n = F.trim(F.regexp_replace(F.regexp_replace("speaker", r"\s*\([^()]*\)\s*$", ""), r"^((Mr|Mrs|Ms|Mdm|Dr|Assoc Prof|Er Dr)\.?\s+)+", ""))
     s = load(spark, d, "turn").select("speaker").where("speaker IS NOT NULL").distinct().withColumn("n", n)
     return s.select("speaker", F.lower(F.regexp_extract("n", "^([^ ]+)", 1)).alias("a"), F.lower(F.regexp_extract("n", "([^ ]+)$", 1)).alias("b")).join(u, ["a", "b"]).select("speaker", "member_id")
-
-
-@R.query("question_open", current_sql(r", q AS (SELECT report_id, key, turn, speaker, text FROM turn_ WHERE speaker IS NOT NULL QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY turn) = 1) SELECT report_id, key, regexp_matches(lower(text), '^\W*(asked\s+the\s+\S|will the ministry|does the minister|why should|is the)') AS is_question FROM q"))
-def question_open(spark: SparkSession, d: str) -> DataFrame:
-    q = Tables(spark, d).turn.where("speaker IS NOT NULL").groupBy("report_id").agg(F.min(F.struct("turn", "key", "text")).alias("f"))
-    return q.select("report_id", "f.key", F.lower("f.text").rlike(r"^\W*(asked\s+the\s+\S|will the ministry|does the minister|why should|is the)").alias("is_question"))
-
-
-@R.query("sponsor_of", current_sql(", s AS (SELECT report_id, speaker, turn FROM turn_ WHERE speaker IS NOT NULL AND contains(text, 'I support the Bill') QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY turn) = 1) SELECT r.report_id, coalesce(s.speaker, trim(split_part(r.mp_names, ',', 1))) AS sponsor FROM report_ r LEFT JOIN s ON s.report_id = r.report_id WHERE r.group_name = 'bill'"))
-def sponsor_of(spark: SparkSession, d: str) -> DataFrame:
-    t = Tables(spark, d)
-    s = t.turn.where("speaker IS NOT NULL AND contains(text, 'I support the Bill')").groupBy("report_id").agg(F.min(F.struct("turn", "speaker"))["speaker"].alias("s"))
-    return t.report.where("group_name = 'bill'").select("report_id", "mp_names").join(s, "report_id", "left").select("report_id", F.coalesce("s", F.trim(F.split_part("mp_names", F.lit(","), F.lit(1)))).alias("sponsor"))
-
-
-@R.query(
-    "qa_mapping",
-    current_sql(r""", t AS (SELECT t.report_id, t.turn, t.key, t.words, regexp_matches(coalesce(t.speaker, ''), '^The (Senior )?Minister') AS role, regexp_matches(coalesce(t.speaker, ''), '(Speaker|Chairman)') AS chair, t.speaker IS NOT NULL AS attributed FROM turn_ t JOIN report_ r ON r.report_id = t.report_id WHERE r.group_name = 'oral'),
-a AS (SELECT report_id, min(CASE WHEN attributed AND NOT role AND NOT chair AND words > 25 THEN (turn, key) END) AS q, min(CASE WHEN role AND words >= 8 THEN (turn, key) END) AS r, count(*) AS turns FROM t GROUP BY 1)
-SELECT a.report_id, a.q[2] AS question, a.r[2] AS response, a.turns, (SELECT count(*) FROM t WHERE t.report_id = a.report_id AND t.attributed AND NOT t.chair AND t.words >= 8 AND t.turn > greatest(a.q[1], a.r[1])) AS supplementaries FROM a WHERE a.q IS NOT NULL AND a.r IS NOT NULL"""),
-)
-def qa_mapping(spark: SparkSession, d: str) -> DataFrame:
-    """Of each oral report: the first long question, the first response of an office, and how many turns follow both."""
-    t = Tables(spark, d)
-    who = F.coalesce("speaker", F.lit(""))
-    x = t.turn.join(t.report.where("group_name = 'oral'").select("report_id"), "report_id", "left_semi").select("report_id", "turn", "key", "words", who.rlike("^The (Senior )?Minister").alias("role"), who.rlike("(Speaker|Chairman)").alias("chair"), F.col("speaker").isNotNull().alias("attributed"))
-    first = lambda c: F.min(F.when(c, F.struct("turn", "key")))
-    follow = F.collect_list(F.when(F.col("attributed") & ~F.col("chair") & (F.col("words") >= 8), F.col("turn")))
-    a = x.groupBy("report_id").agg(first(F.col("attributed") & ~F.col("role") & ~F.col("chair") & (F.col("words") > 25)).alias("q"), first(F.col("role") & (F.col("words") >= 8)).alias("r"), F.count("*").alias("turns"), follow.alias("f"))
-    after = F.size(F.filter("f", lambda v: v > F.greatest(F.col("q.turn"), F.col("r.turn")))).cast("long")
-    return a.where("q IS NOT NULL AND r IS NOT NULL").select("report_id", F.col("q.key").alias("question"), F.col("r.key").alias("response"), "turns", after.alias("supplementaries"))
