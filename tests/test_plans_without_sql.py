@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import MARKS_FROM, MARKS_TO
 from lectern.operators.current import Tables
 from lectern.plans.documents import R as DOCUMENTS
+from lectern.plans.rules import R as RULES
 from lectern.plans.texts import R as TEXTS
 from lectern.plans.texts import sentence_rows
 from test_operators import plain_split
@@ -57,7 +58,7 @@ def test_norm_map(spark, data):
 
 
 def test_json_recover(spark, data):
-    got = {r.event_id: r.k for r in TEXTS.plans["json_recover"](spark, data).collect()}
+    got = {r.event_id: r.k for r in RULES.plans["json_recover"](spark, data).collect()}
     assert got == {r.event_id: json.loads(r.props)["k"] for r in spark.read.parquet(f"{data}/events.parquet").collect()}
 
 
