@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def units_of(text: str) -> Column:
-    """Paragraphs if there are several, flattened and each but the last with a blank after it; else sentences with their blanks."""
-    flat = F.filter(F.transform(F.split(F.col(text), r"\n{2,}"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
+    """Paragraphs if there are several, flattened (no-break blanks too) and each but the last with a blank after it; else sentences with their blanks."""
+    flat = F.filter(F.transform(F.split(F.col(text), r"\n{2,}"), lambda p: F.trim(F.regexp_replace(p, r"[\s\u00a0]+", " "))), lambda p: p != "")
     spaced = F.transform(flat, lambda p, i: F.when(i < F.size(flat) - 1, F.concat(p, F.lit(" "))).otherwise(p))
     sentences = F.regexp_extract_all(F.col(text), F.lit(r"([^.!?]*[.!?]+\s*|[^.!?]+$)"), F.lit(1))
     return F.when(F.size(flat) > 1, spaced).otherwise(sentences)

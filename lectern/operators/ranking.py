@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,17 +23,26 @@ def _is(term: str, x: Column) -> Column:
     return x == term
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
-    """key, score of the documents with a query term; a term asked twice counts twice.
+def bm25(docs: DataFrame, key: str, text: str, query: list[str], every: bool = False) -> DataFrame:
+    """key, score of the documents with a query term, or of `every` one; a term asked twice counts twice.
 
-    Lengths come from one pass over all documents; only postings of query terms are made.
+    Statistics come from one pass over all documents, scores from another, which takes apart only texts in
+    which a term occurs as letters. Words are found once a pass: the array of them is generated, a barrier
+    behind which filters don't repeat it.
     """
-    sized = docs.select(F.col(key), tokens(text).alias("ts")).withColumn("dl", F.size("ts"))
     weights = {t: query.count(t) for t in dict.fromkeys(query)}
-    counts = [F.size(F.filter("ts", partial(_is, t))) for t in weights]
-    sized = sized.select(key, "dl", *(c.alias(f"tf{i}") for i, c in enumerate(counts)))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(counts))))
-    hits = sized.where(F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(counts)))) > 0)
+
+    def counted(rows: DataFrame) -> DataFrame:
+        ts = rows.select(F.col(key), F.explode(F.array(tokens(text))).alias("ts"))
+        counts = [F.size(F.filter("ts", partial(_is, t))).alias(f"tf{i}") for i, t in enumerate(weights)]
+        return ts.select(key, F.size("ts").alias("dl"), *counts)
+
+    totals = counted(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(weights))))
+    low = F.lower(F.col(text))
+    some = docs if every else docs.where(reduce(or_, [F.contains(low, F.lit(t)) for t in weights], F.lit(False)))
+    hits = counted(some)
+    if not every:
+        hits = hits.where(F.greatest(F.lit(0), F.lit(0), *(F.col(f"tf{i}") for i in range(len(weights)))) > 0)
     j = hits.withColumn("t", totals.select(F.struct("*")).scalar())
     score: Column = F.lit(0.0)
     for i, w in enumerate(weights.values()):

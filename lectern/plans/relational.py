@@ -382,17 +382,3 @@ def stable_key(spark: SparkSession, d: str) -> DataFrame:
     a = ids.groupBy("item_id").agg(F.countDistinct("prefix").alias("k"), F.min("prefix").alias("p"), F.count("n").alias("with_n"), F.count("*").alias("all"), F.array_sort(F.collect_list("n")).alias("ns"), F.array_sort(F.collect_list("report_id")).alias("rs"))
     one = (F.col("k") == 1) & (F.col("p") != "") & (F.col("with_n") == F.col("all"))
     return a.select("item_id", F.when(one, F.concat("p", F.lit("-"), F.array_join(F.col("ns").cast("array<string>"), "+"))).otherwise(F.array_join("rs", "+")).alias("stable_key"))
-
-
-@R.query(
-    "recall_at_k",
-    """WITH gold AS (SELECT label, vec_id FROM embeddings WHERE vec_id % 7 = 0), ranked AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
-top AS (SELECT label, vec_id, r FROM ranked WHERE r <= 20)
-SELECT g.label, count(*) AS n_gold, count(t.vec_id) AS n_found, min(t.r) AS best_rank, round(count(t.vec_id) * 1.0 / count(*), 6) AS recall FROM gold g LEFT JOIN top t ON t.label = g.label AND t.vec_id = g.vec_id GROUP BY 1""",
-)
-def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "embeddings").select("label", "vec_id")
-    gold = e.where("vec_id % 7 = 0")
-    top = e.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("r <= 20").withColumnRenamed("vec_id", "hit")
-    j = gold.join(top, (gold["label"] == top["label"]) & (gold["vec_id"] == top["hit"]), "left").select(gold["label"], "hit", "r")
-    return j.groupBy("label").agg(F.count("*").alias("n_gold"), F.count("hit").alias("n_found"), F.min("r").alias("best_rank"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))

@@ -140,7 +140,7 @@ def constituency(spark: SparkSession, d: str) -> DataFrame:
     return s.select("speaker", seat.alias("seat"))
 
 
-@R.query("split_names", current_sql(r", n AS (SELECT report_id, unnest(string_split(regexp_replace(mp_names, ',(\s*(Mr|Ms|Mrs|Mdm|Dr|Prof|Assoc Prof|Er Dr|Er)\s)', chr(1) || '\1', 'g'), chr(1))) AS name FROM report_ WHERE mp_names IS NOT NULL) SELECT report_id, trim(name) AS name, count(*) AS n FROM n WHERE trim(name) <> '' GROUP BY 1, 2"))
+@R.query("split_names", current_sql(r", n AS (SELECT report_id, unnest(string_split(regexp_replace(regexp_replace(mp_names, '(\([^()]*\))|,', '\1' || chr(1), 'g'), '(\([^()]*\))' || chr(1), '\1', 'g'), chr(1))) AS name FROM report_ WHERE mp_names IS NOT NULL) SELECT report_id, trim(name) AS name, count(*) AS n FROM n WHERE trim(name) <> '' GROUP BY 1, 2"))
 def split_names(spark: SparkSession, d: str) -> DataFrame:
     """Names divided by commas outside brackets."""
     n = Tables(spark, d).report.where("mp_names IS NOT NULL").select("report_id", F.explode(F.split("mp_names", r",(?![^()]*\))")).alias("name"))
@@ -289,33 +289,6 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fuse([a, b], "vec_id").select("vec_id", F.round("score", 8).alias("score"))
 
 
-_POOL = "year IN (2015, 2016, 2017) AND cite_text ILIKE '%rebate%'"
-
-
-@R.query(
-    "constrained_retrieve",
-    current_sql(f", pool AS (SELECT turn_key, string_agg(cite_text, ' ' ORDER BY part) AS text FROM chunk_ WHERE {_POOL} GROUP BY 1), {bm25_sql('pool', 'turn_key', 'text')} SELECT k AS turn_key, round(score, 6) AS score, 'answered' AS status FROM scored ORDER BY round(score, 6) DESC, k LIMIT 30"),
-)
-def constrained_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    """Constraints first, then statistics and ranking within the pool they leave."""
-    c = Tables(spark, d).chunk.where(_POOL)
-    pool = c.groupBy("turn_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "cite_text"))), lambda x: x["cite_text"]), " ").alias("text"))
-    s = bm25(pool, "turn_key", "text", QUERY).withColumn("score", F.round("score", 6))
-    return s.orderBy(F.desc("score"), "turn_key").limit(30).withColumn("status", F.lit("answered"))
-
-
-@R.query(
-    "context_pack",
-    current_sql(f", pool AS (SELECT turn_key, string_agg(cite_text, ' ' ORDER BY part) AS text FROM chunk_ WHERE {_POOL} GROUP BY 1), {bm25_sql('pool', 'turn_key', 'text')}, j AS (SELECT c.id, c.turn_key, c.part, round(s.score, 6) AS score, row_number() OVER (PARTITION BY c.turn_key ORDER BY c.part) AS rn FROM scored s JOIN chunk_ c ON c.turn_key = s.k) SELECT id, turn_key, part FROM j WHERE rn <= 3 ORDER BY score DESC, turn_key, part LIMIT 30"),
-)
-def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    c = Tables(spark, d).chunk
-    s = F.broadcast(constrained_retrieve(spark, d).select("turn_key", "score"))  # 30 rows
-    j = c.select("id", "turn_key", "part").join(s, "turn_key")
-    j = j.withColumn("rn", F.row_number().over(Window.partitionBy("turn_key").orderBy("part"))).where("rn <= 3")
-    return j.orderBy(F.desc("score"), "turn_key", "part").limit(30).select("id", "turn_key", "part")
-
-
 @R.query("derive_constraints")
 def derive_constraints(spark: SparkSession, d: str) -> DataFrame:
     """Years (ranges expanded) and the subject that a text names; no years and '' where it names none."""
