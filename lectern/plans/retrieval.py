@@ -37,7 +37,7 @@ QUESTIONS = [
     "Was the grant for fishermen discussed in 1905?",
     "What did the take-up rate of 2013 and 2041 do to the service standard of kilns?",
     "Why do caregivers wait for the polyclinic?",
-    "Did zebras object to quasars?",
+    "Did zebras outrun quasars?",
 ]
 
 

@@ -36,14 +36,16 @@ _at = lambda sql, s="s": sql.replace("{0}", s)
 REASON_SQL = _at(f"CASE WHEN {_HOUSE} THEN 'chair_housekeeping' WHEN {CORRECTS_SQL} THEN 'self_correction' WHEN {RESTATES_SQL} AND NOT {SUBSTANTIVE_SQL} THEN 'restatement' END")
 _WORDS_SQL = X.WORD_COUNT_SQL.format("s")
 SCREEN_SQL = f"CASE WHEN {_WORDS_SQL} < {G.LEAST_WORDS} THEN 'too_short' WHEN {_hit('s', G.NOISE)} THEN 'courtesy' WHEN {_hit('s', G.PROCEDURE)} THEN 'procedural' ELSE {REASON_SQL} END"
+# letters outside ASCII are letters at the border of a word too, which this engine's \b doesn't know
+_LETTERS_SQL = r"regexp_replace(s, '[\x{C0}-\x{24F}\x{370}-\x{1FFF}\x{3040}-\x{FFDC}]', 'q', 'g')"
 _SALIENCE_SQL = (
-    f"CAST(2.0 * least(len(regexp_extract_all(s, {q(G.CUES)})), 4) + CASE WHEN {_hit('s', G.MONEY)} THEN 3.0 ELSE 0 END + CASE WHEN {_hit('s', G.PROMISE)} THEN 2.5 ELSE 0 END"
-    f" + 2.0 * (1.0 - {{position}}) + CASE WHEN {_WORDS_SQL} BETWEEN 12 AND 40 THEN 1.0 ELSE 0 END - CASE WHEN {_WORDS_SQL} > 50 THEN 1.0 ELSE 0 END AS DOUBLE)"
+    f"CAST(2.0 * least(len(regexp_extract_all({_LETTERS_SQL}, {q(G.CUES)})), 4) + CASE WHEN {_hit(_LETTERS_SQL, G.MONEY)} THEN 3.0 ELSE 0 END + CASE WHEN {_hit(_LETTERS_SQL, G.PROMISE)} THEN 2.5 ELSE 0 END"
+    f" + 2.0 * (1.0 - <position>) + CASE WHEN {_WORDS_SQL} BETWEEN 12 AND 40 THEN 1.0 ELSE 0 END - CASE WHEN {_WORDS_SQL} > 50 THEN 1.0 ELSE 0 END AS DOUBLE)"
 )
 
 
 def salience_sql(position: str) -> str:
-    return _SALIENCE_SQL.replace("{position}", position)
+    return _SALIENCE_SQL.replace("<position>", position)
 
 
 def turn_sentences(turns: DataFrame, *keep: str) -> DataFrame:
