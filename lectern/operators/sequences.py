@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def numbered(rows: DataFrame, by: list[str], order: list, out: str) -> DataFrame:
@@ -17,17 +21,28 @@ def islands(rows: DataFrame, w: WindowSpec, breaks: Column, out: str) -> DataFra
     return rows.withColumn(out, F.sum("__b").over(w)).drop("__b")
 
 
-def packed(sizes: Column, limit: int) -> Column:
-    """The bin of each of an array's sizes: bins are filled in order, and a size that doesn't fit opens the next."""
-    start = F.struct(F.array().cast("array<int>").alias("bins"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("used"))
+def packed(rows: DataFrame, group: str, order: list[str], size: str, limit: int) -> DataFrame:
+    """`group`, *order, `size`, bin of each row: bins of a group are filled in order, and a size that doesn't fit opens the next.
+
+    Rows of a group pass one task in order, of which it keeps two numbers; a null size takes no room.
+    """
+    rows = rows.select(group, *order, F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias(size))
+    schema = T.StructType([*rows.schema.fields, T.StructField("bin", T.IntegerType())])
 
-    def step(acc: Column, n: Column) -> Column:
-        opens = (acc["used"] > 0) & (acc["used"] + n > limit)
-        b = F.when(opens, acc["bin"] + 1).otherwise(acc["bin"])
-        used = F.when(opens, n.cast("long")).otherwise(acc["used"] + n)
-        return F.struct(F.concat(acc["bins"], F.array(b)).alias("bins"), b.alias("bin"), used.cast("long").alias("used"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bin_, used, begun = None, 0, 0, False
+        for batch in batches:
+            bins = []
+            for g, n in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if not begun or g != now:
+                    now, bin_, used, begun = g, 0, 0, True
+                if used and used + n > limit:
+                    bin_, used = bin_ + 1, 0
+                used += n
+                bins.append(bin_)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, pa.int32())], schema.names)
 
-    return F.aggregate(sizes, start, step)["bins"]
+    return rows.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)
 
 
 def kept_spans(spans: Column) -> Column:
@@ -70,3 +85,22 @@ def running_total(rows: DataFrame, group: str, order: str, value: Column, out: s
     base = sums.select(group, "__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     within = Window.partitionBy(group, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(base, [group, "__block"]).withColumn(out, F.col("__base") + F.coalesce(F.sum("__v").over(within), F.lit(0))).drop("__block", "__v", "__base")
+
+
+def block_numbered(rows: DataFrame, group: str, order: str, out: str, block: int = BLOCK) -> DataFrame:
+    """Rows numbered from 1 within each group in the order of an integer column without repeats, by blocks as above."""
+    return running_total(rows, group, order, F.lit(1), out, block)
+
+
+def neighbours(rows: DataFrame, group: str, order: str, columns: list[str], before: bool, block: int = BLOCK) -> DataFrame:
+    """`rows` with __c of each column c: its value in the row just before (or after) in the order of an integer column,
+    null at a group's end. By blocks, of which each gives its last (first) row to the next (one before)."""
+    rows = rows.withColumn("__block", F.floor(F.col(order) / block))
+    edge = F.struct(F.col(order).alias("o"), *(F.col(c).alias(c) for c in columns))
+    ends = rows.groupBy(group, "__block").agg((F.max(edge) if before else F.min(edge)).alias("__edge"))
+    by_block = Window.partitionBy(group).orderBy("__block")
+    ends = ends.select(group, "__block", (F.lag("__edge") if before else F.lead("__edge")).over(by_block).alias("__near"))
+    within = Window.partitionBy(group, "__block").orderBy(order)
+    own = F.struct(*(F.col(c).alias(c) for c in columns))
+    out = rows.join(ends, [group, "__block"]).withColumn("__own", (F.lag(own) if before else F.lead(own)).over(within))
+    return out.withColumns({f"__{c}": F.when(F.col("__own").isNotNull(), F.col(f"__own.{c}")).otherwise(F.col(f"__near.{c}")) for c in columns}).drop("__block", "__own", "__near")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.ids import content_hash
 from lectern.operators.current import Tables, current_sql, first_wins
-from lectern.operators.sequences import islands, numbered
+from lectern.operators.sequences import block_numbered, carried_forward, islands, neighbours, numbered, running_total
 from lectern.plans.registry import Registry
 from lectern.sources import load
 
@@ -267,9 +267,10 @@ def reading_budget(spark: SparkSession, d: str) -> DataFrame:
 SELECT report_id, CAST(speech AS BIGINT) AS speech, max(speaker) AS speaker, count(*) AS paragraphs, CAST(sum(words) AS BIGINT) AS words, md5(string_agg(text, chr(10) ORDER BY turn)) AS body_md5 FROM p GROUP BY 1, 2"""),
 )
 def turn_assembly(spark: SparkSession, d: str) -> DataFrame:
-    """A paragraph with a speaker opens a speech, others go on with it."""
-    w = Window.partitionBy("report_id").orderBy("turn")
-    p = Tables(spark, d).turn.select("report_id", "turn", "text", "words", "speaker").withColumn("speech", F.sum(F.col("speaker").isNotNull().cast("int")).over(w))
+    """A paragraph with a speaker opens a speech, others go on with it. The speeches of a report are numbered by blocks;
+    a speech is put together in one task."""
+    p = Tables(spark, d).turn.select("report_id", "turn", "text", "words", "speaker")
+    p = running_total(p, "report_id", "turn", F.col("speaker").isNotNull().cast("int"), "speech")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
     return p.groupBy("report_id", "speech").agg(F.max("speaker").alias("speaker"), F.count("*").alias("paragraphs"), F.sum("words").alias("words"), F.md5(body).alias("body_md5"))
 
@@ -279,8 +280,8 @@ def turn_assembly(spark: SparkSession, d: str) -> DataFrame:
     current_sql("SELECT key, last_value(time IGNORE NULLS) OVER w AS time, last_value(speaker IGNORE NULLS) OVER w AS speaker, speaker IS NOT NULL AS attributed FROM turn_ WINDOW w AS (PARTITION BY report_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
 )
 def carry_forward(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("report_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return Tables(spark, d).turn.select("key", F.last("time", True).over(w).alias("time"), F.last("speaker", True).over(w).alias("speaker"), F.col("speaker").isNotNull().alias("attributed"))
+    t = Tables(spark, d).turn.select("key", "report_id", "turn", "time", "speaker", F.col("speaker").isNotNull().alias("attributed"))
+    return carried_forward(t, "report_id", "turn", ["time", "speaker"]).select("key", "time", "speaker", "attributed")
 
 
 _TITLE_SQL = "trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"
@@ -324,7 +325,7 @@ SELECT report_id, hidden, min(turn) AS first_turn, max(turn) AS last_turn, count
 def run_segments(spark: SparkSession, d: str) -> DataFrame:
     hidden = F.coalesce("is_procedural", F.lit(False))
     s = Tables(spark, d).turn.select("report_id", "turn", hidden.alias("hidden"))
-    s = s.withColumn("island", F.col("turn") - F.row_number().over(Window.partitionBy("report_id", "hidden").orderBy("turn")))
+    s = running_total(s.withColumn("g", F.struct("report_id", "hidden")), "g", "turn", F.lit(1), "rn").withColumn("island", F.col("turn") - F.col("rn"))
     return s.groupBy("report_id", "hidden", "island").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n")).drop("island")
 
 
@@ -341,7 +342,7 @@ def content_hash_query(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("sid_numbering", current_sql("SELECT key, printf('s%05d', row_number() OVER (PARTITION BY report_id ORDER BY turn)) AS sid FROM turn_"))
 def sid_numbering(spark: SparkSession, d: str) -> DataFrame:
-    return numbered(Tables(spark, d).turn, ["report_id"], ["turn"], "n").select("key", F.format_string("s%05d", F.col("n") + 1).alias("sid"))
+    return block_numbered(Tables(spark, d).turn.select("key", "report_id", "turn"), "report_id", "turn", "n").select("key", F.format_string("s%05d", "n").alias("sid"))
 
 
 # Words with which a sentence points back.
@@ -357,8 +358,8 @@ UNION ALL SELECT a.report_id, a.turn, true FROM t a JOIN t b ON b.report_id = a.
 def antecedent_repair(spark: SparkSession, d: str) -> DataFrame:
     """A picked passage that opens with a word pointing back draws in the one before it."""
     t = Tables(spark, d).turn.select("report_id", "turn", (F.col("words") >= 150).alias("picked"), F.col("text").rlike(_DANGLING).alias("dangling"))
-    w = Window.partitionBy("report_id").orderBy("turn")
-    t = t.withColumn("needed", (F.lead("turn").over(w) == F.col("turn") + 1) & F.lead("picked").over(w) & F.lead("dangling").over(w))
+    t = neighbours(t.withColumn("at", F.col("turn")), "report_id", "turn", ["at", "picked", "dangling"], before=False)
+    t = t.withColumn("needed", (F.col("__at") == F.col("turn") + 1) & F.col("__picked") & F.col("__dangling"))
     return t.where(F.col("picked") | F.coalesce("needed", F.lit(False))).select("report_id", "turn", (~F.col("picked")).alias("repaired"))
 
 

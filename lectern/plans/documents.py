@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators.current import Tables, current_sql
 from lectern.operators.gates import gate
-from lectern.operators.sequences import kept_spans, packed
+from lectern.operators.sequences import kept_spans, packed, running_total
 from lectern.plans.registry import Registry
 from lectern.plans.texts import sentence_rows
 from lectern.sources import checkpointed, load
@@ -41,15 +41,13 @@ def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("report_id").agg(F.count("*").alias("pieces"), F.count_if(F.col("n_parts") > 1).alias("partial"), F.max(F.length("piece")).alias("longest"), F.sum(F.length(embed)).alias("embed_chars"))
 
 
-def _packs(t: DataFrame, by: str, cost, limit: int) -> DataFrame:
-    rows = t.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("turn", "key", cost.cast("int").alias("n")))).alias("x"))
-    bins = packed(F.transform("x", lambda v: v["n"]), limit)
-    z = rows.select(by, F.explode(F.arrays_zip(F.col("x"), bins.alias("bin"))).alias("z"))
-    return z.groupBy(by, F.col("z.bin").alias("bin")).agg(F.count("*").alias("n"), F.sum("z.x.n").alias("cost"), F.min("z.x.turn").alias("first_turn"), F.max("z.x.turn").alias("last_turn"))
+def _packs(t: DataFrame, cost: Column, limit: int) -> DataFrame:
+    bins = packed(t.select("report_id", "turn", "key", cost.alias("n")), "report_id", ["turn", "key"], "n", limit)
+    return bins.groupBy("report_id", "bin").agg(F.count("*").alias("n"), F.sum("n").alias("cost"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
 
 
 def _pack_sql(cost: str, limit: int) -> str:
-    return current_sql(f""", o AS (SELECT report_id, turn, {cost} AS n, row_number() OVER (PARTITION BY report_id ORDER BY turn, key) AS rn FROM turn_),
+    return current_sql(f""", o AS (SELECT report_id, turn, coalesce({cost}, 0) AS n, row_number() OVER (PARTITION BY report_id ORDER BY turn, key) AS rn FROM turn_),
 p AS (WITH RECURSIVE r AS (SELECT report_id, turn, n, rn, 0 AS bin, n AS used FROM o WHERE rn = 1 UNION ALL
 SELECT o.report_id, o.turn, o.n, o.rn, CASE WHEN r.used > 0 AND r.used + o.n > {limit} THEN r.bin + 1 ELSE r.bin END, CASE WHEN r.used > 0 AND r.used + o.n > {limit} THEN o.n ELSE r.used + o.n END FROM r JOIN o ON o.report_id = r.report_id AND o.rn = r.rn + 1) SELECT * FROM r)
 SELECT report_id, bin, count(*) AS n, CAST(sum(n) AS BIGINT) AS cost, min(turn) AS first_turn, max(turn) AS last_turn FROM p GROUP BY 1, 2""")
@@ -58,12 +56,12 @@ SELECT report_id, bin, count(*) AS n, CAST(sum(n) AS BIGINT) AS cost, min(turn)
 @R.query("pack_turns", _pack_sql("length(text) + 10", 6000))
 def pack_turns(spark: SparkSession, d: str) -> DataFrame:
     """A report's turns in order, in packs of a size limit. A pack ends with the turn before the one that doesn't fit."""
-    return _packs(Tables(spark, d).turn, "report_id", F.length("text") + 10, 6000)
+    return _packs(Tables(spark, d).turn, F.length("text") + 10, 6000)
 
 
 @R.query("pack_sids", _pack_sql("length(text) + length(coalesce(speaker, '')) + 8", 24000))
 def pack_sids(spark: SparkSession, d: str) -> DataFrame:
-    return _packs(Tables(spark, d).turn, "report_id", F.length("text") + F.length(F.coalesce("speaker", F.lit(""))) + 8, 24000)
+    return _packs(Tables(spark, d).turn, F.length("text") + F.length(F.coalesce("speaker", F.lit(""))) + 8, 24000)
 
 
 @R.query(
@@ -73,8 +71,10 @@ SELECT report_id, count(*) AS turns, md5(string_agg(CASE WHEN speaker IS NOT NUL
 )
 def render_excerpt(spark: SparkSession, d: str) -> DataFrame:
     """A report's beginning within a budget, each speaker named once in a row."""
-    w = Window.partitionBy("report_id").orderBy("turn")
-    s = Tables(spark, d).turn.where("text IS NOT NULL").select("report_id", "turn", "speaker", "text", F.lag("speaker").over(w).alias("before"), F.sum(F.length("text")).over(w).alias("used")).where("used <= 6000")
+    t = Tables(spark, d).turn.where("text IS NOT NULL").select("report_id", "turn", "speaker", "text")
+    # lengths first: only the turns within the budget are looked at with their texts
+    s = running_total(t, "report_id", "turn", F.length("text"), "used").where("used <= 6000")
+    s = s.withColumn("before", F.lag("speaker").over(Window.partitionBy("report_id").orderBy("turn")))
     label = F.when(F.col("speaker").isNotNull() & ~F.col("speaker").eqNullSafe(F.col("before")), F.concat(F.lit("["), "speaker", F.lit("] "))).otherwise("")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(label, F.col("text")).alias("l")))), lambda x: x["l"])
     return s.groupBy("report_id").agg(F.count("*").alias("turns"), F.md5(F.array_join(lines, "\n")).alias("excerpt_md5"))

@@ -1,6 +1,7 @@
 """Folds, gates, ranking and sources against plain Python."""
 
 import json
+import random
 import re
 
 import pytest
@@ -10,7 +11,7 @@ from lectern.operators.chunking import split_text
 from lectern.operators.cover import greedy
 from lectern.operators.gates import gate, verdict
 from lectern.operators.ranking import bm25, cosine, fuse
-from lectern.operators.sequences import kept_spans, packed
+from lectern.operators.sequences import block_numbered, carried_forward, kept_spans, neighbours, packed, running_total
 from lectern.sources import files
 from lectern.sources.html import turns_of
 from lectern.streaming import latest_by_key, new_files, session_counts, upsert_stream
@@ -50,8 +51,29 @@ def test_split_text(spark):
 
 
 def test_packed(spark):
-    df = spark.createDataFrame([([5, 5, 5, 20, 1, 1],), ([],)], "x array<int>")
-    assert [r[0] for r in df.select(packed(F.col("x"), 10)).collect()] == [[0, 0, 1, 2, 3, 3], []]
+    rows = [("a", i, n) for i, n in enumerate([5, 5, 5, 20, 1, 1])] + [("b", 0, 3), ("b", 1, None), (None, 0, 9), (None, 1, 9)]
+    got = packed(spark.createDataFrame(rows, "g string, i int, n int"), "g", ["i"], "n", 10).collect()
+    bins = {g: [r.bin for r in sorted(got, key=lambda r: r.i) if r.g == g] for g in ("a", "b", None)}
+    assert bins == {"a": [0, 0, 1, 2, 3, 3], "b": [0, 0], None: [0, 1]}
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_sequences_by_blocks(spark, block):
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice([None, f"v{i}"]), rng.randrange(5)) for g in ("a", "b") for i in rng.sample(range(40), 23)] + [("c", 7, None, None)]
+    df = spark.createDataFrame(rows, "g string, i int, v string, n int")
+    got = running_total(carried_forward(df.withColumn("last", F.col("v")), "g", "i", ["last"], block), "g", "i", F.col("n"), "total", block)
+    got = block_numbered(got, "g", "i", "rn", block)
+    got = neighbours(neighbours(got.withColumn("x", F.col("i")), "g", "i", ["x", "v"], True, block).withColumnsRenamed({"__x": "px", "__v": "pv"}), "g", "i", ["x"], False, block)
+    for g in ("a", "b", "c"):
+        last, total, want = None, 0, []
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        for k, (_, i, v, n) in enumerate(own):
+            last, total = v or last, total + (n or 0)
+            p, q = own[k - 1] if k else (None,) * 4, own[k + 1] if k + 1 < len(own) else (None,) * 4
+            want.append((i, last, total, k + 1, p[1], p[2], q[1]))
+        found = sorted((r.i, r["last"], r.total, r.rn, r.px, r.pv, r["__x"]) for r in got.where(F.col("g") == g).collect())
+        assert found == want
 
 
 def test_kept_spans(spark):
