@@ -33,8 +33,8 @@ def snapshot_changes(rows: DataFrame, fields: list[str]) -> DataFrame:
     numbers = rows.select("snapshot_no").where("snapshot_no IS NOT NULL").distinct()
     # one row a snapshot: a history of deliveries, not of records
     order = numbers.select("snapshot_no", F.lead("snapshot_no").over(Window.orderBy("snapshot_no")).alias("next_no"), F.lag("snapshot_no").over(Window.orderBy("snapshot_no")).alias("prior_no"))
-    cells = signed_cells(rows.join(order, "snapshot_no"), fields).repartition("snapshot_no", "key")
-    sums = cells.groupBy("snapshot_no", "key", "field", "value").agg(F.sum("sign").alias("n")).where("n <> 0")
+    # cells of one key meet once: by key, which serves the sums of both levels
+    sums = signed_cells(rows.join(order, "snapshot_no").repartition("key"), fields).groupBy("snapshot_no", "key", "field", "value").agg(F.sum("sign").alias("n")).where("n <> 0")
     presence = F.max(F.when(F.col("field") == "", F.col("n")))
     return (
         sums.groupBy("snapshot_no", "key")

@@ -77,7 +77,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("snapshot_no", "report_id", "change")
 
 
-@R.query("p7_fields")
+_FIELDS = _CHANGES.replace(
+    """AS change
+  FROM now a""",
+    """AS change,
+         CASE WHEN a.k IS NULL OR b.k IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.title IS DISTINCT FROM b.title THEN 'title' END, CASE WHEN a.turns IS DISTINCT FROM b.turns THEN 'turns' END) END AS changed_fields
+  FROM now a""",
+).replace("c.change FROM change c", "c.change, c.changed_fields FROM change c")
+
+
+@R.query("p7_fields", _FIELDS)
 def p7_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = report_snapshot_changes(load(spark, sf_dir, "report_snapshot"), load(spark, sf_dir, "report"))
     return found.selectExpr("snapshot_no", "report_id", "change", "array_join(changed_fields, ',') AS changed_fields")
