@@ -21,7 +21,19 @@ R = Registry()
 CHUNK, OVERLAP, LEAST = 6000, 800, 40
 
 
-@R.query("chunk_split")
+_SPLIT_SQL = rf""", b AS (SELECT key, report_id, speaker, text FROM turn_ WHERE text <> ''),
+p AS (SELECT key, text, list_filter(list_transform(regexp_split_to_array(text, '\n{{2,}}'), lambda v: trim(regexp_replace(v, '[\s\x{{A0}}]+', ' ', 'g'))), lambda v: v <> '') AS ps FROM b WHERE length(text) > {CHUNK}),
+u AS (SELECT key, unnest(us) AS u, generate_subscripts(us, 1) AS i FROM (SELECT key, CASE WHEN len(ps) > 1 THEN list_concat(list_transform(ps[:-2], lambda v: v || ' '), ps[-1:]) ELSE regexp_extract_all(text, '[^.!?]*[.!?]+\s*|[^.!?]+$') END AS us FROM p)),
+n AS (SELECT key, max(i) AS n FROM u GROUP BY 1),
+r AS (WITH RECURSIVE f AS (SELECT key, CAST(0 AS BIGINT) AS i, '' AS cur, CAST([] AS VARCHAR[]) AS out FROM n UNION ALL
+SELECT f.key, u.i, CASE WHEN length(u.u) > {CHUNK} THEN '' WHEN length(f.cur) + length(u.u) <= {CHUNK} THEN f.cur || u.u WHEN length(right(f.cur, {OVERLAP}) || u.u) <= {CHUNK} THEN right(f.cur, {OVERLAP}) || u.u ELSE u.u END,
+CASE WHEN length(u.u) <= {CHUNK} AND length(f.cur) + length(u.u) <= {CHUNK} THEN f.out ELSE list_concat(f.out, CASE WHEN f.cur = '' THEN [] ELSE [f.cur] END, CASE WHEN length(u.u) > {CHUNK} THEN list_transform(generate_series(0, (length(u.u) - 1) // {CHUNK}), lambda k: substr(u.u, k * {CHUNK} + 1, {CHUNK})) ELSE [] END) END
+FROM f JOIN u ON u.key = f.key AND u.i = f.i + 1) SELECT f.key, f.cur, f.out FROM f JOIN n ON n.key = f.key AND n.n = f.i),
+c AS (SELECT key, CASE WHEN cur = '' THEN out WHEN length(cur) < {LEAST} AND len(out) > 0 THEN list_concat(out[:-2], [out[-1] || cur]) ELSE list_concat(out, [cur]) END AS x FROM r UNION ALL SELECT key, [text] FROM b WHERE length(text) <= {CHUNK}),
+s AS (SELECT key, unnest(x) AS piece, generate_subscripts(x, 1) - 1 AS part, len(x) AS n_parts FROM c)"""
+
+
+@R.query("chunk_split", current_sql(_SPLIT_SQL + " SELECT key, CAST(part AS INTEGER) AS part, CAST(length(piece) AS INTEGER) AS n, md5(piece) AS piece_md5 FROM s"))
 def chunk_split(spark: SparkSession, d: str) -> DataFrame:
     """Turns cut into pieces of whole sentences with a raw overlap; see `lectern.operators.chunking`."""
     from lectern.operators.chunking import split_text
@@ -30,15 +42,29 @@ def chunk_split(spark: SparkSession, d: str) -> DataFrame:
     return t.select("key", "part", F.length("piece").alias("n"), F.md5("piece").alias("piece_md5"))
 
 
-@R.query("chunk_plan")
+@R.query(
+    "chunk_plan",
+    current_sql(
+        _SPLIT_SQL
+        + """, e AS (SELECT t.report_id, count(*) AS turns, count(*) FILTER (WHERE coalesce(trim(t.text), '') = '') AS empty, count(*) FILTER (WHERE length(t.text) BETWEEN 1 AND 39) AS short FROM turn_ t GROUP BY 1),
+g AS (SELECT b.report_id, count(*) AS pieces, count(*) FILTER (WHERE n_parts > 1) AS partial, max(length(piece)) AS longest, CAST(sum(length('[' || coalesce(speaker, '') || '] ' || piece)) AS BIGINT) AS embed_chars FROM s JOIN b USING (key) GROUP BY 1)
+SELECT e.report_id, e.turns, e.empty, e.short, coalesce(pieces, 0) AS pieces, coalesce(partial, 0) AS partial, CAST(coalesce(longest, 0) AS INTEGER) AS longest, coalesce(embed_chars, 0) AS embed_chars FROM e LEFT JOIN g USING (report_id)"""
+    ),
+)
 def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces by report: how many turns are cut, how long pieces are, and the text to embed."""
+    """Pieces by report with the record of what they cover: turns, empty and short ones, how many pieces are parts of a
+    turn, how long pieces are, and the text to embed."""
     from lectern.operators.chunking import split_text
 
-    t = Tables(spark, d).turn.where("text <> ''").select("report_id", "speaker", split_text("text", CHUNK, OVERLAP, LEAST).alias("x"))
-    p = t.select("report_id", F.size("x").alias("n_parts"), F.explode("x").alias("piece"), "speaker")
-    embed = F.concat(F.lit("["), F.coalesce("speaker", F.lit("")), F.lit("] "), F.col("piece"))
-    return p.groupBy("report_id").agg(F.count("*").alias("pieces"), F.count_if(F.col("n_parts") > 1).alias("partial"), F.max(F.length("piece")).alias("longest"), F.sum(F.length(embed)).alias("embed_chars"))
+    empty = F.coalesce(F.trim("text"), F.lit("")) == ""
+    t = Tables(spark, d).turn.select("report_id", empty.alias("empty"), F.length("text").alias("long"), F.coalesce("speaker", F.lit("")).alias("who"), F.when(F.col("text") != "", split_text("text", CHUNK, OVERLAP, LEAST)).alias("x"))
+    sizes = F.transform("x", F.length)
+    n = F.coalesce(F.size("x"), F.lit(0))
+    own = t.select("report_id", "empty", F.col("long").between(1, 39).alias("short"), F.greatest(n, F.lit(0)).alias("n"), F.array_max(sizes).alias("longest"), (F.aggregate(sizes, F.lit(0), lambda a, v: a + v) + n * (F.length("who") + 3)).alias("chars"))
+    return own.groupBy("report_id").agg(
+        F.count("*").alias("turns"), F.count_if("empty").alias("empty"), F.count_if("short").alias("short"), F.sum("n").alias("pieces"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("partial"),
+        F.coalesce(F.max("longest"), F.lit(0)).alias("longest"), F.coalesce(F.sum("chars"), F.lit(0)).alias("embed_chars"),
+    )
 
 
 def _packs(t: DataFrame, cost: Column, limit: int) -> DataFrame:
@@ -396,15 +422,47 @@ def section_speakers(spark: SparkSession, d: str) -> DataFrame:
 # evaluation
 
 
-@R.query("stratified_sample", None)
+#: Of each group's sample so many are drawn at random, are the longest, the thinnest, and cut in several parts; the
+#: rest is drawn at random.
+SHARES, SAMPLE = {"random": 8, "longest": 4, "thinnest": 4, "multi": 2}, 20
+
+
+@R.query(
+    "stratified_sample",
+    current_sql(
+        f""", t AS (SELECT group_name, key, words, n_chunks, md5('42' || key) AS h FROM turn_), a AS (SELECT *, row_number() OVER (PARTITION BY group_name ORDER BY h, key) AS n FROM t),
+b AS (SELECT *, row_number() OVER (PARTITION BY group_name ORDER BY words DESC, key) AS n FROM t ANTI JOIN (SELECT key FROM a WHERE n <= {SHARES['random']}) x USING (key)),
+c AS (SELECT *, row_number() OVER (PARTITION BY group_name ORDER BY words, key) AS n FROM t ANTI JOIN (SELECT key FROM a WHERE n <= {SHARES['random']} UNION ALL SELECT key FROM b WHERE n <= {SHARES['longest']}) x USING (key)),
+d AS (SELECT *, row_number() OVER (PARTITION BY group_name ORDER BY h, key) AS n FROM t ANTI JOIN (SELECT key FROM a WHERE n <= {SHARES['random']} UNION ALL SELECT key FROM b WHERE n <= {SHARES['longest']} UNION ALL SELECT key FROM c WHERE n <= {SHARES['thinnest']}) x USING (key) WHERE n_chunks > 1),
+p AS (SELECT group_name, key, 'random' AS slice FROM a WHERE n <= {SHARES['random']} UNION ALL SELECT group_name, key, 'longest' FROM b WHERE n <= {SHARES['longest']} UNION ALL SELECT group_name, key, 'thinnest' FROM c WHERE n <= {SHARES['thinnest']} UNION ALL SELECT group_name, key, 'multi' FROM d WHERE n <= {SHARES['multi']}),
+k AS (SELECT group_name, count(*) AS n FROM p GROUP BY 1),
+e AS (SELECT t.group_name, t.key, row_number() OVER (PARTITION BY t.group_name ORDER BY h, t.key) AS n FROM t ANTI JOIN p USING (key))
+SELECT * FROM p UNION ALL SELECT e.group_name, e.key, 'rest' FROM e JOIN k ON k.group_name IS NOT DISTINCT FROM e.group_name WHERE e.n <= {SAMPLE} - k.n"""
+    ),
+)
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    """A sample of each group that stays the same: by hash, the longest and the shortest, none twice."""
-    t = Tables(spark, d).turn.select("group_name", "key", "words")
-    h = F.xxhash64("key", F.lit(42))
+    """A sample of each group that stays the same: two fifths by a hash, a fifth the longest, a fifth the thinnest, a tenth of
+    those in several parts, and the rest by the hash again; none twice. Each slice keeps only what can be in it, the
+    first of each group after those taken before, which are never more than the sample."""
+    t = Tables(spark, d).turn.select("group_name", "key", "words", "n_chunks", F.md5(F.concat(F.lit("42"), "key")).alias("h"))
     w = Window.partitionBy("group_name")
-    ranks = t.select("group_name", "key", F.row_number().over(w.orderBy(F.desc("words"), "key")).alias("long"), F.row_number().over(w.orderBy("words", "key")).alias("thin"), F.row_number().over(w.orderBy(h, "key")).alias("random"))
-    kind = F.when(F.col("random") <= 8, "random").when(F.col("long") <= 4, "longest").when(F.col("thin") <= 4, "thinnest")
-    return ranks.select("group_name", "key", kind.alias("slice")).where("slice IS NOT NULL")
+
+    def first(rows: DataFrame, order: list, n: int) -> DataFrame:
+        return rows.withColumn("rn", F.row_number().over(w.orderBy(*order))).where(F.col("rn") <= n).drop("rn")
+
+    by_hash, longest, thinnest = ["h", "key"], [F.desc("words"), "key"], ["words", "key"]
+    # what can be taken at all: the first SAMPLE of each order, as no more are ever taken before it
+    few = first(t, by_hash, SAMPLE).unionByName(first(t, longest, SAMPLE)).unionByName(first(t, thinnest, SAMPLE)).unionByName(first(t.where("n_chunks > 1"), by_hash, SAMPLE)).distinct()
+    few = checkpointed(few)
+    taken = few.limit(0).withColumn("slice", F.lit(""))
+    for name, rows, order in (("random", few, by_hash), ("longest", few, longest), ("thinnest", few, thinnest), ("multi", few.where("n_chunks > 1"), by_hash)):
+        left = rows.join(taken.select("key"), "key", "left_anti") if name != "random" else rows
+        taken = taken.unionByName(first(left, order, SHARES[name]).withColumn("slice", F.lit(name)))
+    taken = checkpointed(taken.select("group_name", "key", "slice"))
+    size = taken.groupBy(F.col("group_name").alias("g")).agg(F.count("*").alias("n"))
+    rest = few.join(taken.select("key"), "key", "left_anti").withColumn("rn", F.row_number().over(w.orderBy(*by_hash)))
+    rest = rest.join(size, F.col("g").eqNullSafe(F.col("group_name"))).where(F.col("rn") <= SAMPLE - F.col("n"))
+    return taken.unionByName(rest.select("group_name", "key", F.lit("rest").alias("slice")))
 
 
 _W4 = "regexp_extract_all(lower({0}), '[a-z]{{4,}}')"
