@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators.bloom import bloom_segments, maybe_in, segments_for
 from lectern.operators.current import Tables, current_sql
 from lectern.operators.gates import gate
 from lectern.operators.sequences import kept_spans, packed, running_total
@@ -146,7 +147,7 @@ def verify_quotes(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", ((F.length("cite_text") >= 12) & F.contains(X.cased_norm("text"), X.cased_norm("cite_text"))).alias("verified"))
 
 
-_GRAM, _TRIED = 4, 4
+_GRAM, _TRIED = 4, 3
 _WORD = r"(\p{IsHan}|[^ \p{IsHan}]+)"
 
 
@@ -154,9 +155,14 @@ def _form(c: str) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.col(c), X.MARKS_FROM, X.MARKS_TO), r"\s+", " "))
 
 
+def _words(form: Column) -> Column:
+    """Hashes of a text's words; of Chinese, of its characters."""
+    return F.transform(F.regexp_extract_all(form, F.lit(_WORD), F.lit(1)), lambda w: F.xxhash64(w))
+
+
 def _grams(x: str) -> Column:
-    """Hashes of the report with each few words in a row of an array."""
-    some = F.transform(F.sequence(F.lit(1), F.size(x) - (_GRAM - 1)), lambda i: F.xxhash64("report_id", F.slice(x, i, F.lit(_GRAM))))
+    """Hashes of the report with each few words in a row, from the hashes of the words."""
+    some = F.transform(F.sequence(F.lit(0), F.size(x) - _GRAM), lambda i: F.xxhash64("report_id", *(F.get(x, i + k) for k in range(_GRAM))))
     return F.when(F.size(x) >= _GRAM, F.array_distinct(some)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -185,38 +191,45 @@ def anchor_spans(spark: SparkSession, d: str) -> DataFrame:
     `normalised` (in one turn in normal form only; the offsets are of the original), `ambiguous` (in several turns)
     or `unresolved` (in none). Turns are counted in normal form, that of `norm_map` without blanks at the ends.
 
-    Turns are numbers by a hash until their texts are compared. Probes and turns meet by report and by four words in a row from within the probe, the rarest in the report of a few;
-    then containment decides. Probes that are too short for that meet all turns of their report."""
+    A sentence is in its own turn, which needs no search. Other turns are found by four words in a row from within the
+    probe, the rarest in the report of a few, of which turns hold those that a Bloom filter lets pass; then
+    containment decides. Probes and turns are numbers by a hash until their texts are compared. Probes that are too
+    short for that meet all turns of their report.
+    """
     t = Tables(spark, d)
-    turns = checkpointed(t.turn.where("text IS NOT NULL").select("report_id", "key", "text"))
-    said = turns.select("report_id", F.explode(X.sentences("text")).alias("s"))
-    said = said.unionByName(t.chunk.where("cite_text IS NOT NULL").select("report_id", F.col("cite_text").alias("s")))
-    probe = said.groupBy("report_id", F.md5("s").alias("probe_md5")).agg(F.first("s").alias("s")).withColumn("form", _form("s"))
-    probe = probe.withColumn("x", F.regexp_extract_all("form", F.lit(_WORD), F.lit(1)))
+    turns = checkpointed(t.turn.where("text IS NOT NULL").select("report_id", F.xxhash64("key").alias("id"), "key", "text"))
+    pid = F.xxhash64("report_id", "s").alias("pid")
+    said = turns.select("report_id", "id", "key", "text", F.explode(X.sentences("text")).alias("s"))
+    own = said.where(_form("s") != "").select(pid, "id", "key", (F.position(F.col("s"), F.col("text")) - 1).alias("at"), F.length("s").alias("long"))
+    own = own.select("pid", "id", "key", F.col("at").alias("s"), (F.col("at") + F.col("long")).alias("e"), F.lit("exact").alias("method")).distinct()
+    probe = said.select("report_id", "s").unionByName(t.chunk.where("cite_text IS NOT NULL").select("report_id", F.col("cite_text").alias("s")))
+    probe = probe.groupBy("report_id", pid).agg(F.first("s").alias("s")).withColumn("form", _form("s")).withColumn("x", _words(F.col("form")))
     inner = probe.withColumn("x", F.slice("x", F.lit(2), F.greatest(F.size("x") - 2, F.lit(0))))  # the outer words may be parts of longer ones
-    probe = checkpointed(inner.select("report_id", "probe_md5", "s", F.nullif("form", "s").alias("form"), F.slice(F.array_sort(_grams("x")), 1, _TRIED).alias("grams")))
-    words = turns.select("report_id", F.xxhash64("key").alias("id"), F.regexp_extract_all(_form("text"), F.lit(_WORD), F.lit(1)).alias("x"))
-    grams = words.select("id", F.explode(_grams("x")).alias("g"))
-    often = grams.groupBy("g").agg(F.count("*").alias("n"))
-    tried = probe.select("report_id", "probe_md5", F.explode("grams").alias("g")).join(often, "g", "left")
-    rarest = tried.groupBy("report_id", "probe_md5").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))["g"].alias("g"))
-    met = rarest.join(grams, "g").select("report_id", "probe_md5", "id").join(probe.drop("grams"), ["report_id", "probe_md5"])
-    short = probe.where("size(grams) = 0 AND coalesce(form, s) <> ''").drop("grams").join(turns.select("report_id", F.xxhash64("key").alias("id")), "report_id")
-    texts = turns.select("report_id", F.xxhash64("key").alias("id"), "key", "text", F.nullif(_form("text"), F.col("text")).alias("t"))
+    probe = checkpointed(inner.select("report_id", "pid", "s", F.nullif("form", "s").alias("form"), F.slice(F.array_sort(_grams("x")), 1, _TRIED).alias("grams")))
+    tried = probe.select("pid", F.explode("grams").alias("g"))
+    n_segments = segments_for(_TRIED * probe.count())
+    held = turns.select("report_id", "id", _words(_form("text")).alias("x")).select("id", F.explode(_grams("x")).alias("g"))
+    held = maybe_in(held, "g", bloom_segments(tried.select("g").distinct(), "g", n_segments), n_segments).where("maybe").select("id", "g").repartition("g")
+    often = held.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = tried.join(often, "g", "left").groupBy("pid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))["g"].alias("g"))
+    met = rarest.join(held, "g").select("pid", "id")
+    short = probe.where("size(grams) = 0 AND coalesce(form, s) <> ''").select("report_id", "pid").join(turns.select("report_id", "id"), "report_id").select("pid", "id")
+    other = met.unionByName(short).join(own.select("pid", "id"), ["pid", "id"], "left_anti")
+    texts = turns.select("id", "key", "text", F.nullif(_form("text"), F.col("text")).alias("t"))
     form, plain = F.coalesce("form", "s"), F.coalesce("t", "text")
-    hit = met.unionByName(short).join(texts, ["report_id", "id"]).where(F.contains(plain, form)).withColumn("form", form).withColumn("t", plain)
+    hit = other.join(probe.select("pid", "s", "form"), "pid").join(texts, "id").where(F.contains(plain, form)).withColumns({"form": form, "t": plain})
     at = F.position(F.col("s"), F.col("text"))
-    hit = hit.withColumn("at", F.when(at > 0, at - 1)).withColumn("first", F.position(F.col("form"), F.col("t")))
+    hit = hit.withColumns({"at": F.when(at > 0, at - 1), "first": F.position(F.col("form"), F.col("t"))})
     # the characters of the normal form with their places, only where they are needed
     chars = F.transform(F.split(F.when(F.col("at").isNull(), F.col("text")), ""), lambda c, i: F.struct(F.regexp_replace(F.translate(c, X.MARKS_FROM, X.MARKS_TO), r"\s", " ").alias("c"), i.alias("i")))
-    hit = hit.select("report_id", "probe_md5", "key", "at", "first", F.length("form").alias("n"), F.length("s").alias("long"), chars.alias("f"))
+    hit = hit.select("pid", "id", "key", "at", "first", F.length("form").alias("n"), F.length("s").alias("long"), chars.alias("f"))
     kept = F.filter("f", lambda x: ~((x["c"] == " ") & F.coalesce(F.get("f", x["i"] - 1)["c"] == " ", F.lit(True))))
-    hit = hit.select("report_id", "probe_md5", "key", "at", "first", "n", "long", kept.alias("k"))
+    hit = hit.select("pid", "id", "key", "at", "first", "n", "long", kept.alias("k"))
     start = F.coalesce("at", F.get("k", F.col("first") - 1)["i"])
     end = F.coalesce(F.col("at") + F.col("long"), F.get("k", F.col("first") + F.col("n") - 2)["i"] + 1)
-    method = F.when(F.col("at").isNotNull(), "exact").otherwise("normalised")
-    g = hit.groupBy("report_id", "probe_md5").agg(F.count("*").alias("hits"), F.min(F.struct("key", start.alias("s"), end.alias("e"), method.alias("method"))).alias("x"))
-    j = probe.select("report_id", "probe_md5").join(g, ["report_id", "probe_md5"], "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
+    hit = hit.select("pid", "id", "key", start.alias("s"), end.alias("e"), F.when(F.col("at").isNotNull(), "exact").otherwise("normalised").alias("method"))
+    g = own.unionByName(hit).groupBy("pid").agg(F.count("*").alias("hits"), F.min(F.struct("key", "s", "e", "method")).alias("x"))
+    j = probe.select("report_id", "pid", F.md5("s").alias("probe_md5")).join(g, "pid", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
     one = F.col("hits") == 1
     method = F.when(one, F.col("x.method")).when(F.col("hits") == 0, "unresolved").otherwise("ambiguous")
     return j.select("report_id", "probe_md5", "hits", F.when(one, F.col("x.key")).alias("key"), F.when(one, F.col("x.s")).cast("long").alias("char_start"), F.when(one, F.col("x.e")).cast("long").alias("char_end"), method.alias("method"))
