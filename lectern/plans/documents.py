@@ -277,14 +277,14 @@ def _mark_sql() -> str:
 sp AS (SELECT key, s, s + 20 AS e, n FROM (SELECT key, n, unnest(list_filter(generate_series(0, n - length(w)), lambda i: substr(low, i + 1, length(w)) = w)) AS s FROM m WHERE contains(low, w)))"""
 
 
-def marks(t: Tables) -> DataFrame:
-    """Spans of twenty characters from every place of each of some words."""
+def marks(t: Tables, word: bool = False) -> DataFrame:
+    """Spans of twenty characters from every place of each of some words, with the word if it is wanted."""
     m = t.turn.where("text IS NOT NULL").select("key", "text", F.explode(F.array(*map(F.lit, ["rebate", "permit", "caregivers", "grant", "service standard"]))).alias("w")).where(F.contains(F.lower("text"), F.col("w")))
-    m = m.select("key", F.length("text").alias("n"), F.length("w").alias("long"), F.split(F.lower("text"), F.col("w"), -1).alias("x"))
+    m = m.select("key", "w", F.length("text").alias("n"), F.length("w").alias("long"), F.split(F.lower("text"), F.col("w"), -1).alias("x"))
     start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("pos"))
     step = lambda acc, p: F.struct(F.concat(acc["out"], F.array(acc["pos"] + F.length(p))).alias("out"), (acc["pos"] + F.length(p) + F.col("long")).alias("pos"))
     at = F.aggregate(F.slice("x", F.lit(1), F.size("x") - 1), start, step)["out"]
-    return m.select("key", "n", F.explode(at).alias("s")).select("key", "s", (F.col("s") + 20).alias("e"), "n")
+    return m.select("key", "n", "w", F.explode(at).alias("s")).select("key", "s", (F.col("s") + 20).alias("e"), "n", *(["w"] if word else []))
 
 
 @R.query(

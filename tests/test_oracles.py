@@ -7,7 +7,7 @@ from importlib import import_module
 import duckdb
 import pytest
 
-MODULES = ["integrity", "relational", "aggregates", "texts", "rules", "retrieval", "documents"]
+MODULES = ["integrity", "relational", "aggregates", "texts", "rules", "retrieval", "documents", "forms"]
 PLANS = {k: (f, r.sql.get(k)) for m in MODULES for r in [import_module(f"lectern.plans.{m}").R] for k, f in r.plans.items()}
 
 
