@@ -1,9 +1,9 @@
 """Cutting oversized texts into overlapping pieces at the ends of sentence units.
 
 Texts are worked on in ranges. A worker finds the unit borders of its range, seeing a little of the
-neighbouring ones; the borders of a text's ranges are stitched in one place, where prefix sums of the
-ranges' lengths give their offsets and pieces are chosen by offset alone. Pieces are then cut out of the
-ranges. Only numbers of a text ever meet in one task, never its characters.
+neighbouring ones; borders are stitched, prefix sums of the ranges' lengths give their offsets, and pieces
+are chosen by offset alone and cut out of the ranges. The borders of a text that is a row meet in one task,
+as its characters did; those of a file only a few ranges at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from lectern.functions.keys import key_form
 from lectern.llm.domain import by_draft, holding
 from lectern.llm.sentences import _SCRIPTS, _break_ends, _opening, _spans, flat_form
+from lectern.operators.sequences import neighbours
 from lectern.sources import checkpointed
 
 LIMIT, LOW, HIGH = 6000, 200, 800
@@ -266,6 +267,25 @@ def plan_pieces(borders: DataFrame, limit: int = LIMIT, low: int = LOW, high: in
     return _per_text(borders, f, _struct(key=T.StringType(), part=i, n_parts=i, char_start=n, char_end=n, total=n, r=i, local=i, natural=T.BooleanType()))
 
 
+def _emitted(plan: DataFrame, ranges: DataFrame, limit: int, low: int, high: int) -> DataFrame:
+    """The pieces of a plan (…, r, local, n, snap_start, snap_end) cut out of their ranges; borders to snap go back to a blank."""
+    _, _, reach = _grid_step(limit, low, high)
+
+    @F.pandas_udf(_struct(s=T.IntegerType(), e=T.IntegerType(), piece=T.StringType()))
+    def emit(text: pd.Series, left: pd.Series, local: pd.Series, n: pd.Series, snap_start: pd.Series, snap_end: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, x, a, k, begins, ends in zip(text, left, local, n, snap_start, snap_end):
+            a, b = x + a, x + a + k
+            s = _snap(t, a, reach) if begins else a
+            e = _snap(t, b, reach) if ends else b
+            out.append((s - a, e - b, t[s:e]))
+        return pd.DataFrame(out, columns=["s", "e", "piece"])
+
+    cut = plan.join(ranges.select("key", "r", "left", "slice"), ["key", "r"])
+    done = cut.withColumn("x", emit("slice", "left", "local", (F.col("char_end") - F.col("char_start")).cast("int"), "snap_start", "snap_end"))
+    return done.select("key", "part", "n_parts", (F.col("char_start") + F.col("x.s")).alias("char_start"), (F.col("char_end") + F.col("x.e")).alias("char_end"), "natural", "x.piece")
+
+
 def cut_pieces(ranges: DataFrame, limit: int = LIMIT, low: int = LOW, high: int = HIGH) -> DataFrame:
     """key, part, n_parts, char_start, char_end, natural, piece of every text given in ranges.
 
@@ -273,24 +293,137 @@ def cut_pieces(ranges: DataFrame, limit: int = LIMIT, low: int = LOW, high: int
     with sentence units, and share `low` to `high` characters with the one before. Where units don't allow
     that (one is longer than the limit, or there is no border where one is needed), all of the text's
     pieces end at blanks, or in a long word if there is none near. Joined without their overlaps, the
-    pieces are the text. Empty and null texts have none.
+    pieces are the text. Empty and null texts have none. The borders of a text, numbers, meet in one task:
+    this is for texts that are rows of a table; for files there is `cut_files`.
     """
     plan = plan_pieces(range_borders(ranges), limit, low, high)
-    _, _, reach = _grid_step(limit, low, high)
+    snap = {"snap_start": ~F.col("natural") & (F.col("char_start") > 0), "snap_end": ~F.col("natural") & (F.col("char_end") != F.col("total"))}
+    return _emitted(plan.withColumns(snap), ranges, limit, low, high)
 
-    @F.pandas_udf(_struct(s=T.IntegerType(), e=T.IntegerType(), piece=T.StringType()))
-    def emit(text: pd.Series, left: pd.Series, local: pd.Series, n: pd.Series, ends: pd.Series, natural: pd.Series) -> pd.DataFrame:
+
+#: Ranges of a file whose states are followed in one task.
+RANGE_BLOCK = 1024
+
+
+def range_states(borders: DataFrame, block: int = RANGE_BLOCK) -> DataFrame:
+    """key, r, inside, joined of each range: whether a quotation is open where it begins, and whether its first unit goes
+    on with the last one before.
+
+    What a range does to the two states it is entered in (a quotation open, the last unit closed) is a table of four;
+    blocks of ranges give the product of theirs, one row a block is followed from block to block, and the states are
+    then known within each block.
+    """
+    narrow = borders.select("key", "r", F.floor(F.col("r") / block).cast("int").alias("block"), *((F.size(f"starts{v}") > 0).alias(f"some{v}") for v in (0, 1)), *(f"{c}{v}" for v in (0, 1) for c in ("fresh", "closed", "out")))
+
+    def follow(rows: pd.DataFrame, state: int) -> tuple[list[tuple[int, bool, bool]], int]:
         out = []
-        for t, x, a, k, last, nat in zip(text, left, local, n, ends, natural):
-            a, b = x + a, x + a + k
-            s = a if nat else _snap(t, a, reach) if a else a
-            e = b if nat or last else _snap(t, b, reach)
-            out.append((s - a, e - b, t[s:e]))
-        return pd.DataFrame(out, columns=["s", "e", "piece"])
+        for x in rows.sort_values("r").itertuples(index=False):
+            inside, closed = bool(state & 1), bool(state & 2)
+            some, fresh, shut, opens = (x.some1, x.fresh1, x.closed1, x.out1) if inside else (x.some0, x.fresh0, x.closed0, x.out0)
+            out.append((x.r, inside, bool(some and not closed and not fresh)))
+            state = int(opens) | (2 if (shut if some else closed or shut) else 0)
+        return out, state
+
+    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": key[0], "block": key[1], "to": [[follow(rows, s)[1] for s in range(4)]]})
+
+    def entered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        state, out = 2, []
+        for x in rows.sort_values("block").itertuples(index=False):
+            out.append((key[0], x.block, state))
+            state = int(x.to[state])
+        return pd.DataFrame(out, columns=["key", "block", "state"])
+
+    def known(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found, _ = follow(rows, int(rows["state"].iloc[0]))
+        return pd.DataFrame([(key[0], *x) for x in found], columns=["key", "r", "inside", "joined"])
+
+    i, flag, text = T.IntegerType(), T.BooleanType(), T.StringType()
+    products = narrow.groupBy("key", "block").applyInPandas(product, _struct(key=text, block=i, to=_INTS))
+    entries = products.groupBy("key").applyInPandas(entered, _struct(key=text, block=i, state=i))
+    return narrow.join(entries, ["key", "block"]).groupBy("key", "block").applyInPandas(known, _struct(key=text, r=i, inside=flag, joined=flag))
+
+
+def plan_files(borders: DataFrame, limit: int = LIMIT, low: int = LOW, high: int = HIGH) -> DataFrame:
+    """The pieces of files by offset, planned range by range; see `cut_files`."""
+    borders = checkpointed(borders)
+    b = borders.join(range_states(borders), ["key", "r"])
+    pick = lambda c: F.when(F.col("inside"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    b = b.select("key", "r", "core", "joined", pick("starts").alias("starts"), pick("ends").alias("ends"))
+    some = neighbours(b.where(F.size("ends") > 0).select("key", "r", "joined"), "key", "r", ["joined"], before=False).select("key", "r", F.coalesce("__joined", F.lit(False)).alias("goes_on"))
+    b = b.join(some, ["key", "r"], "left")
+    # what is no border, because the unit goes on over the range's, is left out
+    starts = F.when(F.col("joined"), F.slice("starts", F.lit(2), F.size("starts"))).otherwise(F.col("starts"))
+    ends = F.when(F.coalesce("goes_on", F.lit(False)), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0)))).otherwise(F.col("ends"))
+    b = running_sum(b.select("key", "r", "core", starts.alias("starts"), ends.alias("ends")), "key", "r", "core", "offset")
+    head = F.struct("core", F.filter("starts", lambda x: x <= limit).alias("starts"), F.filter("ends", lambda x: x <= limit).alias("ends"))
+    tail = F.struct("core", F.filter("starts", lambda x: x >= F.col("core") - 2 * high).alias("starts"))
+    b = b.withColumns({"head": head, "tail": tail})
+    b = neighbours(b, "key", "r", ["tail"], before=True).withColumnRenamed("__tail", "before")
+    b = neighbours(b, "key", "r", ["head"], before=False).withColumnRenamed("__head", "after")
+    kinds = _struct(a=T.IntegerType(), b=T.IntegerType(), natural=T.BooleanType(), snap_start=T.BooleanType(), snap_end=T.BooleanType())
+
+    def own(core: int, starts: list[int], ends: list[int], before: dict | None, after: dict | None) -> list[tuple]:
+        def entry(core: int, starts: list[int], ends: list[int], before: list[int]) -> tuple[int, int, bool]:
+            """Where the pieces of a range begin, up to where those before it go, and whether both are unit borders."""
+            first = next((e for e in ends if e <= limit // 2), None)
+            if first is not None:
+                begin = [x for x in (*before, *(y for y in starts if y < first)) if first - high <= x <= first - low]
+                if begin:
+                    return max(begin), first, True
+            return -((low + high) // 2), 0, False
+
+        begin, _, whole = (0, 0, True) if before is None else entry(core, starts, ends, [x - before["core"] for x in before["starts"]])
+        stop, real = core, True
+        if after is not None:
+            _, last, real = entry(after["core"], list(after["starts"]), list(after["ends"]), [x - core for x in starts])
+            stop = core + last
+        s = [x for x in ([y - before["core"] for y in before["starts"]] if before else []) if x >= begin] + [x for x in starts if x >= begin] + ([x + core for x in after["starts"]] if after else [])
+        e = [x for x in ends if x > begin] + ([x + core for x in after["ends"]] if after else [])
+        e = [x for x in e if x <= stop]
+        borders = [begin, *e]
+        found = natural_pieces([x - begin for x in s], [x - begin for x in e], stop - begin, limit, low, high) if whole and real and max((y - x for x, y in zip(borders, e)), default=0) <= limit else None
+        pieces = found or blank_pieces(stop - begin, limit, low, high)
+        last = len(pieces) - 1
+        return [
+            (x + begin, y + begin, found is not None, found is None and (k > 0 or not whole), found is None and (k < last or not real))
+            for k, (x, y) in enumerate(pieces)
+        ]
+
+    @F.pandas_udf(T.ArrayType(kinds))
+    def planned(core: pd.Series, starts: pd.Series, ends: pd.Series, before: pd.DataFrame, after: pd.DataFrame) -> pd.Series:
+        def side(x: pd.DataFrame, i: int) -> dict | None:
+            row = x.iloc[i]
+            return None if pd.isna(row["core"]) else {k: int(v) if k == "core" else [int(y) for y in v] for k, v in row.items()}
 
-    cut = plan.join(ranges.select("key", "r", "left", "slice"), ["key", "r"])
-    done = cut.withColumn("x", emit("slice", "left", "local", (F.col("char_end") - F.col("char_start")).cast("int"), F.col("char_end") == F.col("total"), "natural"))
-    return done.select("key", "part", "n_parts", (F.col("char_start") + F.col("x.s")).alias("char_start"), (F.col("char_end") + F.col("x.e")).alias("char_end"), "natural", "x.piece")
+        out = []
+        for i, (c, s, e) in enumerate(zip(core, starts, ends)):
+            out.append([dict(zip(kinds.names, x)) for x in own(int(c), [int(x) for x in s], [int(x) for x in e], side(before, i), side(after, i))])
+        return pd.Series(out)
+
+    p = b.select("key", "r", "core", "offset", F.size("starts").alias("units"), planned("core", "starts", "ends", "before", "after").alias("p"))
+    p = checkpointed(p)
+    counts = running_sum(p.select("key", "r", F.size("p").alias("n")), "key", "r", "n", "base").select("key", "r", "base")
+    total = p.groupBy("key").agg(F.sum(F.size("p")).cast("int").alias("n_parts"))
+    x = p.join(counts, ["key", "r"]).join(total, "key").select("key", "r", "core", "offset", "base", "n_parts", F.posexplode("p").alias("k", "x"))
+    # a piece that begins before its range is cut out of the one before
+    early = F.col("x.a") < 0
+    sizes = neighbours(p.select("key", "r", "core"), "key", "r", ["core"], before=True).select("key", "r", F.col("__core").alias("prior"))
+    x = x.join(sizes, ["key", "r"])
+    return x.select(
+        "key", (F.col("base") + F.col("k")).cast("int").alias("part"), "n_parts", (F.col("offset") + F.col("x.a")).alias("char_start"), (F.col("offset") + F.col("x.b")).alias("char_end"),
+        F.when(early, F.col("r") - 1).otherwise(F.col("r")).alias("r"), F.when(early, F.col("x.a") + F.col("prior")).otherwise(F.col("x.a")).cast("int").alias("local"), "x.natural", "x.snap_start", "x.snap_end",
+    )
+
+
+def cut_files(ranges: DataFrame, limit: int = LIMIT, low: int = LOW, high: int = HIGH) -> DataFrame:
+    """The same for files of any size: no task has more of a file than a few ranges' borders.
+
+    A file's pieces end where the first unit that ends in a range does, so that each range is planned by itself, with
+    the borders near it of its neighbours; quotation states and offsets come from blocks of ranges. Only in ranges
+    where units don't allow natural pieces do they end at blanks. Ranges must be longer than twice the limit.
+    """
+    return _emitted(plan_files(range_borders(ranges), limit, low, high), ranges, limit, low, high)
 
 
 @F.pandas_udf(_INTS)

@@ -1,6 +1,8 @@
 import datetime as dt
+import random
 
-from lectern.llm.pieces import HIGH, LIMIT, LOW, cut_pieces, faulty_splits, file_ranges, natural_pieces, running_sum, text_ranges
+from lectern.llm import pieces
+from lectern.llm.pieces import HIGH, LIMIT, LOW, cut_files, cut_pieces, faulty_splits, file_ranges, natural_pieces, running_sum, text_ranges
 from lectern.llm.queries import p6_files
 from lectern.llm.sentences import units
 
@@ -55,6 +57,35 @@ def test_pieces_of_a_file(spark, tmp_path):
     checked(LONG, both["b.txt"])
 
 
+def test_files_by_blocks_of_ranges(spark, tmp_path, monkeypatch):
+    """Ranges and blocks far smaller than in use, against the units of the whole text."""
+    rng = random.Random(8)
+    mixed = " ".join(rng.choice(["中文“句子”很短。\"好不好?\"他问。", "One sentence is here.", "Dr. Tan paid $3.50, i.e. less.", "A line\n", "Is it? " + "very " * rng.randrange(60) + "long."]) for _ in range(2500))
+    texts = {"a": mixed, "b": NATURAL, "c": LONG * 3, "d": SOLID, "e": "Short one.", "f": NATURAL + " " + SOLID + " " + NATURAL, "g": "中文“句子很长" * 900 + "。”" + mixed}
+    for k, t in texts.items():
+        (tmp_path / k).write_text(t)
+    monkeypatch.setattr(pieces, "RANGE_BLOCK", 3)
+    ranges = file_ranges(spark, str(tmp_path), 600, 3000)
+    states = {(r.key[-1], r.r): r.inside for r in pieces.range_states(pieces.range_borders(ranges), 3).collect()}
+    assert all(states[k, 0] is False for k in texts)
+    got: dict = {}
+    for r in cut_files(ranges, 600, 20, 90).collect():
+        got.setdefault(r.key[-1], []).append(r)
+    assert set(got) == set(texts)
+    for k, t in texts.items():
+        rows = sorted(got[k], key=lambda r: r.part)
+        s, e = {a for a, _ in units(t)}, {b for _, b in units(t)}
+        assert [r.part for r in rows] == list(range(len(rows))) and {r.n_parts for r in rows} == {len(rows)}
+        assert rows[0].char_start == 0 and rows[-1].char_end == len(t)
+        for i, r in enumerate(rows):
+            assert t[r.char_start : r.char_end] == r.piece and 0 < len(r.piece) <= 600
+            if i:
+                assert 20 <= rows[i - 1].char_end - r.char_start <= 90, (k, i)
+            if r.natural:
+                assert (r.char_start in s or r.char_start == 0) and (r.char_end in e or r.char_end == len(t)), (k, i)
+        assert any(r.natural for r in rows) == (k not in "cd")
+
+
 def test_pieces_of_written_texts(spark):
     folder = "/root/testdata/sf0.001"
     rows = p6_files(spark, folder).collect()
