@@ -252,3 +252,26 @@ def pull_divergence(spark: SparkSession, d: str) -> DataFrame:
     new = s.groupBy("r").agg(F.min("snapshot_no").alias("snapshot_no")).groupBy("snapshot_no").agg(F.count("*").alias("new"))
     ever = F.coalesce(F.sum("new").over(Window.orderBy("snapshot_no")), F.lit(0))  # one row a pull
     return g.join(new, "snapshot_no", "left").select("snapshot_no", "held", "only_here", "only_before", ever.alias("ever"))
+
+
+@R.query("page_paragraphs")
+def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Pages read again with their paragraphs kept, a blank line between them."""
+    from lectern.plans.texts import pages
+    from lectern.sources.html import page_turns
+
+    t = page_turns(pages(Tables(spark, d)), "key", "html", between="\n\n")
+    return t.select("key", "i", "speaker", F.size(F.split("body", "\n\n")).alias("paragraphs"), F.md5("body").alias("body_md5"))
+
+
+@R.query(
+    "one_per_turn",
+    current_sql("SELECT c.id, count(t.key) AS turns, count(t.key) = 1 AS only_one FROM chunk_ c LEFT JOIN (SELECT DISTINCT report_id, key, md5(text) AS h FROM turn_ WHERE text IS NOT NULL) t ON t.report_id = c.report_id AND t.h = md5(c.cite_text) WHERE c.n_parts = 1 AND c.cite_text IS NOT NULL GROUP BY 1"),
+)
+def one_per_turn(spark: SparkSession, d: str) -> DataFrame:
+    """In how many turns of its report a chunk that is a whole turn stands, and whether it names one alone."""
+    t = Tables(spark, d)
+    held = t.turn.where("text IS NOT NULL").select("report_id", "key", F.md5("text").alias("h")).distinct()
+    c = t.chunk.where("n_parts = 1 AND cite_text IS NOT NULL").select("id", "report_id", F.md5("cite_text").alias("h"))
+    n = c.join(held, ["report_id", "h"], "left").groupBy("id").agg(F.count("key").alias("turns"))
+    return n.select("id", "turns", (F.col("turns") == 1).alias("only_one"))

@@ -108,6 +108,16 @@ def replace_table(rows: DataFrame, path: str) -> None:
         step()
 
 
+def cached_table(spark: SparkSession, path: str, compute: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+    """What `compute` gives, written at the first use with the time of it (probed_at) and read from then on; anew with
+    `refresh`."""
+    recover(spark, path)
+    fs, at = _file_system(spark, path)
+    if refresh or not fs.exists(at(path)):
+        replace_table(compute().withColumn("probed_at", F.current_timestamp()), path)
+    return spark.read.parquet(path)
+
+
 #: The column by which a table that is merged into is divided.
 BUCKET = "bucket"
 

@@ -49,8 +49,9 @@ class _Blocks(HTMLParser):
             (self.strong if self.bold else self.text).append(data)
 
 
-def turns_of(html: str | None) -> list[tuple[str | None, str | None, str]]:
-    """(time, speaker, body): a block that begins in bold opens a turn, others go on with it; headings are times."""
+def turns_of(html: str | None, between: str = "\n") -> list[tuple[str | None, str | None, str]]:
+    """(time, speaker, body): a block that begins in bold opens a turn, others go on with it; headings are times. Blocks of
+    a turn have `between` among them: two line breaks keep them as paragraphs."""
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
@@ -65,16 +66,16 @@ def turns_of(html: str | None) -> list[tuple[str | None, str | None, str]]:
             out.append([time, strong.rstrip(": ") or None, [body] if body else []])
         elif body:
             out[-1][2].append(body)
-    return [(t, s, "\n".join(b)) for t, s, b in out if b or s]
+    return [(t, s, between.join(b)) for t, s, b in out if b or s]
 
 
-def page_turns(pages: DataFrame, key: str, html: str) -> DataFrame:
+def page_turns(pages: DataFrame, key: str, html: str, between: str = "\n") -> DataFrame:
     """key, i, time, speaker, body of every turn of every page; a null or empty page has none."""
     schema = T.StructType([pages.schema[key], T.StructField("i", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("time", "speaker", "body"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(n, i, *t) for n, page in enumerate(batch.column(1).to_pylist()) for i, t in enumerate(turns_of(page))]
+            found = [(n, i, *t) for n, page in enumerate(batch.column(1).to_pylist()) for i, t in enumerate(turns_of(page, between))]
             cols = list(zip(*found)) or [()] * 5
             rest = [pa.array(c, pa.int32() if n == 0 else pa.string()) for n, c in enumerate(cols[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *rest], schema.names)

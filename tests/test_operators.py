@@ -14,6 +14,7 @@ from lectern.operators.ranking import bm25, cosine, fuse
 from lectern.operators.sequences import block_numbered, carried_forward, kept_spans, neighbours, packed, running_total
 from lectern.sources import files
 from lectern.sources.html import turns_of
+from lectern.sources.paged import read_paged, sweep_coverage
 from lectern.streaming import latest_by_key, new_files, session_counts, upsert_stream
 
 
@@ -116,6 +117,33 @@ def test_html():
     page = "<nav>x</nav><h6>2.03 pm</h6><p><b>Mr A</b>: One<p>two &amp; three<script>var s = '</p>';</script><p><strong>Ms B:</strong> Four"
     assert turns_of(page) == [("2.03 pm", "Mr A", "One\ntwo & three"), ("2.03 pm", "Ms B", "Four")]
     assert turns_of("") == turns_of(None) == []
+    assert turns_of(page, "\n\n")[0][2] == "One\n\ntwo & three"
+
+
+def test_paged_source(spark, tmp_path):
+    row = lambda n: {"report_id": f"r-{n}", "title": f"T{n}", "report_type": None}
+    pages = {
+        "d1/oral": [[row(n) for n in range(20)], {str(n): row(n) for n in range(20, 25)}], "d1/bill": [[row(n) for n in range(20)], [row(n) for n in range(20)], [row(99)] * 20], "d2/oral": ["not rows"],
+        "d2/written": [{"rows": [row(n) for n in range(20)]}, None],
+    }
+    for where, payloads in pages.items():
+        (tmp_path / where).mkdir(parents=True)
+        for n, x in enumerate(payloads):
+            (tmp_path / where / f"page-{n}.json").write_text("{broken" if x is None else json.dumps(x))
+    rows = read_paged(spark, str(tmp_path))
+    counts = {(r.day, r.section): r["count"] for r in rows.groupBy("day", "section").count().collect()}
+    assert counts == {("d1", "oral"): 25, ("d1", "bill"): 20, ("d2", "written"): 20}
+    assert read_paged(spark, str(tmp_path), days="d1", sections="oral, bill").select("report_id").distinct().count() == 25
+    said = spark.createDataFrame([("d1", 25), ("d2", 40), ("d3", 0), ("d4", None)], "day string, announced int")
+    assert {r.day: r.ratio for r in sweep_coverage(rows, said).collect()} == {"d1": 1.0, "d2": 0.5, "d3": None, "d4": None}
+
+
+def test_cached_table(spark, tmp_path):
+    made = []
+    compute = lambda: made.append(1) or spark.range(len(made))
+    for refresh, n in ((False, 1), (False, 1), (True, 2)):
+        assert files.cached_table(spark, str(tmp_path / "c"), compute, refresh).count() == n
+    assert len(made) == 2 and "probed_at" in files.cached_table(spark, str(tmp_path / "c"), compute).columns
 
 
 def test_sharded_json(spark, tmp_path):
