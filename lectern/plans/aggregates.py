@@ -175,11 +175,28 @@ def corpus_metrics(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).turn.agg(F.count("*").alias("turns"), F.countDistinct("report_id").alias("reports"), F.sum("words").alias("words"), F.sum(F.length("text")).alias("chars"), F.countDistinct("date").alias("sittings"))
 
 
-@R.query("verdict_fractions", current_sql(", v AS (SELECT CASE WHEN selection_share >= 0.17 THEN 'supported' WHEN selection_share >= 0.15 THEN 'partial' ELSE 'unjudged' END AS verdict FROM item_) SELECT verdict, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM v GROUP BY 1"))
+_W4_SQL = "list_distinct(regexp_extract_all(lower({0}), '[a-z]{{4,}}'))"
+
+
+@R.query(
+    "verdict_fractions",
+    current_sql(f""", j AS (SELECT t.text, c.cite_text, {_W4_SQL.format('c.cite_text')} AS w, {_W4_SQL.format('t.text')} AS v FROM chunk_ c LEFT JOIN turn_ t ON t.key = c.turn_key),
+v AS (SELECT CASE WHEN text IS NULL OR cite_text IS NULL THEN 'unjudged' WHEN contains(text, cite_text) THEN 'supported' WHEN len(list_intersect(w, v)) = len(w) THEN 'words_supported' WHEN len(list_intersect(w, v)) >= 0.8 * len(w) THEN 'partial' ELSE 'unsupported' END AS verdict FROM j)
+SELECT verdict, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share, CASE WHEN verdict <> 'unjudged' THEN round(count(*) * 1.0 / sum(CASE WHEN verdict <> 'unjudged' THEN count(*) END) OVER (), 6) END AS share_of_judged FROM v GROUP BY 1"""),
+)
 def verdict_fractions(spark: SparkSession, d: str) -> DataFrame:
-    v = F.when(F.col("selection_share") >= 0.17, "supported").when(F.col("selection_share") >= 0.15, "partial").otherwise("unjudged")
-    n = Tables(spark, d).item.groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
-    return n.select("verdict", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
+    """Citations by what their turn says of them, as shares of all and of those that could be judged."""
+    t = Tables(spark, d)
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{4,})"), F.lit(1)))
+    j = t.chunk.select("turn_key", "cite_text").join(t.turn.select(F.col("key").alias("turn_key"), "text"), "turn_key", "left")
+    w = words("cite_text")
+    both = F.size(F.array_intersect(w, words("text")))
+    unjudged = F.col("text").isNull() | F.col("cite_text").isNull()
+    v = F.when(unjudged, "unjudged").when(F.contains("text", "cite_text"), "supported").when(both == F.size(w), "words_supported").when(both >= 0.8 * F.size(w), "partial").otherwise("unsupported")
+    n = j.groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
+    over = Window.partitionBy()  # over the verdicts, not the rows
+    judged = F.col("verdict") != "unjudged"
+    return n.select("verdict", "n", F.round(F.col("n") / F.sum("n").over(over), 6).alias("share"), F.when(judged, F.round(F.col("n") / F.sum(F.when(judged, F.col("n"))).over(over), 6)).alias("share_of_judged"))
 
 
 _REASON = "CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN coalesce(is_procedural, false) THEN 'procedural' WHEN words < 8 THEN 'too_short' WHEN words > 600 THEN 'too_long' ELSE 'kept' END"
@@ -214,16 +231,6 @@ def alias_sets(spark: SparkSession, d: str) -> DataFrame:
     return a.select("person", F.size("x").cast("long").alias("n"), F.array_join("x", "|").alias("aliases"))
 
 
-@R.query("eval_by_class", "SELECT label, count(*) AS n, count(*) FILTER (WHERE vec_id % 3 <> 0) AS passed, min(vec_id) AS least, max(vec_id) AS most FROM embeddings GROUP BY 1")
-def eval_by_class(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % 3 != 0).alias("passed"), F.min("vec_id").alias("least"), F.max("vec_id").alias("most"))
-
-
-@R.query("eval_flips", "SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) AS runs FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
-def eval_flips(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), F.count("*").alias("runs")).where("kinds > 1")
-
-
 _CLOCK_SQL = r"regexp_extract(time, '^(\d{{1,2}})[.:](\d{{2}})\s*([ap])\.?m', {0})"
 _MINUTES_SQL = f"(CAST({_CLOCK_SQL.format(1)} AS INTEGER) % 12 + CASE WHEN {_CLOCK_SQL.format(3)} = 'p' THEN 12 ELSE 0 END) * 60 + CAST({_CLOCK_SQL.format(2)} AS INTEGER)"
 

@@ -9,7 +9,7 @@ from lectern.functions import text as X
 from lectern.operators.bloom import bloom_segments, maybe_in, segments_for
 from lectern.operators.current import Tables, current_sql
 from lectern.operators.gates import gate
-from lectern.operators.sequences import kept_spans, packed, running_total
+from lectern.operators.sequences import kept_spans, neighbours, packed, running_total
 from lectern.plans.registry import Registry
 from lectern.plans.texts import sentence_rows
 from lectern.sources import checkpointed, load
@@ -107,21 +107,39 @@ def render_excerpt(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("report_id").agg(F.count("*").alias("turns"), F.md5(F.array_join(lines, "\n")).alias("excerpt_md5"))
 
 
+#: Characters that may be left out between pieces, beyond which it is a gap.
+SLACK = 50
+
+
 @R.query(
     "chunk_gap_check",
-    current_sql(""", o AS (SELECT c.turn_key, c.part, instr(t.text, c.cite_text) - 1 AS s, instr(t.text, c.cite_text) - 1 + length(c.cite_text) AS e, length(t.text) AS n FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE contains(t.text, c.cite_text)),
-g AS (SELECT *, max(e) OVER (PARTITION BY turn_key ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM o)
-SELECT turn_key, count(*) AS pieces, count(*) FILTER (WHERE s > coalesce(upto, 0) + 50) AS gaps, max(n) - max(e) AS tail FROM g GROUP BY 1"""),
+    current_sql(f""", c AS (SELECT c.turn_key, c.part, c.cite_text, t.text, row_number() OVER (PARTITION BY c.turn_key ORDER BY c.part, c.id) AS rn FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE t.text IS NOT NULL AND c.cite_text <> ''),
+f AS (WITH RECURSIVE r AS (SELECT turn_key, CAST(0 AS BIGINT) AS rn, CAST(1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS upto, 0 AS pieces, 0 AS gaps, 0 AS strange FROM c WHERE rn = 1 UNION ALL
+SELECT turn_key, rn, CASE WHEN pl > 0 THEN pl + 1 ELSE pos END, CASE WHEN pl > 0 THEN greatest(upto, pl - 1 + n) ELSE upto END, pieces + CASE WHEN pl > 0 THEN 1 ELSE 0 END, gaps + CASE WHEN pl > 0 AND pl - 1 > upto + {SLACK} THEN 1 ELSE 0 END, strange + CASE WHEN pl = 0 THEN 1 ELSE 0 END
+FROM (SELECT c.turn_key, c.rn, r.pos, r.upto, r.pieces, r.gaps, r.strange, length(c.cite_text) AS n, CASE WHEN instr(substr(c.text, r.pos), c.cite_text) > 0 THEN instr(substr(c.text, r.pos), c.cite_text) + r.pos - 1 ELSE 0 END AS pl FROM r JOIN c ON c.turn_key = r.turn_key AND c.rn = r.rn + 1)) SELECT * FROM r),
+z AS (SELECT turn_key, max(rn) AS rn, max(length(text)) AS n FROM c GROUP BY 1)
+SELECT f.turn_key, pieces, gaps, strange, z.n - upto AS tail FROM f JOIN z ON z.turn_key = f.turn_key AND z.rn = f.rn"""),
 )
 def chunk_gap_check(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a turn's pieces, in order, leave a part of its text out."""
+    """Whether a turn's pieces, in order, leave a part of its text out: each is looked for behind the beginning of the one
+    before, so that a passage that comes again isn't taken for the first. Pieces that aren't there are counted."""
     t = Tables(spark, d)
-    j = t.chunk.select("turn_key", "part", "cite_text").join(t.turn.select(F.col("key").alias("turn_key"), "text"), "turn_key").where(F.contains("text", "cite_text"))
-    at = F.position(F.col("cite_text"), F.col("text")) - 1
-    o = j.select("turn_key", "part", at.alias("s"), (at + F.length("cite_text")).alias("e"), F.length("text").alias("n"))
-    w = Window.partitionBy("turn_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    o = o.withColumn("upto", F.max("e").over(w))
-    return o.groupBy("turn_key").agg(F.count("*").alias("pieces"), F.count_if(F.col("s") > F.coalesce("upto", F.lit(0)) + 50).alias("gaps"), (F.max("n") - F.max("e")).cast("long").alias("tail"))
+    pieces = t.chunk.where("cite_text <> ''").groupBy("turn_key").agg(F.array_sort(F.collect_list(F.struct("part", "id", "cite_text"))).alias("x"))
+    j = pieces.join(t.turn.where("text IS NOT NULL").select(F.col("key").alias("turn_key"), "text"), "turn_key")
+    zero = F.lit(0)
+    start = F.struct(F.lit(1).alias("pos"), zero.alias("upto"), zero.alias("pieces"), zero.alias("gaps"), zero.alias("strange"))
+
+    def step(acc: Column, p: Column) -> Column:
+        at = F.position(p["cite_text"], F.col("text"), acc["pos"])
+        there = at > 0
+        end = at - 1 + F.length(p["cite_text"])
+        return F.struct(
+            F.when(there, at + 1).otherwise(acc["pos"]).alias("pos"), F.when(there, F.greatest(acc["upto"], end)).otherwise(acc["upto"]).alias("upto"), (acc["pieces"] + there.cast("int")).alias("pieces"),
+            (acc["gaps"] + (there & (at - 1 > acc["upto"] + SLACK)).cast("int")).alias("gaps"), (acc["strange"] + (~there).cast("int")).alias("strange"),
+        )
+
+    a = j.select("turn_key", F.length("text").alias("n"), F.aggregate("x", start, step).alias("a"))
+    return a.select("turn_key", "a.pieces", "a.gaps", "a.strange", (F.col("n") - F.col("a.upto")).cast("long").alias("tail"))
 
 
 # citations
@@ -332,15 +350,18 @@ def map_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "assemble_brief",
-    current_sql(", s AS (SELECT report_id, turn // 10 AS section, key, turn FROM turn_ WHERE words >= 100), n AS (SELECT report_id, section, string_agg(key, ',' ORDER BY turn) AS keys, count(*) AS n FROM s GROUP BY 1, 2) SELECT report_id, count(*) AS sections, CAST(sum(n) AS BIGINT) AS cited, string_agg(keys, '|' ORDER BY section) AS body FROM n GROUP BY 1"),
+    current_sql(""", s AS (SELECT report_id, key, turn, CASE WHEN turn - lag(turn) OVER (PARTITION BY report_id ORDER BY turn) > 2 THEN 1 ELSE 0 END AS brk FROM turn_ WHERE words >= 100), g AS (SELECT *, sum(brk) OVER (PARTITION BY report_id ORDER BY turn) AS section FROM s),
+n AS (SELECT report_id, section, string_agg(key, ',' ORDER BY turn) AS keys, count(*) AS n FROM g GROUP BY 1, 2) SELECT report_id, count(*) AS sections, CAST(sum(n) AS BIGINT) AS cited, md5(string_agg(keys, '|' ORDER BY section)) AS body_md5 FROM n GROUP BY 1"""),
 )
 def assemble_brief(spark: SparkSession, d: str) -> DataFrame:
-    """Nested sections of cited turns, in order at both levels."""
-    s = Tables(spark, d).turn.where("words >= 100").select("report_id", F.floor(F.col("turn") / 10).alias("section"), "key", "turn")
+    """Nested sections of cited turns, in order at both levels: a gap of more than two turns begins a section."""
+    s = Tables(spark, d).turn.where("words >= 100").select("report_id", "key", "turn", F.col("turn").alias("at"))
+    s = neighbours(s, "report_id", "turn", ["at"], before=True)
+    s = running_total(s, "report_id", "turn", F.coalesce((F.col("turn") - F.col("__at") > 2).cast("int"), F.lit(0)), "section")
     n = s.groupBy("report_id", "section").agg(F.array_sort(F.collect_list(F.struct("turn", "key"))).alias("cites"))
     b = n.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("section", "cites"))).alias("sections"))
     body = F.array_join(F.transform("sections", lambda x: F.array_join(F.transform(x["cites"], lambda c: c["key"]), ",")), "|")
-    return b.select("report_id", F.size("sections").cast("long").alias("sections"), F.aggregate("sections", F.lit(0).cast("long"), lambda a, x: a + F.size(x["cites"])).alias("cited"), body.alias("body"))
+    return b.select("report_id", F.size("sections").cast("long").alias("sections"), F.aggregate("sections", F.lit(0).cast("long"), lambda a, x: a + F.size(x["cites"])).alias("cited"), F.md5(body).alias("body_md5"))
 
 
 @R.query("brief_gate", current_sql(", c AS (SELECT report_id, count(*) AS turns, count(*) FILTER (WHERE words >= 100) AS cited, count(*) FILTER (WHERE words >= 100 AND (text IS NULL OR trim(text) = '')) AS blank FROM turn_ GROUP BY 1) SELECT report_id, cited > 0 AND blank = 0 AND (cited * 1.0 / turns >= 0.15 OR turns <= 1) AS passed, round(cited * 1.0 / turns, 4) AS coverage FROM c"))
@@ -520,17 +541,25 @@ def class_d_check(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).turn.where("text IS NOT NULL").agg(F.count_if(has).alias("n_all_groups"), F.count("*").alias("n"))
 
 
+_BARE_SQL = r"trim(regexp_replace(trim(regexp_replace(coalesce({0}, ''), '\[[^\]]{{0,200}}\]', ' ', 'g')), '\s+', ' ', 'g'))"
+
+
 @R.query(
     "turn_diff",
-    """WITH o AS (SELECT * FROM turn QUALIFY row_number() OVER (PARTITION BY key ORDER BY loaded_at) = 1), n AS (SELECT * FROM turn QUALIFY row_number() OVER (PARTITION BY key ORDER BY loaded_at DESC) = 1)
-SELECT o.key, CASE WHEN o.text IS DISTINCT FROM n.text AND o.speaker IS DISTINCT FROM n.speaker THEN 'both' WHEN o.text IS DISTINCT FROM n.text THEN 'text' ELSE 'speaker' END AS diff FROM o JOIN n ON n.key = o.key WHERE o.text IS DISTINCT FROM n.text OR o.speaker IS DISTINCT FROM n.speaker""",
+    f"""WITH o AS (SELECT * FROM turn QUALIFY row_number() OVER (PARTITION BY key ORDER BY loaded_at) = 1), n AS (SELECT * FROM turn QUALIFY row_number() OVER (PARTITION BY key ORDER BY loaded_at DESC) = 1),
+j AS (SELECT o.key, o.text AS a, n.text AS b, o.speaker IS DISTINCT FROM n.speaker AS who, {_BARE_SQL.format('o.text')} AS x, {_BARE_SQL.format('n.text')} AS y FROM o JOIN n ON n.key = o.key)
+SELECT key, CASE WHEN a IS NOT DISTINCT FROM b THEN 'same' WHEN x = y THEN 'asides' WHEN contains(y, x) THEN 'longer' WHEN contains(x, y) THEN 'shorter' ELSE 'other' END AS text_diff, who AS speaker_diff FROM j WHERE a IS DISTINCT FROM b OR who""",
 )
 def turn_diff(spark: SparkSession, d: str) -> DataFrame:
-    """What the last delivery of a turn changed against the first."""
+    """What the last delivery of a turn changed against the first: only asides and blanks, more of it, less of it, or other
+    words; and whether another speaker."""
     v = F.struct("loaded_at", "text", "speaker")
     g = load(spark, d, "turn").groupBy("key").agg(F.min_by(v, "loaded_at").alias("o"), F.max_by(v, "loaded_at").alias("n"))
-    text, who = ~F.col("o.text").eqNullSafe(F.col("n.text")), ~F.col("o.speaker").eqNullSafe(F.col("n.speaker"))
-    return g.where(text | who).select("key", F.when(text & who, "both").when(text, "text").otherwise("speaker").alias("diff"))
+    changed, who = ~F.col("o.text").eqNullSafe(F.col("n.text")), ~F.col("o.speaker").eqNullSafe(F.col("n.speaker"))
+    bare = lambda c: F.trim(F.regexp_replace(X.strip_asides(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    x, y = bare(F.col("o.text")), bare(F.col("n.text"))
+    kind = F.when(~changed, "same").when(x == y, "asides").when(F.contains(y, x), "longer").when(F.contains(x, y), "shorter").otherwise("other")
+    return g.where(changed | who).select("key", kind.alias("text_diff"), who.alias("speaker_diff"))
 
 
 @R.query("empty_placeholder_rows", current_sql(", t AS (SELECT report_id, sum(words) AS words FROM turn_ GROUP BY 1) SELECT r.date, count(*) AS n, min(r.report_id) AS first_report FROM report_ r LEFT JOIN t ON t.report_id = r.report_id WHERE coalesce(t.words, 0) = 0 OR r.n_turns = 0 GROUP BY 1"))
@@ -554,11 +583,34 @@ def recent_scope(spark: SparkSession, d: str) -> DataFrame:
 # incremental
 
 
-@R.query("late_pending_status", current_sql("SELECT report_id, CASE WHEN loaded_at <= CAST(date AS DATE) + INTERVAL 7 DAY THEN 'on_time' WHEN loaded_at <= CAST(date AS DATE) + INTERVAL 14 DAY THEN 'pending' ELSE 'overdue' END AS status FROM report_"))
+#: Working days after a sitting within which its report is to be published.
+PUBLISH_DAYS = 7
+_WORKING_SQL = "len(list_filter(generate_series({0} + INTERVAL 1 DAY, CAST({1} AS DATE), INTERVAL 1 DAY), lambda x: dayofweek(x) BETWEEN 1 AND 5))"
+
+
+def working_days_between(a: Column, b: Column) -> Column:
+    """Weekdays after a up to b; 0 if b isn't later."""
+    # whole weeks, and what is left of one, counted by the weekday (0 is Monday) on which a falls
+    n = F.greatest(F.datediff(b, a), F.lit(0))
+    rest = F.filter(F.sequence(F.lit(1), F.lit(6)), lambda k: (k <= n % 7) & ((F.weekday(a) + k) % 7 < 5))
+    return F.floor(n / 7).cast("int") * 5 + F.size(rest)
+
+
+@R.query(
+    "late_pending_status",
+    current_sql(f""", t AS (SELECT report_id, min(loaded_at) AS seen FROM turn GROUP BY 1), n AS (SELECT max(loaded_at) AS now FROM turn), r AS (SELECT r.report_id, CAST(r.date AS DATE) AS day, t.seen, n.now FROM report_ r LEFT JOIN t USING (report_id), n),
+w AS (SELECT report_id, seen, {_WORKING_SQL.format('day', 'coalesce(seen, now)')} AS days FROM r) SELECT report_id, CAST(days AS INTEGER) AS days, CASE WHEN seen IS NOT NULL THEN CASE WHEN days <= {PUBLISH_DAYS} THEN 'on_time' ELSE 'late' END WHEN days <= {PUBLISH_DAYS} THEN 'pending' ELSE 'overdue' END AS status FROM w"""),
+)
 def late_pending_status(spark: SparkSession, d: str) -> DataFrame:
-    day = F.to_date("date")
-    status = F.when(F.col("loaded_at") <= F.date_add(day, 7), "on_time").when(F.col("loaded_at") <= F.date_add(day, 14), "pending").otherwise("overdue")
-    return Tables(spark, d).report.select("report_id", status.alias("status"))
+    """How many working days after a sitting its turns came. Where none have yet, they are pending within the days that
+    publishing takes, and overdue after them; that there was no sitting is never said."""
+    turns = load(spark, d, "turn")
+    first = turns.groupBy("report_id").agg(F.min("loaded_at").alias("at"))
+    r = Tables(spark, d).report.select("report_id", F.to_date("date").alias("day")).join(first, "report_id", "left")
+    r = r.withColumn("now", turns.agg(F.max("loaded_at")).scalar()).select("report_id", "day", "at", F.coalesce("at", "now").alias("seen"))
+    r = r.withColumn("days", working_days_between(F.col("day"), F.to_date("seen")))
+    soon = F.col("days") <= PUBLISH_DAYS
+    return r.select("report_id", "days", F.when(F.col("at").isNotNull(), F.when(soon, "on_time").otherwise("late")).when(soon, "pending").otherwise("overdue").alias("status"))
 
 
 @R.query("incremental_anti_join", "SELECT DISTINCT key FROM turn t WHERE NOT EXISTS (SELECT 1 FROM chunk c WHERE c.turn_key = t.key)")

@@ -39,14 +39,17 @@ def union_sweeps_dedup(spark: SparkSession, d: str) -> DataFrame:
 @R.query(
     "calendar_weekdays",
     current_sql("""
-, day AS (SELECT CAST(unnest(generate_series(DATE '2019-01-01', DATE '2019-12-31', INTERVAL 1 DAY)) AS DATE) AS day)
+, day AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT min(try_cast(date AS DATE)) AS a, max(try_cast(date AS DATE)) AS z FROM report_))
 SELECT strftime(day, '%Y-%m-%d') AS day, n AS n_reports, n IS NULL AS unknown
 FROM day LEFT JOIN (SELECT date, count(*) AS n FROM report_ GROUP BY 1) r ON r.date = strftime(day, '%Y-%m-%d')
 WHERE dayofweek(day) BETWEEN 1 AND 5"""),
 )
 def calendar_weekdays(spark: SparkSession, d: str) -> DataFrame:
-    days = spark.sql("SELECT explode(sequence(DATE'2019-01-01', DATE'2019-12-31', INTERVAL 1 DAY)) AS day").where("weekday(day) < 5")
-    counts = Tables(spark, d).report.groupBy("date").agg(F.count("*").alias("n_reports"))
+    """Every weekday from the first sitting to the last; a day that nothing is known of isn't one without a sitting."""
+    r = Tables(spark, d).report
+    span = r.agg(F.min(F.try_to_date("date")).alias("a"), F.max(F.try_to_date("date")).alias("z"))
+    days = span.select(F.explode(F.sequence("a", "z")).alias("day")).where(F.weekday("day") < 5)
+    counts = r.groupBy("date").agg(F.count("*").alias("n_reports"))
     out = days.select(F.date_format("day", "yyyy-MM-dd").alias("day")).join(counts, F.col("day") == F.col("date"), "left")
     return out.select("day", "n_reports", F.col("n_reports").isNull().alias("unknown"))
 
@@ -163,12 +166,12 @@ _TERMS = ["caregivers", "polyclinic", "rebate", "fishermen"]
 
 @R.query(
     "term_hits",
-    current_sql("SELECT turn_key, max(" + " + ".join(f"CAST(contains(lower(cite_text), '{t}') AS INTEGER)" for t in _TERMS) + ") AS hits FROM chunk_ WHERE year = 2017 AND cite_text IS NOT NULL GROUP BY 1"),
+    current_sql("SELECT turn_key, max(" + " + ".join(f"CAST(contains(lower(cite_text), '{t}') AS INTEGER)" for t in _TERMS) + ") AS hits FROM chunk_ WHERE cite_text IS NOT NULL GROUP BY 1"),
 )
 def term_hits(spark: SparkSession, d: str) -> DataFrame:
     terms = F.array(*map(F.lit, _TERMS))
     hits = F.size(F.filter(terms, lambda t: F.contains(F.lower("cite_text"), t)))
-    return Tables(spark, d).chunk.where("year = 2017 AND cite_text IS NOT NULL").groupBy("turn_key").agg(F.max(hits).alias("hits"))
+    return Tables(spark, d).chunk.where("cite_text IS NOT NULL").groupBy("turn_key").agg(F.max(hits).alias("hits"))
 
 
 @R.query("filter_summarisable", current_sql(", w AS (SELECT report_id, CAST(sum(words) AS BIGINT) AS words FROM turn_ GROUP BY 1) SELECT r.report_id, w.words FROM report_ r JOIN w USING (report_id) WHERE r.group_name IN ('bill', 'budget', 'motion', 'statement') AND w.words >= 150"))
@@ -274,11 +277,11 @@ def union_turn_set(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "marks_for_date",
-    current_sql("SELECT c.id, c.part, l.item_id, i.tier, r.date FROM chunk_ c JOIN link_ l ON l.report_id = c.report_id JOIN item_ i ON i.item_id = l.item_id JOIN report_ r ON r.report_id = l.report_id WHERE r.year = 2019"),
+    current_sql("SELECT c.id, c.part, l.item_id, i.tier, r.date FROM chunk_ c JOIN link_ l ON l.report_id = c.report_id JOIN item_ i ON i.item_id = l.item_id JOIN report_ r ON r.report_id = l.report_id"),
 )
 def marks_for_date(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    dims = t.link.join(t.item.select("item_id", "tier"), "item_id").join(t.report.where("year = 2019").select("report_id", "date"), "report_id").select("report_id", "item_id", "tier", "date")
+    dims = t.link.join(t.item.select("item_id", "tier"), "item_id").join(t.report.select("report_id", "date"), "report_id").select("report_id", "item_id", "tier", "date")
     return t.chunk.select("id", "part", "report_id").join(dims, "report_id").select("id", "part", "item_id", "tier", "date")
 
 
@@ -298,16 +301,27 @@ def citation_chain(spark: SparkSession, d: str) -> DataFrame:
     return out.select("announce_turn", "announcer", F.col("supersede_turn").alias("corrected"), "chunk_id", "title", "date", "item_id")
 
 
+#: Citations of a point at most.
+CITES = 6
+
+
 @R.query(
     "resolve_citations",
-    current_sql(""", cites AS (SELECT item_id, 'bill' AS kind, unnest([item_id || '#t0', item_id || '#t1', item_id || '#t9999']) AS cite FROM item_)
-SELECT c.item_id, c.cite, t.speaker, t.key IS NOT NULL AS found FROM cites c LEFT JOIN turn_ t ON t.key = c.cite"""),
+    current_sql(f""", c AS (SELECT DISTINCT l.item_id, c.report_id, c.speaker, c.turn_key FROM link_ l JOIN chunk_ c ON c.report_id = l.report_id WHERE c.turn_key IS NOT NULL),
+k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY item_id, report_id, speaker ORDER BY turn_key) <= {CITES}),
+p AS (SELECT k.item_id, k.report_id, k.speaker, count(*) AS cites, count(t.key) AS found, md5(string_agg(k.turn_key, ',' ORDER BY k.turn_key)) AS evidence FROM k LEFT JOIN turn_ t ON t.key = k.turn_key GROUP BY 1, 2, 3)
+SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY item_id, evidence ORDER BY report_id, speaker NULLS FIRST) = 1"""),
 )
 def resolve_citations(spark: SparkSession, d: str) -> DataFrame:
+    """What a speaker says in an item's report as a point with at most six citations, in order, and how many of them are
+    turns; of points with the same evidence one."""
     t = Tables(spark, d)
-    cites = t.item.select("item_id", F.explode(F.array(*(F.concat("item_id", F.lit(f"#t{n}")) for n in (0, 1, 9999)))).alias("cite"))
-    turns = t.turn.select(F.col("key").alias("cite"), "speaker", F.lit(True).alias("hit"))
-    return cites.join(turns, "cite", "left").select("item_id", "cite", "speaker", F.coalesce("hit", F.lit(False)).alias("found"))
+    c = t.link.select("item_id", "report_id").join(t.chunk.where("turn_key IS NOT NULL").select("report_id", "speaker", "turn_key"), "report_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("item_id", "report_id", "speaker").orderBy("turn_key"))
+    c = c.withColumn("rn", rank).where(F.col("rn") <= CITES).join(t.turn.select(F.col("key").alias("turn_key"), F.lit(1).alias("hit")), "turn_key", "left")
+    p = c.groupBy("item_id", "report_id", "speaker").agg(F.count("*").alias("cites"), F.count("hit").alias("found"), F.md5(F.array_join(F.array_sort(F.collect_list("turn_key")), ",")).alias("evidence"))
+    first = F.row_number().over(Window.partitionBy("item_id", "evidence").orderBy("report_id", F.asc_nulls_first("speaker")))
+    return p.withColumn("rn", first).where("rn = 1").drop("rn")
 
 
 @R.query(

@@ -157,27 +157,56 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
     return packed.join(old, "turn_key", "left").join(new, "turn_key", "left").select("n", "id", "turn_key", "part", note.alias("note"))
 
 
-#: How many neighbours count in recall.
-NEAREST = 10
+#: How many neighbours count in recall, and how many must have one of the query's label for it to pass.
+NEAREST, PASSES = 10, 3
+_SCORES_SQL = {"cosine": "round(list_dot_product(q.e, e.e) / greatest(sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(e.e, e.e)), 1e-12), 6)", "product": "round(list_dot_product(q.e, e.e), 6)"}
+
+
+def _ranked_sql(run: str) -> str:
+    return f"""SELECT '{run}' AS run, q.vec_id AS query_id, q.label, e.label AS found, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SCORES_SQL[run]} DESC, e.vec_id) AS rank FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= {NEAREST}"""
+
+
+_EVAL_SQL = f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), r AS ({_ranked_sql('cosine')} UNION ALL {_ranked_sql('product')}),
+h AS (SELECT run, query_id, label, count(*) FILTER (WHERE found = label) AS hits, min(CASE WHEN found = label THEN rank END) AS first FROM r GROUP BY 1, 2, 3)"""
+
+
+def evaluated(spark: SparkSession, d: str) -> DataFrame:
+    """run, query_id, own, hits, first: of each query's nearest, by cosine and by plain product, how many have its label,
+    and the rank of the first that has. Queries are the rows whose id is divisible by 100, against all rows."""
+    e = load(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("e").alias("q"))
+    product = F.aggregate(F.zip_with("q", "e", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    scores = F.array(F.struct(F.lit("cosine").alias("run"), F.round(cosine(F.col("q"), F.col("e")), 6).alias("score")), F.struct(F.lit("product").alias("run"), F.round(product, 6).alias("score")))
+    near = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "own", "vec_id", "label", F.explode(scores).alias("x")).select("query_id", "own", "vec_id", "label", "x.*")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("run", "query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= NEAREST)
+    right = F.col("label") == F.col("own")
+    return near.groupBy("run", "query_id", "own").agg(F.count_if(right).alias("hits"), F.min(F.when(right, F.col("rank"))).alias("first"))
 
 
 @R.query(
     "recall_at_k",
-    f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), r AS (SELECT q.vec_id AS query_id, q.label, e.label AS found, row_number() OVER (PARTITION BY q.vec_id ORDER BY
-round(list_dot_product(q.e, e.e) / greatest(sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(e.e, e.e)), 1e-12), 6) DESC, e.vec_id) AS rank FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= {NEAREST}),
-n AS (SELECT label, count(*) AS n FROM e GROUP BY 1), h AS (SELECT query_id, label, count(*) FILTER (WHERE found = label) AS hits, min(CASE WHEN found = label THEN rank END) AS first FROM r GROUP BY 1, 2)
-SELECT label, count(*) AS queries, round(avg(CASE WHEN n.n > 1 THEN hits * 1.0 / least({NEAREST}, n.n - 1) END), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS reciprocal_rank FROM h JOIN n USING (label) GROUP BY 1""",
+    _EVAL_SQL
+    + f""", n AS (SELECT label, count(*) AS n FROM e GROUP BY 1)
+SELECT label, count(*) AS queries, round(avg(CASE WHEN n.n > 1 THEN hits * 1.0 / least({NEAREST}, n.n - 1) END), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS reciprocal_rank FROM h JOIN n USING (label) WHERE run = 'cosine' GROUP BY 1""",
 )
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    """How many of the rows of a query's label are among its nearest by cosine, and how early the first is. Queries are
-    the rows whose id is divisible by 100, against all rows."""
-    e = load(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("e").alias("q"))
-    near = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "own", "vec_id", "label", F.round(cosine(F.col("q"), F.col("e")), 6).alias("cos"))
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "vec_id"))).where(F.col("rank") <= NEAREST)
-    right = F.col("label") == F.col("own")
-    h = near.groupBy("query_id", "own").agg(F.count_if(right).alias("hits"), F.min(F.when(right, F.col("rank"))).alias("first"))
-    n = e.groupBy(F.col("label").alias("own")).agg(F.count("*").alias("n"))
+    """How many of the rows of a query's label are among its nearest by cosine, and how early the first is."""
+    n = load(spark, d, "embeddings").groupBy(F.col("label").alias("own")).agg(F.count("*").alias("n"))
     share = F.when(F.col("n") > 1, F.col("hits") / F.least(F.lit(NEAREST), F.col("n") - 1))
-    g = h.join(n, "own").groupBy(F.col("own").alias("label"))
+    g = evaluated(spark, d).where("run = 'cosine'").join(n, "own").groupBy(F.col("own").alias("label"))
     return g.agg(F.count("*").alias("queries"), F.round(F.avg(share), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("reciprocal_rank"))
+
+
+@R.query("eval_by_class", _EVAL_SQL + f", s AS (SELECT label, run, count(*) AS n, count(*) FILTER (WHERE first <= {PASSES}) AS passed FROM h GROUP BY 1, 2) SELECT label, max(n) AS n, min(passed) AS least, max(passed) AS most FROM s GROUP BY 1")
+def eval_by_class(spark: SparkSession, d: str) -> DataFrame:
+    """How many queries of each label pass, over the runs."""
+    s = evaluated(spark, d).groupBy(F.col("own").alias("label"), "run").agg(F.count("*").alias("n"), F.count_if(F.col("first") <= PASSES).alias("passed"))
+    return s.groupBy("label").agg(F.max("n").alias("n"), F.min("passed").alias("least"), F.max("passed").alias("most"))
+
+
+@R.query("eval_flips", _EVAL_SQL + f", p AS (SELECT query_id, run, coalesce(first <= {PASSES}, false) AS passed FROM h) SELECT query_id, count(*) AS runs, count(*) FILTER (WHERE passed) AS passed FROM p GROUP BY 1 HAVING count(DISTINCT passed) > 1")
+def eval_flips(spark: SparkSession, d: str) -> DataFrame:
+    """Queries that pass in one run and not in another."""
+    p = evaluated(spark, d).select("query_id", F.coalesce(F.col("first") <= PASSES, F.lit(False)).alias("passed"))
+    g = p.groupBy("query_id").agg(F.count("*").alias("runs"), F.count_if("passed").alias("passed"))
+    return g.where("passed > 0 AND passed < runs")

@@ -1,5 +1,6 @@
 """Folds, gates, ranking and sources against plain Python."""
 
+import datetime as dt
 import json
 import random
 import re
@@ -12,6 +13,8 @@ from lectern.operators.cover import greedy
 from lectern.operators.gates import gate, verdict
 from lectern.operators.ranking import bm25, cosine, fuse
 from lectern.operators.sequences import block_numbered, carried_forward, kept_spans, neighbours, packed, running_total
+from lectern.plans.documents import R as DOCUMENTS
+from lectern.plans.documents import working_days_between
 from lectern.sources import files
 from lectern.sources.html import turns_of
 from lectern.sources.paged import read_paged, sweep_coverage
@@ -222,3 +225,22 @@ def test_streams(spark, tmp_path, data):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(name).count() > 0
+
+
+def test_working_days_between(spark):
+    first = dt.date(2024, 1, 1)
+    pairs = [(first + dt.timedelta(a), first + dt.timedelta(a + n)) for a in range(9) for n in (-3, 0, 1, 2, 5, 6, 7, 13, 40)]
+    got = spark.createDataFrame(pairs, "a date, b date").select("a", "b", working_days_between(F.col("a"), F.col("b")).alias("n")).collect()
+    for r in got:
+        assert r.n == sum((r.a + dt.timedelta(k)).weekday() < 5 for k in range(1, (r.b - r.a).days + 1))
+
+
+def test_pieces_that_come_again_are_found_in_order(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    text = "So it is. " * 40
+    chunks = [("a", "k", 0, text[:100]), ("b", "k", 1, text[80:200]), ("c", "k", 2, text[180:400]), ("d", "g", 0, text[:100]), ("e", "g", 1, "and " + text[:50]), ("f", "h", 0, "x" * 10), ("g", "h", 1, "z" * 60)]
+    turns = [("k", text), ("g", text), ("h", "x" * 10 + "y" * 60 + "z" * 60)]
+    spark.createDataFrame([(k, t, at) for k, t in turns], "key string, text string, loaded_at timestamp").write.parquet(f"{tmp_path}/turn.parquet")
+    spark.createDataFrame([(*c, at) for c in chunks], "id string, turn_key string, part int, cite_text string, loaded_at timestamp").write.parquet(f"{tmp_path}/chunk.parquet")
+    got = {r.turn_key: (r.pieces, r.gaps, r.strange) for r in DOCUMENTS.plans["chunk_gap_check"](spark, str(tmp_path)).collect()}
+    assert got == {"k": (3, 0, 0), "g": (1, 0, 1), "h": (2, 1, 0)}
