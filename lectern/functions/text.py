@@ -40,8 +40,14 @@ def norm_text(c: Column | str) -> Column:
     return F.lower(cased_norm(c))
 
 
+# Asides in brackets, titles that begin a bracketed name, pronouns and possessives.
+ASIDE = r"\[[^\]]{0,200}\]"
+TITLED = r"(?i)^(Mr|Ms|Mrs|Mdm|Dr|Prof|Assoc\s+Prof|Associate\s+Prof|Encik|Haji|Puan|Datuk)\b"
+PRONOUNS = r"\b(i|we|our|ours|us|my|mine|its|it|they|their|theirs|them|he|she|his|her|him|you|your|yours)\b"
+
+
 def strip_asides(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(c), r"\[[^\]]{0,200}\]", " "))
+    return F.trim(F.regexp_replace(col(c), ASIDE, " "))
 
 
 def tokens(c: Column | str, stopwords: bool = True) -> Column:
@@ -67,7 +73,7 @@ def word_count(c: Column | str) -> Column:
 def short_speaker(c: Column | str) -> Column:
     """The last bracketed name that opens with a title, else the label without brackets."""
     inner = F.transform(F.regexp_extract_all(col(c), F.lit(r"\(([^()]*)\)"), F.lit(1)), F.trim)
-    titled = F.filter(inner, lambda g: g.rlike(r"(?i)^(Mr|Ms|Mrs|Mdm|Dr|Prof|Assoc\s+Prof|Associate\s+Prof|Encik|Haji|Puan|Datuk)\b"))
+    titled = F.filter(inner, lambda g: g.rlike(TITLED))
     bare = F.trim(F.regexp_replace(col(c), r"\s*\([^()]*\)", ""))
     return F.coalesce(F.try_element_at(titled, F.lit(-1)), F.when(bare != "", bare), F.trim(col(c)))
 
@@ -79,7 +85,7 @@ def slug(c: Column | str) -> Column:
 def pronoun_neutral(c: Column | str) -> Column:
     """Small letters without punctuation, pronouns and possessives."""
     words = F.regexp_replace(F.lower(col(c)), r"[^a-z0-9_\s$%]", " ")
-    plain = F.regexp_replace(words, r"\b(i|we|our|ours|us|my|mine|its|it|they|their|theirs|them|he|she|his|her|him|you|your|yours)\b", " ")
+    plain = F.regexp_replace(words, PRONOUNS, " ")
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 

@@ -59,7 +59,9 @@ def uniqueness_check(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "anchor_coverage",
-    current_sql("SELECT c.group_name, count(*) AS n, count(*) FILTER (WHERE contains(t.text, c.cite_text)) AS exact, count(*) FILTER (WHERE t.key IS NULL) AS unresolved FROM chunk_ c LEFT JOIN turn_ t ON t.key = c.turn_key GROUP BY 1"),
+    current_sql(
+        "SELECT c.group_name, count(*) AS n, count(*) FILTER (WHERE contains(t.text, c.cite_text)) AS exact, count(*) FILTER (WHERE t.key IS NULL) AS "
+        "unresolved FROM chunk_ c LEFT JOIN turn_ t ON t.key = c.turn_key GROUP BY 1"),
 )
 def anchor_coverage(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
@@ -132,7 +134,8 @@ _PRICE_SQL = "price AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for
 
 @R.query(
     "usage_by_model",
-    f"WITH {_PRICE_SQL} SELECT e.event_type, count(*) AS calls, CAST(sum(length(e.props) // 4) AS BIGINT) AS tokens, count(*) * coalesce(p.unit, 5) AS cost, bool_or(p.unit IS NULL) AS estimated FROM events e LEFT JOIN price p USING (event_type) GROUP BY e.event_type, p.unit",
+        f"WITH {_PRICE_SQL} SELECT e.event_type, count(*) AS calls, CAST(sum(length(e.props) // 4) AS BIGINT) AS tokens, count(*) * coalesce(p.unit, 5) AS cost, "
+        f"bool_or(p.unit IS NULL) AS estimated FROM events e LEFT JOIN price p USING (event_type) GROUP BY e.event_type, p.unit",
 )
 def usage_by_model(spark: SparkSession, d: str) -> DataFrame:
     """Calls, estimated tokens and cost by kind; a kind without price is charged a default and marked."""
@@ -145,7 +148,9 @@ def usage_by_model(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "cost_projection",
-    current_sql(", y AS (SELECT year, count(*) AS items, CAST(sum(sentences_selected) AS BIGINT) AS picked FROM item_ GROUP BY 1) SELECT year, items, round(picked * 1.0 / items, 4) AS per_item, round((SELECT sum(picked) * 1.0 / sum(items) FROM y) * items, 2) AS projected FROM y"),
+    current_sql(
+        ", y AS (SELECT year, count(*) AS items, CAST(sum(sentences_selected) AS BIGINT) AS picked FROM item_ GROUP BY 1) SELECT year, items, round(picked * "
+        "1.0 / items, 4) AS per_item, round((SELECT sum(picked) * 1.0 / sum(items) FROM y) * items, 2) AS projected FROM y"),
 )
 def cost_projection(spark: SparkSession, d: str) -> DataFrame:
     y = Tables(spark, d).item.groupBy("year").agg(F.count("*").alias("items"), F.sum("sentences_selected").alias("picked"))
@@ -155,7 +160,10 @@ def cost_projection(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "status_by_year",
-    current_sql("SELECT r.year, count(*) AS total, count(*) FILTER (WHERE l.report_id IS NOT NULL) AS done, CAST(sum(r.n_turns) AS BIGINT) AS turns, CAST(sum(CASE WHEN l.report_id IS NOT NULL THEN r.n_turns ELSE 0 END) AS BIGINT) AS done_turns FROM report_ r LEFT JOIN (SELECT DISTINCT report_id FROM link_) l ON l.report_id = r.report_id GROUP BY 1"),
+    current_sql(
+        "SELECT r.year, count(*) AS total, count(*) FILTER (WHERE l.report_id IS NOT NULL) AS done, CAST(sum(r.n_turns) AS BIGINT) AS turns, CAST(sum(CASE WHEN "
+        "l.report_id IS NOT NULL THEN r.n_turns ELSE 0 END) AS BIGINT) AS done_turns FROM report_ r LEFT JOIN (SELECT DISTINCT report_id FROM link_) l ON "
+        "l.report_id = r.report_id GROUP BY 1"),
 )
 def status_by_year(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
@@ -170,7 +178,9 @@ def tier_pivot(spark: SparkSession, d: str) -> DataFrame:
     return p.select("group_name", F.coalesce("small", F.lit(0)).alias("small"), F.coalesce("heavy", F.lit(0)).alias("heavy"))
 
 
-@R.query("corpus_metrics", current_sql("SELECT count(*) AS turns, count(DISTINCT report_id) AS reports, CAST(sum(words) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT date) AS sittings FROM turn_"))
+@R.query("corpus_metrics", current_sql(
+    "SELECT count(*) AS turns, count(DISTINCT report_id) AS reports, CAST(sum(words) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars, "
+    "count(DISTINCT date) AS sittings FROM turn_"))
 def corpus_metrics(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).turn.agg(F.count("*").alias("turns"), F.countDistinct("report_id").alias("reports"), F.sum("words").alias("words"), F.sum(F.length("text")).alias("chars"), F.countDistinct("date").alias("sittings"))
 
@@ -209,7 +219,9 @@ def excluded_by_reason(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "refresh_progress",
-    current_sql(", want AS (SELECT DISTINCT item_id, report_id FROM link_) SELECT w.item_id, count(*) AS wanted, count(r.report_id) AS done, count(*) = count(r.report_id) AS complete FROM want w LEFT JOIN report_ r ON r.report_id = w.report_id GROUP BY 1"),
+    current_sql(
+        ", want AS (SELECT DISTINCT item_id, report_id FROM link_) SELECT w.item_id, count(*) AS wanted, count(r.report_id) AS done, count(*) = "
+        "count(r.report_id) AS complete FROM want w LEFT JOIN report_ r ON r.report_id = w.report_id GROUP BY 1"),
 )
 def refresh_progress(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
@@ -217,7 +229,9 @@ def refresh_progress(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("item_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("done"), (F.count("*") == F.count("hit")).alias("complete"))
 
 
-@R.query("mode_tiebreak", current_sql(", c AS (SELECT report_id, speaker, count(*) AS n FROM turn_ WHERE speaker IS NOT NULL GROUP BY 1, 2) SELECT report_id, speaker, n FROM c QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY n DESC, speaker) = 1"))
+@R.query("mode_tiebreak", current_sql(
+    ", c AS (SELECT report_id, speaker, count(*) AS n FROM turn_ WHERE speaker IS NOT NULL GROUP BY 1, 2) SELECT report_id, speaker, n FROM c QUALIFY "
+    "row_number() OVER (PARTITION BY report_id ORDER BY n DESC, speaker) = 1"))
 def mode_tiebreak(spark: SparkSession, d: str) -> DataFrame:
     c = Tables(spark, d).turn.where("speaker IS NOT NULL").groupBy("report_id", "speaker").agg(F.count("*").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("m"), "speaker"))
@@ -255,7 +269,10 @@ def sitting_duration(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "reading_budget",
-    current_sql(", t AS (SELECT report_id, sum(words) AS w FROM turn_ GROUP BY 1) SELECT i.item_id, CAST(sum(t.w) AS BIGINT) AS source_words, i.sentences_selected * 20 AS kept_words, round(1 - i.sentences_selected * 20.0 / sum(t.w), 4) AS reduction FROM item_ i JOIN link_ l ON l.item_id = i.item_id JOIN t ON t.report_id = l.report_id GROUP BY i.item_id, i.sentences_selected"),
+    current_sql(
+        ", t AS (SELECT report_id, sum(words) AS w FROM turn_ GROUP BY 1) SELECT i.item_id, CAST(sum(t.w) AS BIGINT) AS source_words, i.sentences_selected * 20 "
+        "AS kept_words, round(1 - i.sentences_selected * 20.0 / sum(t.w), 4) AS reduction FROM item_ i JOIN link_ l ON l.item_id = i.item_id JOIN t ON "
+        "t.report_id = l.report_id GROUP BY i.item_id, i.sentences_selected"),
 )
 def reading_budget(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
@@ -284,7 +301,9 @@ def turn_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "carry_forward",
-    current_sql("SELECT key, last_value(time IGNORE NULLS) OVER w AS time, last_value(speaker IGNORE NULLS) OVER w AS speaker, speaker IS NOT NULL AS attributed FROM turn_ WINDOW w AS (PARTITION BY report_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
+    current_sql(
+        "SELECT key, last_value(time IGNORE NULLS) OVER w AS time, last_value(speaker IGNORE NULLS) OVER w AS speaker, speaker IS NOT NULL AS attributed FROM "
+        "turn_ WINDOW w AS (PARTITION BY report_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
 )
 def carry_forward(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d).turn.select("key", "report_id", "turn", "time", "speaker", F.col("speaker").isNotNull().alias("attributed"))
@@ -341,7 +360,9 @@ def content_repeat_index(spark: SparkSession, d: str) -> DataFrame:
     return numbered(Tables(spark, d).turn, ["report_id", "content_hash"], ["turn"], "repeat").select("key", "repeat")
 
 
-@R.query("content_hash", current_sql(r"SELECT key, substr(sha1(report_id || chr(31) || text), 1, 16) AS hash, content_hash = substr(sha1(report_id || chr(31) || text), 1, 16) AS agrees FROM turn_ WHERE text IS NOT NULL"))
+@R.query("content_hash", current_sql(
+    r"SELECT key, substr(sha1(report_id || chr(31) || text), 1, 16) AS hash, content_hash = substr(sha1(report_id || chr(31) || text), 1, 16) AS agrees FROM "
+    r"turn_ WHERE text IS NOT NULL"))
 def content_hash_query(spark: SparkSession, d: str) -> DataFrame:
     h = content_hash("report_id", "text")
     return Tables(spark, d).turn.where("text IS NOT NULL").select("key", h.alias("hash"), (F.col("content_hash") == h).alias("agrees"))
@@ -404,7 +425,9 @@ def promote_correction(spark: SparkSession, d: str) -> DataFrame:
     return j.select("key", "report_id", F.row_number().over(Window.partitionBy("report_id").orderBy(*order)).alias("place"))
 
 
-@R.query("working_days", current_sql("SELECT report_id, len(list_filter(generate_series(CAST(date AS DATE), CAST(loaded_at AS DATE), INTERVAL 1 DAY), lambda x: dayofweek(x) BETWEEN 1 AND 5)) - CASE WHEN dayofweek(CAST(date AS DATE)) BETWEEN 1 AND 5 THEN 1 ELSE 0 END AS days FROM report_ WHERE loaded_at >= CAST(date AS DATE)"))
+@R.query("working_days", current_sql(
+    "SELECT report_id, len(list_filter(generate_series(CAST(date AS DATE), CAST(loaded_at AS DATE), INTERVAL 1 DAY), lambda x: dayofweek(x) BETWEEN 1 AND "
+    "5)) - CASE WHEN dayofweek(CAST(date AS DATE)) BETWEEN 1 AND 5 THEN 1 ELSE 0 END AS days FROM report_ WHERE loaded_at >= CAST(date AS DATE)"))
 def working_days(spark: SparkSession, d: str) -> DataFrame:
     r = Tables(spark, d).report.where("loaded_at >= to_date(date)").select("report_id", F.to_date("date").alias("a"), F.to_date("loaded_at").alias("b"))
     n = F.size(F.filter(F.sequence("a", "b"), lambda x: F.weekday(x) < 5)) - (F.weekday("a") < 5).cast("int")
@@ -413,7 +436,9 @@ def working_days(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "lead_section",
-    current_sql(", m AS (SELECT turn_key, part, length(cite_text) AS n FROM chunk_ WHERE cite_text IS NOT NULL) SELECT turn_key, part AS lead_part, n FROM m QUALIFY row_number() OVER (PARTITION BY turn_key ORDER BY n DESC, part) = 1"),
+    current_sql(
+        ", m AS (SELECT turn_key, part, length(cite_text) AS n FROM chunk_ WHERE cite_text IS NOT NULL) SELECT turn_key, part AS lead_part, n FROM m QUALIFY "
+        "row_number() OVER (PARTITION BY turn_key ORDER BY n DESC, part) = 1"),
 )
 def lead_section(spark: SparkSession, d: str) -> DataFrame:
     m = Tables(spark, d).chunk.where("cite_text IS NOT NULL").select("turn_key", "part", F.length("cite_text").cast("long").alias("n"))

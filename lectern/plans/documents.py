@@ -253,7 +253,9 @@ def anchor_spans(spark: SparkSession, d: str) -> DataFrame:
     return j.select("report_id", "probe_md5", "hits", F.when(one, F.col("x.key")).alias("key"), F.when(one, F.col("x.s")).cast("long").alias("char_start"), F.when(one, F.col("x.e")).cast("long").alias("char_end"), method.alias("method"))
 
 
-@R.query("anchor_ref", current_sql(r"SELECT c.id, t.date, regexp_replace(c.id, '#c\d+$', '') AS turn_key, instr(t.text, c.cite_text) - 1 AS char_start, length(c.cite_text) AS n FROM chunk_ c JOIN turn_ t ON t.key = regexp_replace(c.id, '#c\d+$', '') WHERE contains(t.text, c.cite_text)"))
+@R.query("anchor_ref", current_sql(
+    r"SELECT c.id, t.date, regexp_replace(c.id, '#c\d+$', '') AS turn_key, instr(t.text, c.cite_text) - 1 AS char_start, length(c.cite_text) AS n FROM "
+    r"chunk_ c JOIN turn_ t ON t.key = regexp_replace(c.id, '#c\d+$', '') WHERE contains(t.text, c.cite_text)"))
 def anchor_ref(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     c = t.chunk.select("id", F.regexp_replace("id", r"#c\d+$", "").alias("turn_key"), "cite_text")
@@ -264,7 +266,9 @@ def anchor_ref(spark: SparkSession, d: str) -> DataFrame:
 _NUM = r"[0-9][0-9.,]*[0-9]|[0-9]"
 
 
-@R.query("number_grounding", current_sql(f"SELECT c.id, len(list_filter(regexp_extract_all(c.cite_text, '{_NUM}'), lambda x: NOT list_contains(regexp_extract_all(t.text, '{_NUM}'), x))) AS ungrounded FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE c.cite_text IS NOT NULL AND t.text IS NOT NULL"))
+@R.query("number_grounding", current_sql(
+    f"SELECT c.id, len(list_filter(regexp_extract_all(c.cite_text, '{_NUM}'), lambda x: NOT list_contains(regexp_extract_all(t.text, '{_NUM}'), x))) AS "
+    f"ungrounded FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE c.cite_text IS NOT NULL AND t.text IS NOT NULL"))
 def number_grounding(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     numbers = lambda c: F.regexp_extract_all(c, F.lit(f"({_NUM})"), F.lit(1))
@@ -279,7 +283,9 @@ def suggestion_grounding(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", (F.col("hit").isNotNull() & F.col("title").eqNullSafe(F.col("stored"))).alias("grounded"))
 
 
-@R.query("provenance_check", current_sql("SELECT c.id, instr(t.text, c.cite_text) AS at, sha256(substr(t.text, instr(t.text, c.cite_text), length(c.cite_text))) = sha256(c.cite_text) AS same FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE contains(t.text, c.cite_text)"))
+@R.query("provenance_check", current_sql(
+    "SELECT c.id, instr(t.text, c.cite_text) AS at, sha256(substr(t.text, instr(t.text, c.cite_text), length(c.cite_text))) = sha256(c.cite_text) AS same "
+    "FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE contains(t.text, c.cite_text)"))
 def provenance_check(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     j = t.chunk.select("id", "turn_key", "cite_text").join(t.turn.select(F.col("key").alias("turn_key"), "text"), "turn_key").where(F.contains("text", "cite_text"))
@@ -331,7 +337,9 @@ def cited_overlay(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("key", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
 
 
-@R.query("page_stats", current_sql(X.SENT_SQL + ", n AS (SELECT report_id, count(*) AS sentences, count(*) FILTER (WHERE length(s) > 120) AS shown FROM sent_ GROUP BY 1) SELECT report_id, sentences, shown, sentences - shown AS folded, round(shown * 100.0 / sentences, 2) AS percent FROM n"))
+@R.query("page_stats", current_sql(X.SENT_SQL +
+    ", n AS (SELECT report_id, count(*) AS sentences, count(*) FILTER (WHERE length(s) > 120) AS shown FROM sent_ GROUP BY 1) SELECT report_id, sentences, "
+    "shown, sentences - shown AS folded, round(shown * 100.0 / sentences, 2) AS percent FROM n"))
 def page_stats(spark: SparkSession, d: str) -> DataFrame:
     n = sentence_rows(Tables(spark, d)).groupBy("report_id").agg(F.count("*").alias("sentences"), F.count_if(F.length("s") > 120).alias("shown"))
     return n.select("report_id", "sentences", "shown", (F.col("sentences") - F.col("shown")).alias("folded"), F.round(F.col("shown") * 100.0 / F.col("sentences"), 2).alias("percent"))
@@ -340,7 +348,10 @@ def page_stats(spark: SparkSession, d: str) -> DataFrame:
 # briefs
 
 
-@R.query("map_documents", current_sql(", t AS (SELECT report_id, count(*) AS turns, CAST(sum(words) AS BIGINT) AS words, min_by(speaker, turn) AS first_speaker FROM turn_ GROUP BY 1) SELECT r.report_id AS doc_id, coalesce(nullif(trim(r.title), ''), r.report_type) AS title, r.date, t.turns, t.words, CASE WHEN t.report_id IS NULL THEN 'no_turns' WHEN t.words = 0 THEN 'empty' END AS skipped FROM report_ r LEFT JOIN t ON t.report_id = r.report_id"))
+@R.query("map_documents", current_sql(
+    ", t AS (SELECT report_id, count(*) AS turns, CAST(sum(words) AS BIGINT) AS words, min_by(speaker, turn) AS first_speaker FROM turn_ GROUP BY 1) SELECT "
+    "r.report_id AS doc_id, coalesce(nullif(trim(r.title), ''), r.report_type) AS title, r.date, t.turns, t.words, CASE WHEN t.report_id IS NULL THEN "
+    "'no_turns' WHEN t.words = 0 THEN 'empty' END AS skipped FROM report_ r LEFT JOIN t ON t.report_id = r.report_id"))
 def map_documents(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     g = t.turn.groupBy("report_id").agg(F.count("*").alias("turns"), F.sum("words").alias("words"), F.lit(True).alias("hit"))
@@ -364,7 +375,10 @@ def assemble_brief(spark: SparkSession, d: str) -> DataFrame:
     return b.select("report_id", F.size("sections").cast("long").alias("sections"), F.aggregate("sections", F.lit(0).cast("long"), lambda a, x: a + F.size(x["cites"])).alias("cited"), F.md5(body).alias("body_md5"))
 
 
-@R.query("brief_gate", current_sql(", c AS (SELECT report_id, count(*) AS turns, count(*) FILTER (WHERE words >= 100) AS cited, count(*) FILTER (WHERE words >= 100 AND (text IS NULL OR trim(text) = '')) AS blank FROM turn_ GROUP BY 1) SELECT report_id, cited > 0 AND blank = 0 AND (cited * 1.0 / turns >= 0.15 OR turns <= 1) AS passed, round(cited * 1.0 / turns, 4) AS coverage FROM c"))
+@R.query("brief_gate", current_sql(
+    ", c AS (SELECT report_id, count(*) AS turns, count(*) FILTER (WHERE words >= 100) AS cited, count(*) FILTER (WHERE words >= 100 AND (text IS NULL OR "
+    "trim(text) = '')) AS blank FROM turn_ GROUP BY 1) SELECT report_id, cited > 0 AND blank = 0 AND (cited * 1.0 / turns >= 0.15 OR turns <= 1) AS passed, "
+    "round(cited * 1.0 / turns, 4) AS coverage FROM c"))
 def brief_gate(spark: SparkSession, d: str) -> DataFrame:
     picked = F.col("words") >= 100
     c = Tables(spark, d).turn.groupBy("report_id").agg(F.count("*").alias("turns"), F.count_if(picked).alias("cited"), F.count_if(picked & (F.col("text").isNull() | (F.trim("text") == ""))).alias("blank"))
@@ -394,14 +408,19 @@ def greedy_cover(spark: SparkSession, d: str) -> DataFrame:
     return greedy(rows, "item_id", "report_id", "speaker", 6)
 
 
-@R.query("skipped_sentences", current_sql(", big AS (SELECT report_id, key FROM turn_ WHERE words >= 150) SELECT t.report_id, count(*) AS n, md5(string_agg(t.key, ',' ORDER BY t.turn)) AS keys_md5 FROM turn_ t ANTI JOIN big b ON b.key = t.key GROUP BY 1"))
+@R.query("skipped_sentences", current_sql(
+    ", big AS (SELECT report_id, key FROM turn_ WHERE words >= 150) SELECT t.report_id, count(*) AS n, md5(string_agg(t.key, ',' ORDER BY t.turn)) AS "
+    "keys_md5 FROM turn_ t ANTI JOIN big b ON b.key = t.key GROUP BY 1"))
 def skipped_sentences(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d).turn
     left = t.select("report_id", "turn", "key").join(t.where("words >= 150").select("key"), "key", "left_anti")
     return left.groupBy("report_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "key"))), lambda x: x["key"]), ",")).alias("keys_md5"))
 
 
-@R.query("archive_lead", current_sql(", w AS (SELECT report_id, sum(words) AS words FROM turn_ GROUP BY 1), r AS (SELECT r.date, r.title, w.words, l.item_id FROM report_ r JOIN w ON w.report_id = r.report_id LEFT JOIN (SELECT report_id, min(item_id) AS item_id FROM link_ GROUP BY 1) l ON l.report_id = r.report_id) SELECT date, min(item_id) AS item_id, max((words, title))[2] AS longest FROM r GROUP BY 1"))
+@R.query("archive_lead", current_sql(
+    ", w AS (SELECT report_id, sum(words) AS words FROM turn_ GROUP BY 1), r AS (SELECT r.date, r.title, w.words, l.item_id FROM report_ r JOIN w ON "
+    "w.report_id = r.report_id LEFT JOIN (SELECT report_id, min(item_id) AS item_id FROM link_ GROUP BY 1) l ON l.report_id = r.report_id) SELECT date, "
+    "min(item_id) AS item_id, max((words, title))[2] AS longest FROM r GROUP BY 1"))
 def archive_lead(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     w = t.turn.groupBy("report_id").agg(F.sum("words").alias("words"))
@@ -419,7 +438,9 @@ GROUP_ORDER = ["motion", "budget", "bill", "statement", "oral", "written", "adjo
 _ORDER_SQL = "list_position([" + ", ".join(f"'{g}'" for g in GROUP_ORDER) + "], group_name)"
 
 
-@R.query("custom_order", current_sql(f", g AS (SELECT group_name, count(*) AS n FROM report_ GROUP BY 1) SELECT group_name, n, row_number() OVER (ORDER BY coalesce(nullif({_ORDER_SQL}, 0), 99), n DESC, group_name) AS place FROM g"))
+@R.query("custom_order", current_sql(
+    f", g AS (SELECT group_name, count(*) AS n FROM report_ GROUP BY 1) SELECT group_name, n, row_number() OVER (ORDER BY coalesce(nullif({_ORDER_SQL}, 0), "
+    f"99), n DESC, group_name) AS place FROM g"))
 def custom_order(spark: SparkSession, d: str) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, GROUP_ORDER)), F.col("group_name"))
     g = Tables(spark, d).report.groupBy("group_name").agg(F.count("*").alias("n"))
@@ -427,14 +448,18 @@ def custom_order(spark: SparkSession, d: str) -> DataFrame:
     return g.select("group_name", "n", F.row_number().over(w).alias("place"))
 
 
-@R.query("share_of_total", current_sql(", g AS (SELECT group_name, sum(words) AS words FROM turn_ GROUP BY 1) SELECT group_name, CAST(words AS BIGINT) AS words, round(CASE WHEN sum(words) OVER () = 0 THEN 0 ELSE words * 100.0 / sum(words) OVER () END, 4) AS percent FROM g"))
+@R.query("share_of_total", current_sql(
+    ", g AS (SELECT group_name, sum(words) AS words FROM turn_ GROUP BY 1) SELECT group_name, CAST(words AS BIGINT) AS words, round(CASE WHEN sum(words) "
+    "OVER () = 0 THEN 0 ELSE words * 100.0 / sum(words) OVER () END, 4) AS percent FROM g"))
 def share_of_total(spark: SparkSession, d: str) -> DataFrame:
     g = Tables(spark, d).turn.groupBy("group_name").agg(F.sum("words").alias("words"))
     total = F.sum("words").over(Window.partitionBy())  # over the groups, not the rows
     return g.select("group_name", "words", F.round(F.when(total == 0, 0.0).otherwise(F.col("words") * 100.0 / total), 4).alias("percent"))
 
 
-@R.query("reading_time", current_sql(", w AS (SELECT report_id, sum(words) / 200.0 AS m FROM turn_ GROUP BY 1) SELECT report_id, CAST(CASE WHEN m < 5 THEN 5 WHEN m < 55 THEN greatest(5, floor(m / 10 + 0.5) * 10) ELSE floor(m / 30 + 0.5) * 30 END AS BIGINT) AS minutes FROM w"))
+@R.query("reading_time", current_sql(
+    ", w AS (SELECT report_id, sum(words) / 200.0 AS m FROM turn_ GROUP BY 1) SELECT report_id, CAST(CASE WHEN m < 5 THEN 5 WHEN m < 55 THEN greatest(5, "
+    "floor(m / 10 + 0.5) * 10) ELSE floor(m / 30 + 0.5) * 30 END AS BIGINT) AS minutes FROM w"))
 def reading_time(spark: SparkSession, d: str) -> DataFrame:
     w = Tables(spark, d).turn.groupBy("report_id").agg((F.sum("words") / 200).alias("m"))
     m = F.col("m")
@@ -444,7 +469,10 @@ def reading_time(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "section_speakers",
-    current_sql(", f AS (SELECT report_id, speaker, min(turn) AS pos FROM turn_ WHERE speaker IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS rn, count(*) OVER (PARTITION BY report_id) AS n FROM f) SELECT report_id, string_agg(speaker, ', ' ORDER BY rn) FILTER (WHERE rn <= 4) || CASE WHEN max(n) > 4 THEN ' +' || CAST(max(n) - 4 AS VARCHAR) || ' more' ELSE '' END AS speakers FROM r GROUP BY 1"),
+    current_sql(
+        ", f AS (SELECT report_id, speaker, min(turn) AS pos FROM turn_ WHERE speaker IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION "
+        "BY report_id ORDER BY pos) AS rn, count(*) OVER (PARTITION BY report_id) AS n FROM f) SELECT report_id, string_agg(speaker, ', ' ORDER BY rn) FILTER "
+        "(WHERE rn <= 4) || CASE WHEN max(n) > 4 THEN ' +' || CAST(max(n) - 4 AS VARCHAR) || ' more' ELSE '' END AS speakers FROM r GROUP BY 1"),
 )
 def section_speakers(spark: SparkSession, d: str) -> DataFrame:
     f = Tables(spark, d).turn.where("speaker IS NOT NULL").groupBy("report_id", "speaker").agg(F.min("turn").alias("pos"))
@@ -502,7 +530,11 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
 _W4 = "regexp_extract_all(lower({0}), '[a-z]{{4,}}')"
 
 
-@R.query("flag_falsify", current_sql(f", j AS (SELECT c.id, c.cite_text, t.text, list_distinct({_W4.format('c.cite_text')}) AS w, list_distinct({_W4.format('t.text')}) AS v FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE c.cite_text IS NOT NULL AND t.text IS NOT NULL) SELECT id, CASE WHEN contains(lower(text), lower(cite_text)) THEN 'substring' WHEN len(w) = len(list_intersect(w, v)) THEN 'all_words' WHEN len(list_intersect(w, v)) >= 0.8 * len(w) THEN 'most_words' ELSE 'stands' END AS outcome FROM j"))
+@R.query("flag_falsify", current_sql(
+    f", j AS (SELECT c.id, c.cite_text, t.text, list_distinct({_W4.format('c.cite_text')}) AS w, list_distinct({_W4.format('t.text')}) AS v FROM chunk_ c "
+    f"JOIN turn_ t ON t.key = c.turn_key WHERE c.cite_text IS NOT NULL AND t.text IS NOT NULL) SELECT id, CASE WHEN contains(lower(text), lower(cite_text)) "
+    f"THEN 'substring' WHEN len(w) = len(list_intersect(w, v)) THEN 'all_words' WHEN len(list_intersect(w, v)) >= 0.8 * len(w) THEN 'most_words' ELSE "
+    f"'stands' END AS outcome FROM j"))
 def flag_falsify(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{4,})"), F.lit(1)))
@@ -512,7 +544,9 @@ def flag_falsify(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", F.when(F.contains(F.lower("text"), F.lower("cite_text")), "substring").when(F.size(w) == both, "all_words").when(both >= 0.8 * F.size(w), "most_words").otherwise("stands").alias("outcome"))
 
 
-@R.query("evidence_missing", current_sql(f"SELECT c.id, len(list_filter(list_distinct({_W4.format('c.cite_text')}), lambda x: NOT list_contains({_W4.format('t.text')}, x))) AS missing FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE c.cite_text IS NOT NULL AND t.text IS NOT NULL"))
+@R.query("evidence_missing", current_sql(
+    f"SELECT c.id, len(list_filter(list_distinct({_W4.format('c.cite_text')}), lambda x: NOT list_contains({_W4.format('t.text')}, x))) AS missing FROM "
+    f"chunk_ c JOIN turn_ t ON t.key = c.turn_key WHERE c.cite_text IS NOT NULL AND t.text IS NOT NULL"))
 def evidence_missing(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{4,})"), F.lit(1)))
@@ -562,14 +596,18 @@ def turn_diff(spark: SparkSession, d: str) -> DataFrame:
     return g.where(changed | who).select("key", kind.alias("text_diff"), who.alias("speaker_diff"))
 
 
-@R.query("empty_placeholder_rows", current_sql(", t AS (SELECT report_id, sum(words) AS words FROM turn_ GROUP BY 1) SELECT r.date, count(*) AS n, min(r.report_id) AS first_report FROM report_ r LEFT JOIN t ON t.report_id = r.report_id WHERE coalesce(t.words, 0) = 0 OR r.n_turns = 0 GROUP BY 1"))
+@R.query("empty_placeholder_rows", current_sql(
+    ", t AS (SELECT report_id, sum(words) AS words FROM turn_ GROUP BY 1) SELECT r.date, count(*) AS n, min(r.report_id) AS first_report FROM report_ r "
+    "LEFT JOIN t ON t.report_id = r.report_id WHERE coalesce(t.words, 0) = 0 OR r.n_turns = 0 GROUP BY 1"))
 def empty_placeholder_rows(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     j = t.report.select("report_id", "date", "n_turns").join(t.turn.groupBy("report_id").agg(F.sum("words").alias("words")), "report_id", "left")
     return j.where((F.coalesce("words", F.lit(0)) == 0) | (F.col("n_turns") == 0)).groupBy("date").agg(F.count("*").alias("n"), F.min("report_id").alias("first_report"))
 
 
-@R.query("suite_verdict", current_sql(", c AS (SELECT year, count(*) AS n, count(*) FILTER (WHERE n_sentences IS NULL) AS open_, count(*) FILTER (WHERE selection_share < 0.1) AS bad FROM item_ GROUP BY 1) SELECT year, n, CASE WHEN n = 0 OR bad > 0 THEN 'fail' WHEN open_ > 0 THEN 'needs_review' ELSE 'pass' END AS verdict FROM c"))
+@R.query("suite_verdict", current_sql(
+    ", c AS (SELECT year, count(*) AS n, count(*) FILTER (WHERE n_sentences IS NULL) AS open_, count(*) FILTER (WHERE selection_share < 0.1) AS bad FROM "
+    "item_ GROUP BY 1) SELECT year, n, CASE WHEN n = 0 OR bad > 0 THEN 'fail' WHEN open_ > 0 THEN 'needs_review' ELSE 'pass' END AS verdict FROM c"))
 def suite_verdict(spark: SparkSession, d: str) -> DataFrame:
     c = Tables(spark, d).item.groupBy("year").agg(F.count("*").alias("n"), F.count_if(F.col("n_sentences").isNull()).alias("o"), F.count_if(F.col("selection_share") < 0.1).alias("b"))
     return c.select("year", "n", F.when((F.col("n") == 0) | (F.col("b") > 0), "fail").when(F.col("o") > 0, "needs_review").otherwise("pass").alias("verdict"))

@@ -23,7 +23,9 @@ R = Registry()
 # text forms
 
 
-@R.query("split_minimal", current_sql(f", p AS (SELECT key, list_filter(string_split(regexp_replace({X.STRIPPED_SQL.format('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda v: v <> '') AS x FROM turn_ WHERE text IS NOT NULL) SELECT key, len(x) AS n, md5(array_to_string(x, '|')) AS md5 FROM p"))
+@R.query("split_minimal", current_sql(
+    f", p AS (SELECT key, list_filter(string_split(regexp_replace({X.STRIPPED_SQL.format('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda v: "
+    f"v <> '') AS x FROM turn_ WHERE text IS NOT NULL) SELECT key, len(x) AS n, md5(array_to_string(x, '|')) AS md5 FROM p"))
 def split_minimal(spark: SparkSession, d: str) -> DataFrame:
     """A split at every end mark before a blank."""
     x = minimal_sentences("text")
@@ -54,7 +56,9 @@ def invisible_strip(spark: SparkSession, d: str) -> DataFrame:
     return s.select("speaker", F.trim(F.regexp_replace("speaker", _INVISIBLE, "")).alias("clean"))
 
 
-@R.query("html_escape", current_sql("SELECT key, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS html_md5 FROM turn_ WHERE text IS NOT NULL"))
+@R.query("html_escape", current_sql(
+    "SELECT key, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS html_md5 "
+    "FROM turn_ WHERE text IS NOT NULL"))
 def html_escape(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("text")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
@@ -67,7 +71,9 @@ BUDGET, HEAD, TAIL = 4000, 0.7, 0.25
 _GAP = "\n\n[...]\n\n"
 
 
-@R.query("head_tail", current_sql(f"SELECT key, length(text) > {BUDGET} AS cut, md5(CASE WHEN length(text) > {BUDGET} THEN left(text, {int(BUDGET * HEAD)}) || chr(10) || chr(10) || '[...]' || chr(10) || chr(10) || right(text, {int(BUDGET * TAIL)}) ELSE text END) AS kept_md5 FROM turn_ WHERE text IS NOT NULL"))
+@R.query("head_tail", current_sql(
+    f"SELECT key, length(text) > {BUDGET} AS cut, md5(CASE WHEN length(text) > {BUDGET} THEN left(text, {int(BUDGET * HEAD)}) || chr(10) || chr(10) || "
+    f"'[...]' || chr(10) || chr(10) || right(text, {int(BUDGET * TAIL)}) ELSE text END) AS kept_md5 FROM turn_ WHERE text IS NOT NULL"))
 def head_tail(spark: SparkSession, d: str) -> DataFrame:
     """A text beyond the budget without its middle."""
     long = F.length("text") > BUDGET
@@ -125,7 +131,9 @@ def runaway_cap(spark: SparkSession, d: str) -> DataFrame:
     return n.select("report_id", "sentences", F.greatest(F.lit(120), F.round(F.lit(0.25) * F.col("sentences") - 0.000001).cast("long")).alias("cap"))
 
 
-@R.query("nested_defaults", current_sql("SELECT report_id, coalesce(nullif(trim(title), ''), nullif(trim(report_type), ''), 'untitled') AS name, coalesce(group_name, regexp_extract(report_id, '^([a-z][a-z0-9-]*?)-[0-9]+$', 1), '') AS section FROM report_"))
+@R.query("nested_defaults", current_sql(
+    "SELECT report_id, coalesce(nullif(trim(title), ''), nullif(trim(report_type), ''), 'untitled') AS name, coalesce(group_name, regexp_extract(report_id, "
+    "'^([a-z][a-z0-9-]*?)-[0-9]+$', 1), '') AS section FROM report_"))
 def nested_defaults(spark: SparkSession, d: str) -> DataFrame:
     """Fields of a nested record with what stands in where they are missing."""
     r = Tables(spark, d).report.select("report_id", F.struct("title", "report_type", F.struct("group_name").alias("meta")).alias("r"))
@@ -134,7 +142,9 @@ def nested_defaults(spark: SparkSession, d: str) -> DataFrame:
     return r.select("report_id", F.coalesce(given("r.title"), given("r.report_type"), F.lit("untitled")).alias("name"), section.alias("section"))
 
 
-@R.query("array_ops", "SELECT DISTINCT snapshot_no, report_id, array_to_string(list_sort(list_distinct(turn_hashes)), ',') AS sorted_set, list_position(turn_hashes, list_min(turn_hashes)) AS least_at, list_contains(turn_hashes, 'none') AS has_none FROM report_snapshot WHERE len(turn_hashes) > 0")
+@R.query("array_ops",
+    "SELECT DISTINCT snapshot_no, report_id, array_to_string(list_sort(list_distinct(turn_hashes)), ',') AS sorted_set, list_position(turn_hashes, "
+    "list_min(turn_hashes)) AS least_at, list_contains(turn_hashes, 'none') AS has_none FROM report_snapshot WHERE len(turn_hashes) > 0")
 def array_ops(spark: SparkSession, d: str) -> DataFrame:
     """Sets, membership and places in arrays."""
     s = load(spark, d, "report_snapshot").where("size(turn_hashes) > 0")
@@ -145,7 +155,9 @@ def array_ops(spark: SparkSession, d: str) -> DataFrame:
 # orders and runs
 
 
-@R.query("longest_per_date", current_sql(", w AS (SELECT date, report_id, CAST(sum(words) AS BIGINT) AS words FROM turn_ GROUP BY 1, 2) SELECT date, report_id, words FROM w QUALIFY row_number() OVER (PARTITION BY date ORDER BY words DESC NULLS LAST, report_id) = 1"))
+@R.query("longest_per_date", current_sql(
+    ", w AS (SELECT date, report_id, CAST(sum(words) AS BIGINT) AS words FROM turn_ GROUP BY 1, 2) SELECT date, report_id, words FROM w QUALIFY "
+    "row_number() OVER (PARTITION BY date ORDER BY words DESC NULLS LAST, report_id) = 1"))
 def longest_per_date(spark: SparkSession, d: str) -> DataFrame:
     w = Tables(spark, d).turn.groupBy("date", "report_id").agg(F.sum("words").alias("words"))
     best = F.min(F.struct((-F.coalesce("words", F.lit(-1))).alias("m"), "report_id", "words")).alias("b")
@@ -220,7 +232,9 @@ def item_reports(spark: SparkSession, d: str) -> DataFrame:
     return t.link.select("item_id", "ordinal", "report_id").join(t.report.select("report_id", "date", "title"), "report_id").select("item_id", "ordinal", "report_id", "date", "title")
 
 
-@R.query("probe_selection", current_sql("SELECT c.id, t.key, r.date FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key JOIN report_ r ON r.report_id = t.report_id WHERE c.cite_text LIKE '%rebate%' AND t.words BETWEEN 40 AND 200"))
+@R.query("probe_selection", current_sql(
+    "SELECT c.id, t.key, r.date FROM chunk_ c JOIN turn_ t ON t.key = c.turn_key JOIN report_ r ON r.report_id = t.report_id WHERE c.cite_text LIKE "
+    "'%rebate%' AND t.words BETWEEN 40 AND 200"))
 def probe_selection(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with a word, of turns of a middle length, with the date of their report."""
     t = Tables(spark, d)
@@ -228,7 +242,9 @@ def probe_selection(spark: SparkSession, d: str) -> DataFrame:
     return c.join(t.turn.where(F.col("words").between(40, 200)).select("key", "report_id"), "key").join(t.report.select("report_id", "date"), "report_id").select("id", "key", "date")
 
 
-@R.query("paragraph_match", current_sql(f"SELECT c.id, t.key IS NOT NULL AS matched FROM chunk_ c LEFT JOIN turn_ t ON t.key = c.turn_key AND md5({X.CASED_NORM_SQL.format('t.text')}) = md5({X.CASED_NORM_SQL.format('c.cite_text')}) WHERE c.cite_text IS NOT NULL"))
+@R.query("paragraph_match", current_sql(
+    f"SELECT c.id, t.key IS NOT NULL AS matched FROM chunk_ c LEFT JOIN turn_ t ON t.key = c.turn_key AND md5({X.CASED_NORM_SQL.format('t.text')}) = "
+    f"md5({X.CASED_NORM_SQL.format('c.cite_text')}) WHERE c.cite_text IS NOT NULL"))
 def paragraph_match(spark: SparkSession, d: str) -> DataFrame:
     """Whether a stored text is its turn's whole text in normal form: two keys, compared by hash."""
     t = Tables(spark, d)
@@ -266,7 +282,9 @@ def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "one_per_turn",
-    current_sql("SELECT c.id, count(t.key) AS turns, count(t.key) = 1 AS only_one FROM chunk_ c LEFT JOIN (SELECT DISTINCT report_id, key, md5(text) AS h FROM turn_ WHERE text IS NOT NULL) t ON t.report_id = c.report_id AND t.h = md5(c.cite_text) WHERE c.n_parts = 1 AND c.cite_text IS NOT NULL GROUP BY 1"),
+    current_sql(
+        "SELECT c.id, count(t.key) AS turns, count(t.key) = 1 AS only_one FROM chunk_ c LEFT JOIN (SELECT DISTINCT report_id, key, md5(text) AS h FROM turn_ "
+        "WHERE text IS NOT NULL) t ON t.report_id = c.report_id AND t.h = md5(c.cite_text) WHERE c.n_parts = 1 AND c.cite_text IS NOT NULL GROUP BY 1"),
 )
 def one_per_turn(spark: SparkSession, d: str) -> DataFrame:
     """In how many turns of its report a chunk that is a whole turn stands, and whether it names one alone."""

@@ -174,7 +174,9 @@ def term_hits(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).chunk.where("cite_text IS NOT NULL").groupBy("turn_key").agg(F.max(hits).alias("hits"))
 
 
-@R.query("filter_summarisable", current_sql(", w AS (SELECT report_id, CAST(sum(words) AS BIGINT) AS words FROM turn_ GROUP BY 1) SELECT r.report_id, w.words FROM report_ r JOIN w USING (report_id) WHERE r.group_name IN ('bill', 'budget', 'motion', 'statement') AND w.words >= 150"))
+@R.query("filter_summarisable", current_sql(
+    ", w AS (SELECT report_id, CAST(sum(words) AS BIGINT) AS words FROM turn_ GROUP BY 1) SELECT r.report_id, w.words FROM report_ r JOIN w USING "
+    "(report_id) WHERE r.group_name IN ('bill', 'budget', 'motion', 'statement') AND w.words >= 150"))
 def filter_summarisable(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     words = t.turn.groupBy("report_id").agg(F.sum("words").alias("words")).where("words >= 150")

@@ -197,14 +197,18 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count("*").alias("queries"), F.round(F.avg(share), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("reciprocal_rank"))
 
 
-@R.query("eval_by_class", _EVAL_SQL + f", s AS (SELECT label, run, count(*) AS n, count(*) FILTER (WHERE first <= {PASSES}) AS passed FROM h GROUP BY 1, 2) SELECT label, max(n) AS n, min(passed) AS least, max(passed) AS most FROM s GROUP BY 1")
+@R.query("eval_by_class", _EVAL_SQL +
+    f", s AS (SELECT label, run, count(*) AS n, count(*) FILTER (WHERE first <= {PASSES}) AS passed FROM h GROUP BY 1, 2) SELECT label, max(n) AS n, "
+    f"min(passed) AS least, max(passed) AS most FROM s GROUP BY 1")
 def eval_by_class(spark: SparkSession, d: str) -> DataFrame:
     """How many queries of each label pass, over the runs."""
     s = evaluated(spark, d).groupBy(F.col("own").alias("label"), "run").agg(F.count("*").alias("n"), F.count_if(F.col("first") <= PASSES).alias("passed"))
     return s.groupBy("label").agg(F.max("n").alias("n"), F.min("passed").alias("least"), F.max("passed").alias("most"))
 
 
-@R.query("eval_flips", _EVAL_SQL + f", p AS (SELECT query_id, run, coalesce(first <= {PASSES}, false) AS passed FROM h) SELECT query_id, count(*) AS runs, count(*) FILTER (WHERE passed) AS passed FROM p GROUP BY 1 HAVING count(DISTINCT passed) > 1")
+@R.query("eval_flips", _EVAL_SQL +
+    f", p AS (SELECT query_id, run, coalesce(first <= {PASSES}, false) AS passed FROM h) SELECT query_id, count(*) AS runs, count(*) FILTER (WHERE passed) "
+    f"AS passed FROM p GROUP BY 1 HAVING count(DISTINCT passed) > 1")
 def eval_flips(spark: SparkSession, d: str) -> DataFrame:
     """Queries that pass in one run and not in another."""
     p = evaluated(spark, d).select("query_id", F.coalesce(F.col("first") <= PASSES, F.lit(False)).alias("passed"))

@@ -103,7 +103,9 @@ def significance_turn(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "correction_pairs",
-    current_sql(X.SENT_SQL + _PAIRS_SQL + " SELECT key, CAST(i AS INTEGER) AS i, CAST(a AS INTEGER) AS anchor FROM (SELECT key, i, corrects, restates, unnest([CASE WHEN before_ THEN i - 1 END, CASE WHEN after_ THEN i + 1 END]) AS a FROM n) WHERE restates AND NOT corrects AND a IS NOT NULL"),
+    current_sql(X.SENT_SQL + _PAIRS_SQL +
+        " SELECT key, CAST(i AS INTEGER) AS i, CAST(a AS INTEGER) AS anchor FROM (SELECT key, i, corrects, restates, unnest([CASE WHEN before_ THEN i - 1 END, "
+        "CASE WHEN after_ THEN i + 1 END]) AS a FROM n) WHERE restates AND NOT corrects AND a IS NOT NULL"),
 )
 def correction_pairs(spark: SparkSession, d: str) -> DataFrame:
     """What is taken back: a sentence that points back, and the self-correction before or after it."""
@@ -194,7 +196,9 @@ def divisions_extract(spark: SparkSession, d: str) -> DataFrame:
     return declared_divisions(Tables(spark, d).turn, "key", "text")
 
 
-@R.query("divisions_dedup", current_sql(_DIV_SQL + " SELECT report_id, min((turn, key, pos))[2] AS key, ayes, noes, abstentions, count(*) AS n FROM n WHERE ayes IS NOT NULL AND noes IS NOT NULL GROUP BY report_id, ayes, noes, abstentions"))
+@R.query("divisions_dedup", current_sql(_DIV_SQL +
+    " SELECT report_id, min((turn, key, pos))[2] AS key, ayes, noes, abstentions, count(*) AS n FROM n WHERE ayes IS NOT NULL AND noes IS NOT NULL GROUP BY "
+    "report_id, ayes, noes, abstentions"))
 def divisions_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The different results that a report declares, and where each is first."""
     t = Tables(spark, d).turn.select("key", "report_id", "turn", "text")
@@ -337,7 +341,9 @@ FOR_OFFICE = r"(?i)\(for\s+the\s+"
 PERMISSION = r"(?i)may I (?:please )?(?:have|seek) (?:your )?permission|address oral Question|answer Question Nos?|may I please address"
 
 
-@R.query("question_open", current_sql(f", f AS (SELECT report_id, key, turn, text FROM turn_ WHERE speaker IS NOT NULL QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY turn) = 1) SELECT report_id, key, {_hit('text', QUESTION_OPEN)} AS is_question FROM f"))
+@R.query("question_open", current_sql(
+    f", f AS (SELECT report_id, key, turn, text FROM turn_ WHERE speaker IS NOT NULL QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY turn) = 1) "
+    f"SELECT report_id, key, {_hit('text', QUESTION_OPEN)} AS is_question FROM f"))
 def question_open(spark: SparkSession, d: str) -> DataFrame:
     f = Tables(spark, d).turn.where("speaker IS NOT NULL").groupBy("report_id").agg(F.min(F.struct("turn", "key", F.col("text").rlike(QUESTION_OPEN).alias("is_question"))).alias("f"))
     return f.select("report_id", "f.key", "f.is_question")

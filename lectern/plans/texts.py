@@ -39,7 +39,9 @@ def tokenise(spark: SparkSession, d: str) -> DataFrame:
     return t.select("key", F.size("ts").cast("long").alias("n"), F.md5(F.array_join("ts", " ")).alias("tokens_md5"))
 
 
-@R.query("sentences_lossless", current_sql(r", t AS (SELECT key, text, regexp_extract_all(text, '[^.!?]*[.!?]+\s*|[^.!?]+$') AS x FROM turn_ WHERE text IS NOT NULL) SELECT key, len(x) AS n, md5(array_to_string(x, '')) = md5(text) AS lossless FROM t"))
+@R.query("sentences_lossless", current_sql(
+    r", t AS (SELECT key, text, regexp_extract_all(text, '[^.!?]*[.!?]+\s*|[^.!?]+$') AS x FROM turn_ WHERE text IS NOT NULL) SELECT key, len(x) AS n, "
+    r"md5(array_to_string(x, '')) = md5(text) AS lossless FROM t"))
 def sentences_lossless(spark: SparkSession, d: str) -> DataFrame:
     x = F.regexp_extract_all("text", F.lit(r"([^.!?]*[.!?]+\s*|[^.!?]+$)"), F.lit(1))
     return Tables(spark, d).turn.where("text IS NOT NULL").select("key", F.size(x).cast("long").alias("n"), (F.md5(F.array_join(x, "")) == F.md5("text")).alias("lossless"))
@@ -83,7 +85,9 @@ def dataset_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentence_rows(Tables(spark, d)).select("key", "i", F.md5("s").alias("s_md5"), X.word_count("s").alias("words"))
 
 
-@R.query("paragraphs", current_sql(r", p AS (SELECT key, CASE WHEN contains(text, chr(10) || chr(10)) THEN regexp_split_to_array(text, '\n{2,}') ELSE string_split(text, chr(10)) END AS x FROM turn_ WHERE text IS NOT NULL) SELECT key, len(x) AS n, md5(array_to_string(x, '|')) AS md5 FROM p"))
+@R.query("paragraphs", current_sql(
+    r", p AS (SELECT key, CASE WHEN contains(text, chr(10) || chr(10)) THEN regexp_split_to_array(text, '\n{2,}') ELSE string_split(text, chr(10)) END AS x "
+    r"FROM turn_ WHERE text IS NOT NULL) SELECT key, len(x) AS n, md5(array_to_string(x, '|')) AS md5 FROM p"))
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
     x = F.when(F.contains("text", F.lit("\n\n")), F.split("text", r"\n{2,}")).otherwise(F.split("text", r"\n"))
     return Tables(spark, d).turn.where("text IS NOT NULL").select("key", F.size(x).cast("long").alias("n"), F.md5(F.array_join(x, "|")).alias("md5"))
@@ -103,13 +107,18 @@ def norm_map(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "pronoun_neutral",
-    current_sql(r"SELECT key, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s$%]', ' ', 'g'), '\b(i|we|our|ours|us|my|mine|its|it|they|their|theirs|them|he|she|his|her|him|you|your|yours)\b', ' ', 'g'), '\s+', ' ', 'g'))) AS neutral_md5 FROM turn_ WHERE text IS NOT NULL"),
+    current_sql(
+        r"SELECT key, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s$%]', ' ', 'g'), "
+        r"'\b(i|we|our|ours|us|my|mine|its|it|they|their|theirs|them|he|she|his|her|him|you|your|yours)\b', ' ', 'g'), '\s+', ' ', 'g'))) AS neutral_md5 FROM "
+        r"turn_ WHERE text IS NOT NULL"),
 )
 def pronoun_neutral(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).turn.where("text IS NOT NULL").select("key", F.md5(X.pronoun_neutral("text")).alias("neutral_md5"))
 
 
-@R.query("member_slug", "SELECT member_id, 'sg-mp:' || regexp_replace(regexp_replace(replace(lower(translate(full_name, 'áàâäãåéèêëíìîïóòôöõúùûüçñ', 'aaaaaaeeeeiiiiooooouuuucn')), '/', ''), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM roster")
+@R.query("member_slug",
+    "SELECT member_id, 'sg-mp:' || regexp_replace(regexp_replace(replace(lower(translate(full_name, 'áàâäãåéèêëíìîïóòôöõúùûüçñ', "
+    "'aaaaaaeeeeiiiiooooouuuucn')), '/', ''), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM roster")
 def member_slug(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "roster").select("member_id", F.concat(F.lit("sg-mp:"), X.slug(F.replace("full_name", F.lit("/"), F.lit("")))).alias("slug"))
 
@@ -140,7 +149,10 @@ def constituency(spark: SparkSession, d: str) -> DataFrame:
     return s.select("speaker", seat.alias("seat"))
 
 
-@R.query("split_names", current_sql(r", n AS (SELECT report_id, unnest(string_split(regexp_replace(regexp_replace(mp_names, '(\([^()]*\))|,', '\1' || chr(1), 'g'), '(\([^()]*\))' || chr(1), '\1', 'g'), chr(1))) AS name FROM report_ WHERE mp_names IS NOT NULL) SELECT report_id, trim(name) AS name, count(*) AS n FROM n WHERE trim(name) <> '' GROUP BY 1, 2"))
+@R.query("split_names", current_sql(
+    r", n AS (SELECT report_id, unnest(string_split(regexp_replace(regexp_replace(mp_names, '(\([^()]*\))|,', '\1' || chr(1), 'g'), '(\([^()]*\))' || "
+    r"chr(1), '\1', 'g'), chr(1))) AS name FROM report_ WHERE mp_names IS NOT NULL) SELECT report_id, trim(name) AS name, count(*) AS n FROM n WHERE "
+    r"trim(name) <> '' GROUP BY 1, 2"))
 def split_names(spark: SparkSession, d: str) -> DataFrame:
     """Names divided by commas outside brackets."""
     n = Tables(spark, d).report.where("mp_names IS NOT NULL").select("report_id", F.explode(F.split("mp_names", r",(?![^()]*\))")).alias("name"))
@@ -153,7 +165,9 @@ def figure_context(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).turn.where(F.contains("text", F.lit("%"))).select("key", at.cast("long").alias("at"), F.substring(F.col("text"), F.greatest(F.lit(1), at - 40), F.lit(60)).alias("context"))
 
 
-@R.query("trim_words", current_sql(r"SELECT key, CASE WHEN length(trim(text)) <= 120 THEN trim(text) ELSE regexp_replace(regexp_replace(substr(trim(text), 1, 120), ' [^ ]*$', ''), '[,;:]+$', '') || ' …' END AS short FROM turn_ WHERE text IS NOT NULL"))
+@R.query("trim_words", current_sql(
+    r"SELECT key, CASE WHEN length(trim(text)) <= 120 THEN trim(text) ELSE regexp_replace(regexp_replace(substr(trim(text), 1, 120), ' [^ ]*$', ''), "
+    r"'[,;:]+$', '') || ' …' END AS short FROM turn_ WHERE text IS NOT NULL"))
 def trim_words(spark: SparkSession, d: str) -> DataFrame:
     t = F.trim("text")
     cut = F.concat(F.regexp_replace(F.regexp_replace(F.substring(t, 1, 120), " [^ ]*$", ""), "[,;:]+$", ""), F.lit(" …"))
@@ -168,12 +182,17 @@ def pages(t: Tables) -> DataFrame:
     return t.turn.where("text IS NOT NULL").select("key", F.expr(_PAGE_SQL.replace("chr(10)", "'\\n'")).alias("html"))
 
 
-@R.query("html_to_text", current_sql(f", p AS (SELECT key, {_PAGE_SQL} AS html FROM turn_ WHERE text IS NOT NULL) SELECT key, md5(trim(regexp_replace({X.UNESCAPED_SQL.format('regexp_replace(html, ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '\\s+', ' ', 'g'))) AS text_md5 FROM p"))
+@R.query("html_to_text", current_sql(
+    f", p AS (SELECT key, {_PAGE_SQL} AS html FROM turn_ WHERE text IS NOT NULL) SELECT key, "
+    f"md5(trim(regexp_replace({X.UNESCAPED_SQL.format('regexp_replace(html, ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, "
+    f"'\\s+', ' ', 'g'))) AS text_md5 FROM p"))
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return pages(Tables(spark, d)).select("key", F.md5(F.trim(F.regexp_replace(X.unescaped(F.regexp_replace("html", "<[^>]+>", " ")), r"\s+", " "))).alias("text_md5"))
 
 
-@R.query("html_paragraphs", current_sql(f", p AS (SELECT key, regexp_extract_all({_PAGE_SQL}, '(?s)<p>(.*?)</p>', 1) AS x FROM turn_ WHERE text IS NOT NULL) SELECT key, len(x) AS n, md5(array_to_string(x, chr(10))) AS md5 FROM p"))
+@R.query("html_paragraphs", current_sql(
+    f", p AS (SELECT key, regexp_extract_all({_PAGE_SQL}, '(?s)<p>(.*?)</p>', 1) AS x FROM turn_ WHERE text IS NOT NULL) SELECT key, len(x) AS n, "
+    f"md5(array_to_string(x, chr(10))) AS md5 FROM p"))
 def html_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     x = F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1))
     return pages(Tables(spark, d)).select("key", F.size(x).cast("long").alias("n"), F.md5(F.array_join(x, "\n")).alias("md5"))
@@ -187,13 +206,17 @@ def html_turns(spark: SparkSession, d: str) -> DataFrame:
     return page_turns(pages(Tables(spark, d)), "key", "html")
 
 
-@R.query("id_parts", current_sql(r"SELECT id, regexp_extract(id, '^(.*)#t(\d+)#c(\d+)$', 1) AS report, TRY_CAST(regexp_extract(id, '^(.*)#t(\d+)#c(\d+)$', 2) AS INTEGER) AS turn, TRY_CAST(regexp_extract(id, '^(.*)#t(\d+)#c(\d+)$', 3) AS INTEGER) AS part FROM chunk_"))
+@R.query("id_parts", current_sql(
+    r"SELECT id, regexp_extract(id, '^(.*)#t(\d+)#c(\d+)$', 1) AS report, TRY_CAST(regexp_extract(id, '^(.*)#t(\d+)#c(\d+)$', 2) AS INTEGER) AS turn, "
+    r"TRY_CAST(regexp_extract(id, '^(.*)#t(\d+)#c(\d+)$', 3) AS INTEGER) AS part FROM chunk_"))
 def id_parts(spark: SparkSession, d: str) -> DataFrame:
     part = lambda i: F.regexp_extract("id", r"^(.*)#t(\d+)#c(\d+)$", i)
     return Tables(spark, d).chunk.select("id", part(1).alias("report"), part(2).try_cast("int").alias("turn"), part(3).try_cast("int").alias("part"))
 
 
-@R.query("token_estimate", current_sql(r"SELECT key, len(regexp_extract_all(text, '[A-Za-z0-9]+|[.,;:!?''\x22()%-]+')) + 2 AS tokens, length(text) // 4 AS quarter, length(text) // 4 > 2048 AS over FROM turn_ WHERE text IS NOT NULL"))
+@R.query("token_estimate", current_sql(
+    r"SELECT key, len(regexp_extract_all(text, '[A-Za-z0-9]+|[.,;:!?''\x22()%-]+')) + 2 AS tokens, length(text) // 4 AS quarter, length(text) // 4 > 2048 AS "
+    r"over FROM turn_ WHERE text IS NOT NULL"))
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9]+|[.,;:!?'\x22()%-]+)"), F.lit(1))) + 2
     quarter = F.floor(F.length("text") / 4)
@@ -230,7 +253,9 @@ def clock_minutes_query(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).turn.where("time IS NOT NULL").select("key", "time", clock_minutes("time").alias("minutes"))
 
 
-@R.query("selection_target", current_sql(X.SENT_SQL + " SELECT report_id, count(*) AS n, CAST(least(greatest(8, CAST(round(0.14 * count(*) - 0.000001) AS BIGINT)), greatest(1, CAST(round(0.6 * count(*) - 0.000001) AS BIGINT))) AS BIGINT) AS target FROM sent_ GROUP BY 1"))
+@R.query("selection_target", current_sql(X.SENT_SQL +
+    " SELECT report_id, count(*) AS n, CAST(least(greatest(8, CAST(round(0.14 * count(*) - 0.000001) AS BIGINT)), greatest(1, CAST(round(0.6 * count(*) - "
+    "0.000001) AS BIGINT))) AS BIGINT) AS target FROM sent_ GROUP BY 1"))
 def selection_target(spark: SparkSession, d: str) -> DataFrame:
     part = lambda p: F.round(F.lit(p) * F.col("n") - 0.000001).cast("long")
     n = sentence_rows(Tables(spark, d)).groupBy("report_id").agg(F.count("*").alias("n"))
@@ -257,13 +282,19 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return scored.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@R.query("bm25_stats", f"WITH t AS (SELECT doc_id, {X.TOKENS_SQL.format('text')} AS ts FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(ts) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY 1")
+@R.query("bm25_stats",
+    f"WITH t AS (SELECT doc_id, {X.TOKENS_SQL.format('text')} AS ts FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(ts) AS term FROM t) "
+    f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY 1")
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     p = postings(load(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-_COS_SQL = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), c AS (SELECT label, vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), q) / greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(q, q)), 1e-12) AS cos FROM embeddings, q)"
+_COS_SQL = (
+    "q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), c AS (SELECT label, vec_id, "
+    "list_dot_product(CAST(embedding AS DOUBLE[]), q) / greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * "
+    "sqrt(list_dot_product(q, q)), 1e-12) AS cos FROM embeddings, q)"
+)
 
 
 def query_cosines(spark: SparkSession, d: str) -> DataFrame:
@@ -365,7 +396,10 @@ def figures_topk(spark: SparkSession, d: str) -> DataFrame:
 
 # Phrases of formal corrections, of the speaker's own words, and of corrections as an instrument of policy.
 _HIGH = r"(?i)factual correction|should read as follows|correction to the (reply|answer|statement)"
-_SELF = r"(?i)to the reply given|to what i said|my reply should read|my (statement|answer) should read|i wish to (make|correct)|i would like to correct|to (my|the) (earlier|previous) (reply|statement)|at the sitting on|at the sitting of"
+_SELF = (
+    r"(?i)to the reply given|to what i said|my reply should read|my (statement|answer) should read|i wish to (make|correct)|i would like to correct|to "
+    r"(my|the) (earlier|previous) (reply|statement)|at the sitting on|at the sitting of"
+)
 _MECHANISM = r"(?i)pofma|protection from online falsehoods|falsehood|false claim|issue a correction|correction direction|publisher"
 
 
