@@ -90,8 +90,15 @@ def where(test: Callable[[str, int], bool], part: Parser) -> Parser:
 
 # Hesitation sounds, words of notes in round brackets, lines that only record proceedings.
 HESITATION = r"(?:u+h*m+|u+h+|e+r+m*|a+h+|m{2,}|h+m+|e+h+)"
-SOUNDS = r"laugh|chuckl|giggl|cough|sneez|applau|cheer|clap|thump|bang|crosstalk|cross-talk|interject|interrupt|inaudible|indistinct|unclear|microphone|\bmic\b|pause|silence|noise|shout|jeer|heckl|hear, hear|murmur|sigh|gavel|desk|bell rings|music|phone rings|off-mic|overlapping"
-PROCEEDINGS = r"(?:\(proc text\)\s*)?(?:Question put,? and (?:agreed to|negatived)|Amendment, by leave, withdrawn|The House divided|Sitting (?:suspended|resumed)[^.]*|Debate (?:resumed|adjourned)|Bill accordingly read a[^.]*|Clauses? [\w ,-]* ordered to stand part[^.]*|Order (?:read|for)[^.]*|Adjourned accordingly[^.]*)\.?(?:\s*\(proc text\))?"
+SOUNDS = (
+    r"laugh|chuckl|giggl|cough|sneez|applau|cheer|clap|thump|bang|crosstalk|cross-talk|interject|interrupt|inaudible|indistinct|unclear|microphone|\bmic\b|pause|silence|noise|shout|jeer|heckl|hear, "
+    r"hear|murmur|sigh|gavel|desk|bell rings|music|phone rings|off-mic|overlapping"
+)
+PROCEEDINGS = (
+    r"(?:\(proc text\)\s*)?(?:Question put,? and (?:agreed to|negatived)|Amendment, by leave, withdrawn|The House divided|Sitting "
+    r"(?:suspended|resumed)[^.]*|Debate (?:resumed|adjourned)|Bill accordingly read a[^.]*|Clauses? [\w ,-]* ordered to stand part[^.]*|Order "
+    r"(?:read|for)[^.]*|Adjourned accordingly[^.]*)\.?(?:\s*\(proc text\))?"
+)
 LANGUAGES = r"English|Mandarin|Chinese|Malay|Tamil|Indonesian|Hindi|Hokkien|Teochew|Cantonese|vernacular"
 CLOCK = r"\d{1,2}(?::\d{2}){1,2}(?:\s*[ap]\.?\s?m\.?)?|\d{1,2}[.:]\d{2}\s*[ap]\.?\s?m\.?"
 
