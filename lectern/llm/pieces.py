@@ -93,32 +93,41 @@ def _opened(address: str) -> pa.NativeFile:
 
 def file_ranges(spark: SparkSession, path: str, limit: int = LIMIT, size: int = 4 * RANGE) -> DataFrame:
     """The same for each UTF-8 file of a folder, or one, that all workers see, in ranges of `size` bytes. A worker
-    reads its range and halos alone; no file is read as a whole. key is the file's address."""
+    reads its range and halos alone; no file is read as a whole. key is the file's address. For many or large
+    files there is `cut_files`, through which no text passes but the pieces."""
     files = _files(spark, path)
     # one row a file: where its ranges begin among all
     starts = [0, *accumulate(-(-n // size) for _, n in files)]
 
-    def char_start(data: bytes, i: int) -> int:
-        while i < len(data) and data[i] & 0xC0 == 0x80:
-            i += 1
-        return i
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for n in batch.column(0).to_pylist():
                 which = bisect_right(starts, n) - 1
-                address, total = files[which]
-                r = n - starts[which]
-                a, b = r * size, min(total, (r + 1) * size)
-                low = max(0, a - 4 * HALO)
-                with _opened(address) as f:
-                    data = f.read_at(min(total, b + 4 * (limit + HALO)) - low, low)
-                i, j, k = (char_start(data, x) for x in (0, a - low, b - low))
-                left, core = data[i:j].decode(), data[j:k].decode()
-                yield address, r, len(left), len(core), left + core + data[k:].decode("utf-8", "ignore")
+                yield files[which][0], n - starts[which], *_read_range(*files[which], n - starts[which], limit, size)
 
     types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-    return spark.range(0, starts[-1], 1, max(1, min(starts[-1], FILE_TASKS))).mapInArrow(lambda it: _batches(cut(it), _RANGES.names, types, 1), _RANGES)
+    return _range_numbers(spark, starts[-1]).mapInArrow(lambda it: _batches(cut(it), _RANGES.names, types, 1), _RANGES)
+
+
+def _range_numbers(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(0, n, 1, max(1, min(n, FILE_TASKS)))
+
+
+def _read_range(address: str, total: int, r: int, limit: int, size: int) -> tuple[int, int, str]:
+    """Characters before a range's core, its own, and both with those behind it, of a UTF-8 file of so many bytes."""
+
+    def char_start(data: bytes, i: int) -> int:
+        while i < len(data) and data[i] & 0xC0 == 0x80:
+            i += 1
+        return i
+
+    a, b = r * size, min(total, (r + 1) * size)
+    low = max(0, a - 4 * HALO)
+    with _opened(address) as f:
+        data = f.read_at(min(total, b + 4 * (limit + HALO)) - low, low)
+    i, j, k = (char_start(data, x) for x in (0, a - low, b - low))
+    left, core = data[i:j].decode(), data[j:k].decode()
+    return len(left), len(core), left + core + data[k:].decode("utf-8", "ignore")
 
 
 def _core_units(flat: str, at: list[int] | None, opens: set[int], left: int, core: int) -> tuple[list[int], list[int], bool, bool]:
@@ -160,22 +169,27 @@ def range_borders(ranges: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for k, r, left, core, text in zip(*(c.to_pylist() for c in batch.columns)):
-                flat, at = flat_form(text[: left + core + HALO])
-                quoted = '"' in flat and _SCRIPTS["mandarin"].search(flat)
-                first = bisect_left(at, left) if at is not None else left
-                stop = bisect_left(at, left + core) if at is not None else left + core
-                found = []
-                for inside in (False, True):
-                    opens = {first + i for i in _opening(flat[first:], inside)[0]} if quoted else set()
-                    s, e, fresh, closed = _core_units(flat, at, opens, left, core)
-                    found.append((s, e, fresh, closed, _opening(flat[first:stop], inside)[1]))
-                (s0, e0, f0, c0, o0), (s1, e1, f1, c1, o1) = found if quoted and r else (found[0], found[0][:4] + (found[1][4],))
-                yield k, r, core, s0, e0, s1, e1, [], f0, c0, o0, f1, c1, o1
-
-    ints = pa.list_(pa.int32())
-    types = [pa.string(), pa.int32(), pa.int32(), *[ints] * 5, *[pa.bool_()] * 6]
-    return ranges.mapInArrow(lambda it: _batches(find(it), _BORDERS.names, types), _BORDERS)
+            for i in range(batch.num_rows):
+                yield _borders_of(*(c[i].as_py() for c in batch.columns))
+
+    return ranges.mapInArrow(lambda it: _batches(find(it), _BORDERS.names, _BORDER_TYPES), _BORDERS)
+
+
+_BORDER_TYPES = [pa.string(), pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 5, *[pa.bool_()] * 6]
+
+
+def _borders_of(key: str, r: int, left: int, core: int, text: str) -> tuple:
+    """A row of borders."""
+    flat, at = flat_form(text[: left + core + HALO])
+    quoted = '"' in flat and _SCRIPTS["mandarin"].search(flat)
+    first = bisect_left(at, left) if at is not None else left
+    stop = bisect_left(at, left + core) if at is not None else left + core
+    found = []
+    for inside in (False, True) if quoted and r else (False,):
+        opens = {first + i for i in _opening(flat[first:], inside)[0]} if quoted else set()
+        found.append((*_core_units(flat, at, opens, left, core), _opening(flat[first:stop], inside)[1]))
+    (s0, e0, f0, c0, o0), (s1, e1, f1, c1, o1) = found if len(found) == 2 else (found[0], (*found[0][:4], _opening(flat[first:stop], True)[1]))
+    return key, r, core, s0, e0, s1, e1, [], f0, c0, o0, f1, c1, o1
 
 
 def stitch(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -416,14 +430,43 @@ def plan_files(borders: DataFrame, limit: int = LIMIT, low: int = LOW, high: int
     )
 
 
-def cut_files(ranges: DataFrame, limit: int = LIMIT, low: int = LOW, high: int = HIGH) -> DataFrame:
-    """The same for files of any size: no task has more of a file than a few ranges' borders.
+def cut_files(spark: SparkSession, path: str, limit: int = LIMIT, low: int = LOW, high: int = HIGH, size: int = 4 * RANGE) -> DataFrame:
+    """key, part, n_parts, char_start, char_end, natural, piece of each UTF-8 file of a folder, or of one, of any size.
 
-    A file's pieces end where the first unit that ends in a range does, so that each range is planned by itself, with
-    the borders near it of its neighbours; quotation states and offsets come from blocks of ranges. Only in ranges
-    where units don't allow natural pieces do they end at blanks. Ranges must be longer than twice the limit.
+    Files are read by byte ranges, once for their borders and once for the pieces; their text is never
+    shuffled, and no task has more of it than a range. A file's pieces end where the first unit that ends in
+    a range does, so that each range is planned by itself, with the borders near it of its neighbours;
+    quotation states and offsets come from blocks of ranges. Only in ranges where units don't allow natural
+    pieces do they end at blanks. Ranges must be longer than twice the limit. An empty file has no pieces.
     """
-    return _emitted(plan_files(range_borders(ranges), limit, low, high), ranges, limit, low, high)
+    files = _files(spark, path)
+    starts = [0, *accumulate(-(-n // size) for _, n in files)]
+    sizes = dict(files)
+    _, _, reach = _grid_step(limit, low, high)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                which = bisect_right(starts, n) - 1
+                address, r = files[which][0], n - starts[which]
+                yield _borders_of(address, r, *_read_range(*files[which], r, limit, size))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for address, r, todo in zip(*(c.to_pylist() for c in batch.columns)):
+                left, _, text = _read_range(address, sizes[address], r, limit, size)
+                for x in todo:
+                    a = left + x["local"]
+                    b = a + x["char_end"] - x["char_start"]
+                    s, e = _snap(text, a, reach) if x["snap_start"] else a, _snap(text, b, reach) if x["snap_end"] else b
+                    yield address, x["part"], x["n_parts"], x["char_start"] + s - a, x["char_end"] + e - b, x["natural"], text[s:e]
+
+    borders = _range_numbers(spark, starts[-1]).mapInArrow(lambda it: _batches(find(it), _BORDERS.names, _BORDER_TYPES, 4), _BORDERS)
+    plan = plan_files(borders, limit, low, high)
+    by_range = plan.groupBy("key", "r").agg(F.collect_list(F.struct("part", "n_parts", "char_start", "char_end", "local", "natural", "snap_start", "snap_end")).alias("x"))
+    schema = _struct(key=T.StringType(), part=T.IntegerType(), n_parts=T.IntegerType(), char_start=T.LongType(), char_end=T.LongType(), natural=T.BooleanType(), piece=T.StringType())
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+    return by_range.mapInArrow(lambda it: _batches(emit(it), schema.names, types), schema)
 
 
 @F.pandas_udf(_INTS)

@@ -68,7 +68,7 @@ def p6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     each file, numbered by its name, with their hash."""
     folder = f"{shared_folder(spark)}/files-{uuid4().hex}"
     load(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.translate("text", "\r", "\n").alias("value")).write.text(folder)
-    cut = pieces.cut_files(pieces.file_ranges(spark, folder))
+    cut = pieces.cut_files(spark, folder)
     file = F.regexp_extract("key", r"part-(\d+)", 1).cast("int").alias("file")
     return cut.select(file, "part", "n_parts", "char_start", "char_end", "natural", F.md5("piece").alias("md5"))
 

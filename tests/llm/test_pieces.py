@@ -69,7 +69,7 @@ def test_files_by_blocks_of_ranges(spark, tmp_path, monkeypatch):
     states = {(r.key[-1], r.r): r.inside for r in pieces.range_states(pieces.range_borders(ranges), 3).collect()}
     assert all(states[k, 0] is False for k in texts)
     got: dict = {}
-    for r in cut_files(ranges, 600, 20, 90).collect():
+    for r in cut_files(spark, str(tmp_path), 600, 20, 90, 3000).collect():
         got.setdefault(r.key[-1], []).append(r)
     assert set(got) == set(texts)
     for k, t in texts.items():
