@@ -23,8 +23,8 @@ def _is(term: str, x: Column) -> Column:
     return x == term
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: list[str], every: bool = False) -> DataFrame:
-    """key, score of the documents with a query term, or of `every` one; a term asked twice counts twice.
+def bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
+    """key, score of the documents with a query term; a term asked twice counts twice.
 
     Statistics come from one pass over all documents, scores from another, which takes apart only texts in
     which a term occurs as letters. Words are found once a pass: the array of them is generated, a barrier
@@ -39,10 +39,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], every: bool = F
 
     totals = counted(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(weights))))
     low = F.lower(F.col(text))
-    some = docs if every else docs.where(reduce(or_, [F.contains(low, F.lit(t)) for t in weights], F.lit(False)))
-    hits = counted(some)
-    if not every:
-        hits = hits.where(F.greatest(F.lit(0), F.lit(0), *(F.col(f"tf{i}") for i in range(len(weights)))) > 0)
+    some = docs.where(reduce(or_, [F.contains(low, F.lit(t)) for t in weights], F.lit(False)))
+    hits = counted(some).where(F.greatest(F.lit(0), F.lit(0), *(F.col(f"tf{i}") for i in range(len(weights)))) > 0)
     j = hits.withColumn("t", totals.select(F.struct("*")).scalar())
     score: Column = F.lit(0.0)
     for i, w in enumerate(weights.values()):

@@ -13,7 +13,7 @@ from lectern.functions import text as X
 from lectern.operators.current import Tables, current_sql
 from lectern.operators.ranking import bm25, cosine
 from lectern.plans.registry import Registry
-from lectern.sources import load
+from lectern.sources import checkpointed, load
 
 R = Registry()
 
@@ -82,7 +82,10 @@ def retrieve(chunks: DataFrame, pairs: DataFrame, question: str, k: int = TURNS)
     rows = reduce(DataFrame.where, where, chunks.where("cite_text IS NOT NULL"))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "cite_text"))), lambda x: x["cite_text"]), " ")
     pool = rows.groupBy("turn_key").agg(texts.alias("text"))
-    scored = bm25(pool, "turn_key", "text", c.tokens, every=True).withColumn("score", F.round("score", 6))
+    scored = bm25(pool, "turn_key", "text", c.tokens).withColumn("score", F.round("score", 6))
+    # turns without a word of the question follow with 0, by key; of those no more than k can be wanted
+    none = pool.select("turn_key", F.lit(0.0).alias("score")).orderBy("turn_key").limit(2 * k)
+    scored = scored.unionByName(none).groupBy("turn_key").agg(F.max("score").alias("score"))
     best = scored.orderBy(F.desc("score"), "turn_key").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "turn_key")))  # k rows
     mend = pairs.where("supersede_turn IS NOT NULL").groupBy("announce_turn").agg(F.min("supersede_turn").alias("turn_key"))
     above = best.select(F.col("turn_key").alias("announce_turn"), F.col("rank").alias("above")).join(mend, "announce_turn").groupBy("turn_key").agg(F.min("above").alias("above"))
@@ -128,7 +131,8 @@ _ALL_SQL = ", " + ",\n".join(_retrieve_sql(n, x) for n, x in enumerate(QUESTIONS
 def constrained_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Each question's turns or its refusal; see `retrieve`."""
     t = Tables(spark, d)
-    return reduce(DataFrame.unionByName, [retrieve(t.chunk, t.pair, x).select(F.lit(n).alias("question"), "*") for n, x in enumerate(QUESTIONS)])
+    chunks = checkpointed(t.chunk.select("turn_key", "part", "year", "cite_text").repartition("turn_key"))  # for all questions
+    return reduce(DataFrame.unionByName, [retrieve(chunks, t.pair, x).select(F.lit(n).alias("question"), "*") for n, x in enumerate(QUESTIONS)])
 
 
 @R.query(
