@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.sources import checkpointed
+
 
 def numbered(rows: DataFrame, by: list[str], order: list, out: str) -> DataFrame:
     """Rows numbered from 0 within each group."""
@@ -104,3 +106,18 @@ def neighbours(rows: DataFrame, group: str, order: str, columns: list[str], befo
     own = F.struct(*(F.col(c).alias(c) for c in columns))
     out = rows.join(ends, [group, "__block"]).withColumn("__own", (F.lag(own) if before else F.lead(own)).over(within))
     return out.withColumns({f"__{c}": F.when(F.col("__own").isNotNull(), F.col(f"__own.{c}")).otherwise(F.col(f"__near.{c}")) for c in columns}).drop("__block", "__own", "__near")
+
+
+def ranked_by_range(rows: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
+    """Rows numbered from 1 within each group in an order that has no ties, whatever the group's size.
+
+    Rows are divided by ranges of group and order, and written once as they lie; each range numbers its own, and begins
+    where those before it in the group end.
+    """
+    laid = checkpointed(rows.repartitionByRange(group, *order).withColumn("__range", F.spark_partition_id()))
+    counts = laid.groupBy(group, "__range").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(F.col(group).alias("__group"), "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    within = F.row_number().over(Window.partitionBy("__range", group).orderBy(*order))
+    j = laid.withColumn("__rn", within).join(base.withColumnRenamed("__range", "__r"), (F.col("__range") == F.col("__r")) & F.col("__group").eqNullSafe(F.col(group)))
+    return j.withColumn(out, F.col("__base") + F.col("__rn")).drop("__range", "__r", "__group", "__base", "__rn")

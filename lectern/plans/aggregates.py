@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.ids import content_hash
 from lectern.operators.current import Tables, current_sql, first_wins
-from lectern.operators.sequences import block_numbered, carried_forward, islands, neighbours, numbered, running_total
+from lectern.operators.sequences import block_numbered, carried_forward, islands, neighbours, numbered, ranked_by_range, running_total
 from lectern.plans.registry import Registry
 from lectern.sources import load
 
@@ -397,7 +397,9 @@ def antecedent_repair(spark: SparkSession, d: str) -> DataFrame:
 SELECT year, report_id, key, rn, pos FROM q WHERE pos <= 25"""),
 )
 def round_robin_cap(spark: SparkSession, d: str) -> DataFrame:
-    r = numbered(Tables(spark, d).turn.select("year", "report_id", "key", "words"), ["report_id"], [F.desc("words"), "key"], "rn").withColumn("rn", F.col("rn") + 1)
+    # a report has at most all 25 places of its year: of more rows none is ordered
+    first = F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("words"), "key"))
+    r = Tables(spark, d).turn.select("year", "report_id", "key", "words").withColumn("rn", first).where("rn <= 25")
     return r.withColumn("pos", F.row_number().over(Window.partitionBy("year").orderBy("rn", "report_id"))).where("pos <= 25").select("year", "report_id", "key", "rn", "pos")
 
 
@@ -416,13 +418,13 @@ SELECT key, report_id, row_number() OVER (PARTITION BY report_id ORDER BY least(
 def promote_correction(spark: SparkSession, d: str) -> DataFrame:
     """A corrected passage that ranks below its announcement moves directly above it."""
     t = Tables(spark, d)
-    ranked = numbered(t.turn.select("key", "report_id", "words"), ["report_id"], [F.desc("words"), "key"], "rank").drop("words")
+    ranked = ranked_by_range(t.turn.select("key", "report_id", "words"), "report_id", [F.desc("words"), F.asc("key")], "rank").drop("words")
     p = t.pair.where("supersede_turn IS NOT NULL").groupBy("announce_turn").agg(F.min("supersede_turn").alias("key"))
     a = ranked.select(F.col("key").alias("announce_turn"), F.col("report_id"), F.col("rank").alias("above"))
     moved = p.join(a, "announce_turn").select("key", "report_id", "above")
     j = ranked.join(moved, ["key", "report_id"], "left")
-    order = [F.least("rank", F.coalesce("above", "rank")), F.when(F.col("above") < F.col("rank"), 0).otherwise(1), F.col("rank")]
-    return j.select("key", "report_id", F.row_number().over(Window.partitionBy("report_id").orderBy(*order)).alias("place"))
+    j = j.withColumns({"o": F.least("rank", F.coalesce("above", "rank")), "late": F.when(F.col("above") < F.col("rank"), 0).otherwise(1)})
+    return ranked_by_range(j, "report_id", [F.asc("o"), F.asc("late"), F.asc("rank")], "place").select("key", "report_id", "place")
 
 
 @R.query("working_days", current_sql(

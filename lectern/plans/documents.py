@@ -386,18 +386,6 @@ def brief_gate(spark: SparkSession, d: str) -> DataFrame:
     return c.select("report_id", ((F.col("cited") > 0) & (F.col("blank") == 0) & ((share >= 0.15) | (F.col("turns") <= 1))).alias("passed"), F.round(share, 4).alias("coverage"))
 
 
-@R.query(
-    "selection_pipeline",
-    current_sql(""", p AS (SELECT report_id, turn, row_number() OVER (PARTITION BY report_id ORDER BY words DESC, turn) AS rank, count(*) OVER (PARTITION BY report_id) AS n FROM turn_), k AS (SELECT *, least(greatest(8, n // 7), greatest(1, n * 6 // 10)) AS target FROM p)
-SELECT report_id, turn, rank, target FROM k WHERE rank <= target"""),
-)
-def selection_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("report_id")
-    p = Tables(spark, d).turn.select("report_id", "turn", F.row_number().over(w.orderBy(F.desc("words"), "turn")).alias("rank"), F.count("*").over(w).alias("n"))
-    target = F.least(F.greatest(F.lit(8), F.floor(F.col("n") / 7)), F.greatest(F.lit(1), F.floor(F.col("n") * 6 / 10)))
-    return p.withColumn("target", target).where("rank <= target").select("report_id", "turn", "rank", "target")
-
-
 @R.query("greedy_cover")
 def greedy_cover(spark: SparkSession, d: str) -> DataFrame:
     """Of each item's reports, those that add most new speakers, in turn, until none adds any."""

@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions import significance as G
 from lectern.functions import text as X
 from lectern.functions.significance import minimal_sentences
 from lectern.operators.current import Tables, current_sql
-from lectern.operators.sequences import carried_forward, neighbours, running_total
+from lectern.operators.sequences import carried_forward, neighbours, packed, running_total
 from lectern.plans.documents import marks
 from lectern.plans.registry import Registry
 from lectern.plans.retrieval import QUESTIONS, retrieve
-from lectern.sources import load
+from lectern.plans.rules import SCREEN_SQL, _hit, salience_sql
+from lectern.sources import checkpointed, load
 
 R = Registry()
 
@@ -293,3 +295,50 @@ def one_per_turn(spark: SparkSession, d: str) -> DataFrame:
     c = t.chunk.where("n_parts = 1 AND cite_text IS NOT NULL").select("id", "report_id", F.md5("cite_text").alias("h"))
     n = c.join(held, ["report_id", "h"], "left").groupBy("id").agg(F.count("key").alias("turns"))
     return n.select("id", "turns", (F.col("turns") == 1).alias("only_one"))
+
+
+# Words with which a sentence points back; characters of a chunk of which sentences are picked.
+POINTS_BACK = r"(?i)^\s*(This|That|These|Those|It|They|He|She|We|I|There|Such|However|Therefore|Thus|Hence|So|And|But|Also|Then|Now|Certainly)\b"
+CHUNK_CHARS = 24000
+
+
+@R.query(
+    "selection_pipeline",
+    current_sql(
+        f""", u AS (SELECT report_id, key, turn, speaker, text, length(text) + length(coalesce(speaker, '')) + 8 AS n, row_number() OVER (PARTITION BY report_id ORDER BY turn, key) AS rn FROM turn_ WHERE text IS NOT NULL),
+b AS (WITH RECURSIVE r AS (SELECT report_id, key, rn, 0 AS bin, n AS used FROM u WHERE rn = 1 UNION ALL SELECT u.report_id, u.key, u.rn, CASE WHEN r.used > 0 AND r.used + u.n > {CHUNK_CHARS} THEN r.bin + 1 ELSE r.bin END,
+CASE WHEN r.used > 0 AND r.used + u.n > {CHUNK_CHARS} THEN u.n ELSE r.used + u.n END FROM r JOIN u ON u.report_id = r.report_id AND u.rn = r.rn + 1) SELECT key, bin FROM r),
+se AS (SELECT report_id, key, turn, speaker, unnest(x) AS s, generate_subscripts(x, 1) - 1 AS i FROM (SELECT *, {X.SENTENCES_SQL.format('text')} AS x FROM u)),
+k AS (SELECT report_id, key, turn, i, s, bin, row_number() OVER (PARTITION BY report_id ORDER BY turn, key, i) AS place, count(*) OVER (PARTITION BY report_id) AS n, {SCREEN_SQL} IS NULL AND {salience_sql('0.0')} > 4 AS wanted FROM se JOIN b USING (key)),
+c AS (SELECT report_id, place, n, bin, row_number() OVER (PARTITION BY report_id, bin ORDER BY place) AS rn FROM k WHERE wanted),
+d AS (SELECT report_id, place FROM (SELECT report_id, place, n, row_number() OVER (PARTITION BY report_id ORDER BY rn, bin) AS pos FROM c) WHERE pos <= least(greatest(8, round(0.14 * n - 0.000001)), greatest(1, round(0.6 * n - 0.000001)))),
+m AS (SELECT k.*, d.place IS NOT NULL AS kept FROM k LEFT JOIN d ON d.report_id = k.report_id AND d.place = k.place),
+e AS (SELECT *, lead(kept) OVER w AND lead({_hit('s', POINTS_BACK)}) OVER w AS needed FROM m WINDOW w AS (PARTITION BY report_id ORDER BY place))
+SELECT report_id, key, CAST(i AS INTEGER) AS i, NOT kept AS repaired FROM e WHERE kept OR coalesce(needed, false)"""
+    ),
+)
+def selection_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """What is kept of a report: its telling sentences, chunk by chunk in turn and in the order of the text, up to the target
+    that follows from the number of its sentences; then, beyond that, the sentence before each that points back."""
+    turns = Tables(spark, d).turn.where("text IS NOT NULL").select("report_id", "key", "turn", "speaker", "text")
+    bins = packed(turns.withColumn("n", F.length("text") + F.length(F.coalesce("speaker", F.lit(""))) + 8), "report_id", ["turn", "key"], "n", CHUNK_CHARS)
+    s = turns.select("report_id", "key", "turn", "speaker", F.posexplode(X.sentences("text")).alias("i", "s"))
+    wanted = G.screen("s", "speaker").isNull() & (G.salience("s") > 4)
+    s = s.select("report_id", "key", "turn", "i", wanted.alias("wanted"), F.col("s").rlike(POINTS_BACK).alias("back"))
+    # sentences by one number, turns in blocks of 64
+    s = s.withColumn("at", F.shiftleft(F.col("turn").cast("long"), 20) + F.col("i")).join(bins.select("key", "bin"), "key")
+    s = checkpointed(s)
+    n = s.groupBy("report_id").agg(F.count("*").alias("n"))
+    part = lambda p: F.round(F.lit(p) * F.col("n") - 0.000001)
+    target = n.select("report_id", F.least(F.greatest(F.lit(8.0), part(0.14)), F.greatest(F.lit(1.0), part(0.6))).alias("target"))
+    # in turn: all first ones of the chunks, then all second ones; how many are before a level is a small table
+    c = s.where("wanted").withColumn("rn", F.row_number().over(Window.partitionBy("report_id", "bin").orderBy("at")))
+    levels = c.groupBy("report_id", "rn").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("report_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = levels.select("report_id", "rn", before.alias("before"))
+    c = c.join(levels, ["report_id", "rn"]).withColumn("pos", F.col("before") + F.row_number().over(Window.partitionBy("report_id", "rn").orderBy("bin")))
+    kept = c.join(target, "report_id").where("pos <= target").select("report_id", "at", F.lit(True).alias("kept"))
+    m = s.join(kept, ["report_id", "at"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    m = neighbours(m, "report_id", "at", ["kept", "back"], before=False, block=1 << 26)
+    needed = F.coalesce(F.col("__kept") & F.col("__back"), F.lit(False))
+    return m.where(F.col("kept") | needed).select("report_id", "key", "i", (~F.col("kept")).alias("repaired"))

@@ -12,7 +12,7 @@ from lectern.operators.chunking import split_text
 from lectern.operators.cover import greedy
 from lectern.operators.gates import gate, verdict
 from lectern.operators.ranking import bm25, cosine, fuse
-from lectern.operators.sequences import block_numbered, carried_forward, kept_spans, neighbours, packed, running_total
+from lectern.operators.sequences import block_numbered, carried_forward, kept_spans, neighbours, packed, ranked_by_range, running_total
 from lectern.plans.documents import R as DOCUMENTS
 from lectern.plans.documents import working_days_between
 from lectern.sources import files
@@ -61,6 +61,16 @@ def test_packed(spark):
     assert bins == {"a": [0, 0, 1, 2, 3, 3], "b": [0, 0], None: [0, 1]}
 
 
+def test_ranks_by_range(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.randrange(6), i) for i in range(500) for g in [rng.choice(["a", "a", "a", "b", None])]] + [("c", 1, 999)]
+    got = ranked_by_range(spark.createDataFrame(rows, "g string, n int, i int").repartition(7), "g", [F.desc("n"), F.asc("i")], "rank").collect()
+    for g in ("a", "b", "c", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [(r.n, r.i) for r in sorted((x for x in got if x.g == g), key=lambda x: x["rank"])] == [(n, i) for _, n, i in own]
+        assert sorted(r["rank"] for r in got if r.g == g) == list(range(1, len(own) + 1))
+
+
 @pytest.mark.parametrize("block", [2, 1000])
 def test_sequences_by_blocks(spark, block):
     rng = random.Random(3)
