@@ -105,7 +105,18 @@ Compiled = tuple[bool, re.Pattern[str] | None, re.Pattern[str]]
 
 
 def _compiled(rules: list[Rule]) -> list[Compiled]:
-    return [(r.breaks, re.compile(r.before) if r.before else None, re.compile(r.after)) for r in rules]
+    """Rules as patterns. Among neighbours that decide alike the order doesn't matter: those with the same `after` are one."""
+    merged: list[Rule] = []
+    begin = 0
+    for r in rules:
+        if merged and merged[-1].breaks != r.breaks:
+            begin = len(merged)
+        i = next((i for i in range(begin, len(merged)) if r.before and merged[i].before and merged[i].after == r.after), None)
+        if i is None:
+            merged.append(r)
+        else:
+            merged[i] = merged[i]._replace(before=f"{merged[i].before}|{r.before}")
+    return [(r.breaks, re.compile(r.before) if r.before else None, re.compile(r.after)) for r in merged]
 
 
 @lru_cache(64)
@@ -115,8 +126,9 @@ def cascade(scripts: tuple[str, ...]) -> list[Compiled]:
 
 
 _SCRIPTS = {name: re.compile(f"[{chars}]") for name, (chars, _) in TABLES.items()}
-#: An end mark with what closes behind it, a line break, or the end of a Thai word before a blank.
-_CANDIDATE = re.compile(rf"[.!?{FULL}]+{_CLOSE}|\n|(?<=[{_THAI}])(?= +[{_THAI}])")
+#: An end mark with what closes behind it, or a line break; with Thai, the end of a word before a blank too.
+_CANDIDATE = re.compile(rf"[.!?{FULL}]+{_CLOSE}|\n")
+_CANDIDATE_THAI = re.compile(rf"{_CANDIDATE.pattern}|(?<=[{_THAI}])(?= +[{_THAI}])")
 _OTHER = re.compile("[\u0590-\u1aff]")
 #: How far a rule looks back.
 LOOK_BACK = 24
@@ -150,9 +162,10 @@ def _opening(text: str, inside: bool) -> tuple[set[int], bool]:
 
 def _break_ends(flat: str, opens: set[int]) -> list[int]:
     """The ends of units in a flat text, in order."""
-    rules = cascade(scripts_of(flat))
+    scripts = scripts_of(flat)
+    rules = cascade(scripts)
     ends = []
-    for m in _CANDIDATE.finditer(flat):
+    for m in (_CANDIDATE_THAI if "thai" in scripts else _CANDIDATE).finditer(flat):
         end = m.end()
         if flat[end - 1] != "\n":
             if opens:
