@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the application ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written once to the shared folder and read back."""
     shared_folder(df.sparkSession)
