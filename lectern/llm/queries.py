@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import domain, glyphs, languages, names, packing, pieces, sentences, tokens, transcripts
 from lectern.plans.registry import Registry
-from lectern.sources import load, shared_folder
+from lectern.sources import load, scratch_folder
 
 R = Registry()
 
@@ -66,7 +64,7 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts of documents, written as text files to the shared folder and cut there by byte ranges: the pieces of
     each file, numbered by its name, with their hash."""
-    folder = f"{shared_folder(spark)}/files-{uuid4().hex}"
+    folder = scratch_folder(spark, "files")
     load(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.translate("text", "\r", "\n").alias("value")).write.text(folder)
     cut = pieces.cut_files(spark, folder)
     file = F.regexp_extract("key", r"part-(\d+)", 1).cast("int").alias("file")
