@@ -3,15 +3,19 @@
 import hashlib
 import json
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
 from lectern.functions.text import MARKS_FROM, MARKS_TO
 from lectern.operators.current import Tables
 from lectern.plans.documents import R as DOCUMENTS
+from lectern.plans.forms import R as FORMS
+from lectern.plans.retrieval import R as RETRIEVAL
 from lectern.plans.rules import R as RULES
 from lectern.plans.texts import R as TEXTS
-from lectern.plans.texts import sentence_rows
+from lectern.plans.texts import pages, sentence_rows
+from lectern.sources.html import turns_of
 from test_operators import plain_split
 
 
@@ -88,3 +92,30 @@ def test_greedy_cover_covers_with_gains(spark, data):
         raise AssertionError(r)
     steps = DOCUMENTS.plans["greedy_cover"](spark, data).groupBy("item_id").agg(F.max("step").alias("m"), F.count("*").alias("n")).collect()
     assert all(s.m == s.n - 1 for s in steps)
+
+
+def test_compare_forms(spark, data):
+    t = Tables(spark, data)
+    texts = {r.key: r.text for r in t.turn.collect()}
+    form = lambda x: " ".join(unicodedata.normalize("NFKC", x or "").split())
+    expected = {}
+    for r in t.chunk.collect():
+        if r.turn_key in texts:
+            a, b = r.cite_text, texts[r.turn_key]
+            exact = a is not None and b is not None and a in b
+            expected[r.id] = "exact" if exact else "blanks_or_forms" if form(a) in form(b) else "different"
+    got = {r.id: r.found for r in FORMS.plans["compare_forms"](spark, data).collect()}
+    assert got == expected and "exact" in got.values()
+
+
+def test_page_paragraphs(spark, data):
+    html = {r.key: r.html for r in pages(Tables(spark, data)).collect()}
+    expected = {(k, i, s, md5(b)) for k, page in html.items() for i, (_, s, b) in enumerate(turns_of(page, "\n\n"))}
+    assert {(r.key, r.i, r.speaker, r.body_md5) for r in FORMS.plans["page_paragraphs"](spark, data).collect()} == expected
+
+
+def test_suggestions(spark, data):
+    found = {r.turn_key for r in RETRIEVAL.plans["constrained_retrieve"](spark, data).where("question = 0").collect()}
+    expected = {(r.date, r.report_id, r.title) for r in Tables(spark, data).turn.collect() if r.key in found}
+    rows = [tuple(r) for r in FORMS.plans["suggestions"](spark, data).collect()]
+    assert set(rows) == expected and len(rows) == len(expected) and rows == sorted(rows)
