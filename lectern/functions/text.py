@@ -60,9 +60,17 @@ def stripped(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")
 
 
+_SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z\[(])"
+
+
 def sentences(c: Column | str) -> Column:
     """Sentences that begin with a capital or a bracket."""
-    return F.filter(F.transform(F.split(col(c), r"(?<=[.!?])\s+(?=[A-Z\[(])"), stripped), lambda s: s != "")
+    return F.filter(F.transform(F.split(col(c), _SENTENCE_END), stripped), lambda s: s != "")
+
+
+def unstripped_sentences(c: Column | str) -> Column:
+    """The same sentences, with blanks around them."""
+    return F.filter(F.split(col(c), _SENTENCE_END), lambda s: s.rlike(r"\S"))
 
 
 def word_count(c: Column | str) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators.current import Tables, current_sql
 from lectern.operators.ranking import bm25, cosine, fuse, postings, top_rank
+from lectern.operators.repeats import repeated_sets
 from lectern.plans.aggregates import _CLOCK_SQL, _MINUTES_SQL, clock_minutes
 from lectern.plans.registry import Registry
-from lectern.sources import checkpointed, load
+from lectern.sources import load
 
 R = Registry()
 
@@ -341,8 +342,6 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     return n.select("key", "i", F.round(F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y")), 6).alias("overlap"))
 
 
-#: Parts into which the sentences with one word of a report are divided.
-SALTS = 8
 _ND_SQL = """, w AS (SELECT report_id, key, turn, i, list_sort(list_distinct(regexp_extract_all(lower(s), '[a-z]{4,}'))) AS ws FROM sent_), g AS (SELECT report_id, ws, min((turn, i, key)) AS f, count(*) AS copies FROM w WHERE len(ws) >= 3 GROUP BY 1, 2),
 h AS (SELECT DISTINCT b.report_id, b.ws FROM g a JOIN g b ON b.report_id = a.report_id AND a.f < b.f WHERE len(list_intersect(a.ws, b.ws)) >= 0.75 * least(len(a.ws), len(b.ws)))
 SELECT g.report_id, g.f[3] AS key, CAST(g.f[2] AS INTEGER) AS i, g.copies, h.report_id IS NOT NULL AS repeats_earlier FROM g LEFT JOIN h ON h.report_id = g.report_id AND h.ws = g.ws"""
@@ -351,28 +350,13 @@ SELECT g.report_id, g.f[3] AS key, CAST(g.f[2] AS INTEGER) AS i, g.copies, h.rep
 @R.query("near_duplicates", current_sql(X.SENT_SQL + _ND_SQL))
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Of each report's sentences with different words, which repeats an earlier one: three quarters of the
-    words of the shorter are in both. Copies are one class with their number. Pairs that can reach the share
-    have one of the shorter one's rarest quarter of words in common, and meet only by those; classes are numbers
-    until they have met, and a word of a report that most have is divided among tasks."""
-    s = sentence_rows(Tables(spark, d))
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit("([a-z]{4,})"), F.lit(1))))
-    w = s.select("report_id", "key", "turn", "i", words.alias("ws")).where("size(ws) >= 3")
-    g = w.groupBy("report_id", "ws").agg(F.min(F.struct("turn", "i", "key")).alias("f"), F.count("*").alias("copies"))
-    g = checkpointed(g.select("report_id", F.xxhash64("f.key", "f.i").alias("id"), "ws", "f", "copies"))
-    post = g.select("id", F.size("ws").alias("n"), F.explode(F.transform("ws", lambda t: F.xxhash64("report_id", t))).alias("t"))
-    df = post.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")  # a word alone in its report finds nobody
-    ranked = post.join(df, "t", "left").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "t"))).alias("x"))
-    short = ranked.select("id", "n", F.explode(F.slice("x", F.lit(1), F.floor(F.col("n") * 0.25).cast("int") + 1)).alias("x")).where("x.df > 1").select("id", "n", "x.t")
-    short = short.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    full = post.select(F.col("id").alias("other"), F.col("n").alias("m"), "t", F.pmod("id", F.lit(SALTS)).cast("int").alias("salt"))
-    # the shorter looks for the longer; of equal ones each looks for the other, as either's rare words may be met
-    pairs = short.join(full, ["t", "salt"]).where("id <> other AND n <= m").select("id", "other").distinct()
-    a = g.select("id", F.col("ws").alias("x"), F.col("f").alias("fx"))
-    b = g.select(F.col("id").alias("other"), F.col("ws").alias("y"), F.col("f").alias("fy"))
-    hit = pairs.join(a, "id").join(b, "other").where(F.size(F.array_intersect("x", "y")) >= 0.75 * F.size("x"))
-    later = hit.select(F.when(F.col("fx") < F.col("fy"), F.col("other")).otherwise(F.col("id")).alias("id")).distinct()
-    out = g.join(later.withColumn("hit", F.lit(True)), "id", "left")
-    return out.select("report_id", "f.key", "f.i", "copies", F.coalesce("hit", F.lit(False)).alias("repeats_earlier"))
+    words of the shorter are in both. Copies are one class with their number."""
+    t = Tables(spark, d)
+    s = t.turn.where("text IS NOT NULL").select("report_id", "turn", "key", F.posexplode(X.unstripped_sentences("text")).alias("i", "s"))
+    words = F.array_join(F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit("([a-z]{4,})"), F.lit(1)))), " ")
+    three = F.filter(F.array(words), lambda ws: ws.like("% % %"))  # exploded, so that words are looked for once, not in a filter too
+    w = s.select("report_id", "turn", "i", "key", F.explode(three).alias("ws"))
+    return repeated_sets(w, t.raw("turn").groupBy("report_id").agg(F.sum(F.length("text")).alias("chars")))
 
 
 # extraction
